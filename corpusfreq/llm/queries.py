@@ -7,11 +7,42 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusfreq.llm import decontamination, language_id, lines, minhash, quality, toxicity
+from corpusfreq.llm import decontamination, language_id, lines, minhash, mixing, quality, toxicity
 from corpusfreq.llm.sampling import remainder
 from corpusfreq.session import table
 
 
+#: Target weights, as shares; other sources have one share each.
+SHARES = {"src0": 12, "src1": 6, "src2": 6, "src3": 5, "src4": 4, "src5": 4, "src6": 3, "src7": 3, "src8": 2, "src9": 2}
+
+
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source")
+    return mixing.mix(docs, SHARES)
+
+
+def mixing_sql(docs: str, columns: str, shares: dict[str, int]) -> str:
+    """SQL of mixing.mix over the relation docs, returning columns and the three places."""
+    cases = " ".join(f"WHEN '{k}' THEN {v}" for k, v in shares.items())
+    return f"""
+WITH RECURSIVE d0 AS (SELECT *, coalesce('=' || source, '') AS key, md5(CAST(doc_id AS VARCHAR)) AS h FROM {docs}),
+sh AS (SELECT key, row_number() OVER (ORDER BY key) - 1 AS s, CASE substr(key, 2) {cases} ELSE 1 END AS n FROM (SELECT DISTINCT key FROM d0)),
+tot AS (SELECT list(n ORDER BY s) AS ns, CAST(sum(n) AS BIGINT) AS w, count(*) AS c FROM sh),
+sim(t, k, p) AS (
+  SELECT CAST(-1 AS BIGINT), list_transform(ns, lambda x: CAST(0 AS BIGINT)), CAST(-1 AS BIGINT) FROM tot
+  UNION ALL
+  SELECT t + 1, list_transform(range(1, c + 1), lambda i: k[i] + CASE WHEN i = q THEN 1 ELSE 0 END), q - 1
+  FROM (SELECT t, k, c, w, list_min(list_filter(list_transform(range(1, c + 1), lambda i: CASE WHEN (k[i] * w) // ns[i] <= t + 1
+      THEN {{'d': ((k[i] + 1) * w + ns[i] - 1) // ns[i], 'i': i}} END), lambda x: x IS NOT NULL)).i AS q FROM sim, tot WHERE t + 1 < w)),
+lay AS (SELECT t AS slot, p AS s, row_number() OVER (PARTITION BY p ORDER BY t) - 1 AS occ FROM sim WHERE t >= 0),
+r AS (SELECT d0.*, sh.s, sh.n, row_number() OVER (PARTITION BY d0.key ORDER BY h, doc_id) - 1 AS rk FROM d0 JOIN sh USING (key)),
+b AS (SELECT r.*, rk // {mixing.BLOCK_ROWS} AS block, (rk // {mixing.BLOCK_ROWS}) // n * (SELECT w FROM tot) + slot AS mix_slot
+      FROM r JOIN lay ON lay.s = r.s AND lay.occ = (rk // {mixing.BLOCK_ROWS}) % n),
+o AS (SELECT mix_slot, row_number() OVER (ORDER BY mix_slot) - 1 AS mix_position FROM (SELECT DISTINCT mix_slot FROM b))
+SELECT {columns}, CAST(b.mix_slot AS BIGINT) AS mix_slot, CAST(o.mix_position AS BIGINT) AS mix_position, CAST(rk % {mixing.BLOCK_ROWS} AS INTEGER) AS mix_index
+FROM b JOIN o ON o.mix_slot = b.mix_slot"""
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"), keep=remainder("doc_id", 3) != 1)
@@ -67,4 +98,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_minhash": OP7_SQL}
+    return {"op1_mixing": mixing_sql("documents", "doc_id, source", SHARES), "op7_minhash": OP7_SQL}
