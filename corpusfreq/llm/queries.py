@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusfreq.llm import decontamination, language_id, lines, minhash, mixing, quality, toxicity
+from corpusfreq.llm import decontamination, embeddings, language_id, lines, minhash, mixing, quality, toxicity
 from corpusfreq.llm.sampling import remainder
 from corpusfreq.session import table
 
@@ -87,6 +87,21 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (remainder("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
 
 
+def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+OP9_SQL = """
+WITH RECURSIVE e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+f AS (SELECT vec_id, v FROM e WHERE v IS NOT NULL AND len(list_filter(v, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(v, lambda x: x <> 0)) > 0),
+l AS (SELECT a.vec_id AS u, b.vec_id AS w FROM f a JOIN f b ON a.vec_id <> b.vec_id AND list_cosine_similarity(a.v, b.v) >= 0.9),
+c AS (SELECT u, count(*) AS n FROM l GROUP BY u),
+r AS (SELECT vec_id AS id, vec_id AS root FROM e UNION SELECT l.w, r.root FROM r JOIN l ON l.u = r.id),
+m AS (SELECT id, min(root) AS component_id FROM r GROUP BY id)
+SELECT vec_id, CAST(coalesce(n, 0) AS BIGINT) AS n_links, component_id, vec_id = component_id AS kept FROM e LEFT JOIN c ON c.u = vec_id JOIN m ON m.id = vec_id
+"""
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     out = lines.remove_duplicate_lines(docs, length_col="n_chars")
@@ -98,4 +113,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mixing": mixing_sql("documents", "doc_id, source", SHARES), "op7_minhash": OP7_SQL}
+    return {"op1_mixing": mixing_sql("documents", "doc_id, source", SHARES), "op7_minhash": OP7_SQL, "op9_embedding_dedup": OP9_SQL}
