@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusfreq.llm import decontamination, embeddings, language_id, lines, minhash, mixing, quality, toxicity
+from corpusfreq.llm import decontamination, embeddings, language_id, lines, minhash, mixing, quality, toxicity, warc
 from corpusfreq.llm.sampling import remainder
-from corpusfreq.session import table
+from corpusfreq.session import scratch_path, table
 
 
 #: Target weights, as shares; other sources have one share each.
@@ -43,6 +43,16 @@ SELECT {columns}, CAST(b.mix_slot AS BIGINT) AS mix_slot, CAST(o.mix_position AS
 FROM b JOIN o ON o.mix_slot = b.mix_slot"""
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "warc")
+    warc.archive(table(spark, sf_dir, "pages"), path, "page_id", "url", "html")
+    found = warc.read(spark, path, payload="digest").filter(F.col("warc_type").isin("response", "revisit"))
+    number = lambda c: F.regexp_extract(c, r"^urn:row:(-?\d+)$", 1).try_cast("long")
+    return found.select(
+        number("record_id").alias("page_id"), F.col("payload_length").alias("payload_bytes"), F.coalesce("computed_digest", "payload_digest").alias("payload_digest"),
+        F.col("warc_type").alias("record_type"), number("refers_to").alias("refers_to"), F.col("target_uri").alias("url"))
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"), keep=remainder("doc_id", 3) != 1)
