@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusfreq.llm import decontamination, embeddings, language_id, lines, minhash, mixing, quality, toxicity, warc
+from corpusfreq.llm import decontamination, embeddings, htmltext, language_id, lines, minhash, mixing, quality, toxicity, warc
 from corpusfreq.llm.sampling import remainder
 from corpusfreq.session import scratch_path, table
 
@@ -53,6 +53,10 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("warc_type").alias("record_type"), number("refers_to").alias("refers_to"), F.col("target_uri").alias("url"))
 
 
+def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmltext.extract(table(spark, sf_dir, "pages"))
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"), keep=remainder("doc_id", 3) != 1)
