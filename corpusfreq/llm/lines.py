@@ -153,7 +153,8 @@ def remove_duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: st
     """
     cuts, _ = materialize(duplicate_lines(docs, id_col, text_col, min_words, key_words), "cuts")
     names = docs.columns
-    marked = docs.join(cuts.select(F.col(id_col).alias("_cut_id"), F.col("cut").alias("_cut")), F.col(id_col) == F.col("_cut_id"), "left")
+    # by shuffle at any size: what is cut grows with the documents
+    marked = docs.join(cuts.select(F.col(id_col).alias("_cut_id"), F.col("cut").alias("_cut")).hint("merge"), F.col(id_col) == F.col("_cut_id"), "left")
     kept = F.array_join(F.filter(F.split(text_col, "\n"), lambda x, n: ~F.array_contains("_cut", n.cast("int"))), "\n")
     text = F.when(F.col("_cut").isNull(), F.col(text_col)).otherwise(F.when(F.trim(kept) == "", F.lit("")).otherwise(kept))
     out = marked.withColumn("_text", text)
