@@ -1,15 +1,743 @@
-"""The registered queries of the engine and the SQL that gives the same rows."""
+"""The registered queries of the engine and the SQL that gives the same rows.
+
+Documents stand for cleaned videos (source: channel, lang: category), events for cues (user: video), labels.quality for ratings,
+benchmark texts for target items. All queries run over whole tables; computed doubles are rounded to six places.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from corpusfreq.functions import addresses, python_text
+from corpusfreq.functions import text as T
+from corpusfreq.operators import cues, dedup, evaluation, frequency, lookup, sampling
+from corpusfreq.session import table
+
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+LANGS = ["de", "en", "es", "fr"]
+
 
+def query(sql: str | None = None):
+    def add(f: Query) -> Query:
+        _QUERIES[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return add
+
+
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
+
+
+def r6(c: Column | str) -> Column:
+    return F.round(F.col(c) if isinstance(c, str) else c, 6)
+
+
+_TOKENS = r"list_transform(regexp_extract_all(text, '[\p{L}\p{Nl}_〜]+|[''\-]|\p{Nd}+'), lambda t: CASE WHEN regexp_matches(t, '^\p{Nd}') THEN '<num>' ELSE t END)"
+_TOK = f"tok AS (SELECT doc_id, source, lang, unnest({_TOKENS}) AS word FROM documents)"
+_LTOK = f"tok AS (SELECT doc_id, source, lang, lower(unnest({_TOKENS})) AS word FROM documents)"
+_LCOUNT = f"{_LTOK}, cnt AS (SELECT word, count(*) AS n FROM tok GROUP BY word), tot AS (SELECT CAST(sum(n) AS BIGINT) AS tokens, count(*) AS types FROM cnt)"
+
+
+def _docs(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents")
+
+
+def _tokens() -> Column:
+    return T.tokens(F.col("text"))
+
+
+def _lower_tokens() -> Column:
+    return F.transform(_tokens(), F.lower)
+
+
+def _grain(spark: SparkSession, d: str, lower: bool = False, category: bool = False) -> DataFrame:
+    return frequency.words(_docs(spark, d), "doc_id", _lower_tokens() if lower else _tokens(), "source", "lang" if category else None)
+
+
+def _freq(spark: SparkSession, d: str) -> DataFrame:
+    """(word, count) of lower-case words."""
+    return _docs(spark, d).select(F.explode(_lower_tokens()).alias("word")).groupBy("word").agg(F.count("*").alias("count"))
+
+
+# Word frequencies
+
+@query(f"WITH {_TOK} SELECT word, count(*) AS count FROM tok GROUP BY word")
+def word_counts(spark, d):
+    return _docs(spark, d).select(F.explode(_tokens()).alias("word")).groupBy("word").agg(F.count("*").alias("count"))
+
+
+@query(f"WITH {_TOK} SELECT word, count(*) AS count, count(DISTINCT doc_id) AS videos, count(DISTINCT source) AS channels FROM tok GROUP BY word")
+def word_freq_full(spark, d):
+    return frequency.word_counts(_grain(spark, d))
+
+
+@query(f"WITH {_LTOK} SELECT word, count(*) AS count, count(DISTINCT doc_id) AS videos, count(DISTINCT source) AS channels FROM tok GROUP BY word")
+def word_freq_lower(spark, d):
+    return frequency.word_counts(_grain(spark, d, lower=True))
+
+
+@query(f"""WITH {_TOK} SELECT '[TOTAL]' AS word, (SELECT count(*) FROM tok) AS count, (SELECT count(DISTINCT doc_id) FROM tok) AS videos,
+  (SELECT count(DISTINCT source) FROM documents) AS channels""")
+def word_totals(spark, d):
+    return frequency.totals(_grain(spark, d), _docs(spark, d), "doc_id", "source").select("word", "count", "videos", "channels")
+
+
+@query(f"WITH {_LTOK} SELECT word, count(*) AS count, count(DISTINCT doc_id) AS videos, count(DISTINCT source) AS channels, "
+       + ", ".join(f"count(*) FILTER (WHERE lang = '{x}') AS \"count:{x}\"" for x in LANGS) + " FROM tok GROUP BY word")
+def word_freq_by_category(spark, d):
+    return frequency.word_counts(_grain(spark, d, lower=True, category=True), LANGS)
+
+
+@query(f"""WITH {_TOK}, f AS (SELECT doc_id, source, unnest([{{'norm': 'none', 'w': word}}, {{'norm': 'lower', 'w': lower(word)}}, {{'norm': 'nfkc', 'w': word}}, {{'norm': 'nfkc-lower', 'w': lower(word)}}]) AS x FROM tok)
+  SELECT x.norm AS norm, x.w AS word, count(*) AS count, count(DISTINCT doc_id) AS videos, count(DISTINCT source) AS channels FROM f GROUP BY 1, 2""")
+def freq_norm_groups(spark, d):
+    return frequency.word_counts(frequency.normal_forms(_grain(spark, d)), by=["norm"])
+
+
+@query(f"WITH {_LTOK} SELECT word, count(*) AS count, count(DISTINCT doc_id) AS videos FROM tok GROUP BY word HAVING count(DISTINCT doc_id) >= 3")
+def min_docs(spark, d):
+    return frequency.at_least(frequency.word_counts(_grain(spark, d, lower=True)), videos=3).select("word", "count", "videos")
+
+
+@query(f"WITH {_LTOK} SELECT word, count(*) AS count, count(DISTINCT source) AS channels FROM tok GROUP BY word HAVING count(DISTINCT source) >= 4")
+def min_channels(spark, d):
+    return frequency.at_least(frequency.word_counts(_grain(spark, d, lower=True)), channels=4).select("word", "count", "channels")
+
+
+@query(f"WITH {_LTOK} SELECT word, count(*) AS count FROM tok GROUP BY word ORDER BY count DESC, word LIMIT 100")
+def top_words(spark, d):
+    return frequency.top_words(_freq(spark, d), 100)
+
+
+@query(f"""WITH {_LTOK}, t AS (SELECT word, count(*) AS count FROM tok GROUP BY word ORDER BY count DESC, word LIMIT 6000)
+  SELECT word, count FROM t WHERE word IN ('align', 'br', 'colspan', 'https', 'lt', 'onlyinclude', 'ref', 'ruby')""")
+def markup_warnings(spark, d):
+    return frequency.markup_warnings(_freq(spark, d))
+
+
+@query("""WITH c AS (SELECT CAST(o_custkey AS VARCHAR) AS c, count(*) AS n FROM orders GROUP BY 1)
+  SELECT CAST(n AS VARCHAR) AS videos_in_channel, count(*) AS channels FROM c GROUP BY n
+  UNION ALL SELECT 'NO_CHANNEL_ID', (SELECT count(*) FROM orders WHERE o_custkey IS NULL)""")
+def channel_histogram(spark, d):
+    return frequency.channel_histogram(table(spark, d, "orders"), "o_custkey")
+
+
+@query("SELECT count(DISTINCT nullif(source, 'src0')) + count(*) FILTER (WHERE source = 'src0') AS channels FROM documents")
+def channel_count(spark, d):
+    return frequency.channel_count(_docs(spark, d).withColumn("source", F.when(F.col("source") != "src0", F.col("source")).otherwise("")), "source")
+
+
+@query(f"WITH {_LTOK} SELECT word, count(*) AS count, count(DISTINCT doc_id) AS videos, count(DISTINCT source) AS channels FROM tok WHERE lang IN ('en', 'de') GROUP BY word")
+def counter_merge(spark, d):
+    parts = [frequency.words(_docs(spark, d).filter(F.col("lang") == x), "doc_id", _lower_tokens(), "source") for x in ("en", "de")]
+    return frequency.word_counts(frequency.merge_grains(*parts))
+
+
+@query(f"WITH {_LTOK} SELECT word, count(*) - count(*) FILTER (WHERE lang = 'en') AS count FROM tok GROUP BY word HAVING count(*) > count(*) FILTER (WHERE lang = 'en')")
+def counter_difference(spark, d):
+    part = _docs(spark, d).filter("lang = 'en'").select(F.explode(_lower_tokens()).alias("word")).groupBy("word").agg(F.count("*").alias("count"))
+    return frequency.counter_difference(_freq(spark, d), part)
+
+
+@query(f"""WITH {_LTOK}, c AS (SELECT word, lang, count(*) AS n FROM tok GROUP BY 1, 2)
+  SELECT word, arg_min(lang, {{'n': -n, 'l': lang}}) AS pos FROM c GROUP BY word""")
+def dominant_pos(spark, d):
+    tagged = _docs(spark, d).select("lang", F.explode(_lower_tokens()).alias("word")).select("word", F.col("lang").alias("pos"))
+    return frequency.dominant_pos(tagged)
+
+
+# Text transforms
+
+@query(f"""WITH RECURSIVE p AS (SELECT doc_id, string_split(trim(regexp_replace(text, '\\s+', ' ', 'g')), ' ') AS ws FROM documents),
+  s AS (SELECT doc_id, list_filter(flatten(list_transform(list_filter(ws, lambda w: w <> ''), lambda w: list_filter(string_split(regexp_replace(w, '\\p{{Nd}}+', '|<num>|', 'g'), '|'), lambda x: x <> ''))), lambda x: x <> '') AS l
+        FROM p WHERE NOT contains(array_to_string(ws, ''), '|'))
+  SELECT doc_id, CAST(len(list_filter(range(1, len(l) + 1), lambda i: NOT (l[i] = '<num>' AND i > 1 AND l[i - 1] = '<num>'))) AS BIGINT) AS n_tokens,
+    CAST(len(list_filter(range(1, len(l) + 1), lambda i: l[i] = '<num>' AND NOT (i > 1 AND l[i - 1] = '<num>'))) AS BIGINT) AS n_numbers FROM s""")
+def number_replacement(spark, d):
+    out = _docs(spark, d).filter(~F.contains("text", F.lit("|"))).select("doc_id", T.replace_numbers(T.split_words(F.col("text"))).alias("l"))
+    return out.select("doc_id", F.size("l").cast("long").alias("n_tokens"), F.size(F.filter("l", lambda x: x == T.NUM)).cast("long").alias("n_numbers"))
+
+
+@query("""WITH w AS (SELECT unnest(string_split(regexp_replace(text, '\\s+', ' ', 'g'), ' ')) AS word FROM documents)
+  SELECT word, count(*) AS count FROM w WHERE word <> '' AND NOT regexp_matches(word, '\\p{Nd}') AND regexp_matches(word, '[\\p{L}\\p{N}_{}]') GROUP BY word""")
+def word_filter(spark, d):
+    words = _docs(spark, d).select(F.explode(T.split_words(F.col("text"))).alias("word"))
+    return words.filter(T.is_word(F.col("word"))).groupBy("word").agg(F.count("*").alias("count"))
+
+
+@query("""WITH x AS (SELECT doc_id, replace(replace(regexp_replace(text, '\\n\\n+', '@@@', 'g'), chr(10), ' '), '@@@', chr(10)) AS t FROM documents)
+  SELECT doc_id, md5(t) AS digest, CAST(length(t) AS BIGINT) AS n_chars FROM x""")
+def newline_conversion(spark, d):
+    t = T.newline_conversion(F.col("text"))
+    return _docs(spark, d).select("doc_id", F.md5(t.cast("binary")).alias("digest"), F.length(t).cast("long").alias("n_chars"))
+
+
+@query("SELECT * FROM (VALUES (1, 'a〜b'), (2, '〜'), (3, '~'), (4, NULL)) t(id, text)")
+def tilde_map(spark, d):
+    return spark.sql("SELECT * FROM VALUES (1, 'a～b'), (2, '～'), (3, '~'), (4, NULL) t(id, text)").select("id", T.tilde_map(F.col("text")).alias("text"))
+
+
+@query(f"WITH {_TOK} SELECT CAST(length(word) AS INTEGER) AS n_chars, count(*) AS count FROM tok GROUP BY 1")
+def token_lengths(spark, d):
+    return _docs(spark, d).select(F.explode(_tokens()).alias("word")).groupBy(F.length("word").alias("n_chars")).agg(F.count("*").alias("count"))
+
+
+@query("SELECT doc_id, md5(lower(text)) AS digest FROM documents")
+def nfkc_lower(spark, d):
+    return _docs(spark, d).select("doc_id", F.md5(python_text.nfkc_lower(F.col("text")).cast("binary")).alias("digest"))
+
+
+@query("""SELECT * FROM (VALUES (1, 'It''s me. It''s ‘you and me’.'), (2, 'It''s an a′, it can''t be b′. Countries'' names.'), (3, '‘It''s an apostrophe.’'), (4, 'plain')) t(id, text)""")
+def smart_apostrophe(spark, d):
+    rows = [(1, "It’s me. It’s ‘you and me’."), (2, "It′s an a′, it can′t be b′. Countries′ names."), (3, "‘It’s an apostrophe.’"), (4, "plain")]
+    return spark.createDataFrame(rows, "id int, text string").select("id", python_text.smart_apostrophe(F.col("text")).alias("text"))
+
+
+@query()
+def sentence_counts(spark, d):
+    return _docs(spark, d).select("doc_id", F.size(python_text.sentences(F.col("text"), "en")).cast("long").alias("n_sentences"))
+
+
+@query()
+def force_split(spark, d):
+    t = python_text.force_split(F.col("text"), 200)
+    return _docs(spark, d).select("doc_id", F.size(F.split(t, "\n\n")).cast("long").alias("n_parts"))
+
+
+@query()
+def tokenized_corpus(spark, d):
+    parts = F.transform(F.split(T.newline_conversion(F.col("text")), r"(?<=[.!?])\s+"), lambda s: F.array_join(addresses.tokens_with_addresses(s, T.tokens), " "))
+    return _docs(spark, d).select("doc_id", F.posexplode(parts).alias("n", "line")).filter("line <> ''").withColumn("line", F.lower("line"))
+
+
+# Cues and cleaning
+
+_MARKED = "(VALUES (1, '<c.red>a</c> <b>b</b>'), (2, '<v Bob>hi &amp;lt; &lt;x&gt;</v>'), (3, '<00:01.000>t&nbsp;u'), (4, '<lang en>x</lang> 1 < 2'), (5, '<u.>q</u>'))"
+
+
+@query("SELECT * FROM (VALUES (1, 'a b'), (2, 'hi &lt; <x>'), (3, 't u'), (4, 'x 1 < 2'), (5, 'q')) t(id, text)")
+def cue_markup(spark, d):
+    return spark.sql(f"SELECT * FROM {_MARKED[1:-1]} t(id, text)").select("id", T.markup_to_text(F.col("text")).alias("text"))
+
+
+@query("SELECT * FROM (VALUES (1, '漢字です'), (2, 'ab'), (3, 'base'), (4, 'xyz')) t(id, text)")
+def ruby_base(spark, d):
+    rows = [(1, "<ruby>漢字<rp>(</rp><rt>かんじ</rt><rp>)</rp></ruby>です"), (2, "a<rt>x</rt><rp>(</rp>b"), (3, "<ruby x><rb>base</rb><rt a>r</rt></ruby>"), (4, "xyz")]
+    return spark.createDataFrame(rows, "id int, text string").select("id", T.strip_ruby(F.col("text")).alias("text"))
+
+
+@query("SELECT page_id, md5(regexp_replace(regexp_replace(regexp_replace(html, '<b>|<i>|<u>|</b>|</i>|</u>', '', 'g'), '</?font( [^>]*)?>|</?FONT>', '', 'g'), '\\[br\\]', '', 'g')) AS digest, "
+       "CAST(len(regexp_extract_all(html, '<b>|<i>|<u>|</b>|</i>|</u>|</?font( [^>]*)?>|</?FONT>|\\[br\\]')) AS INTEGER) AS n_tags FROM pages")
+def invalid_tags(spark, d):
+    h = F.col("html")
+    return table(spark, d, "pages").select("page_id", F.md5(T.strip_invalid_tags(h).cast("binary")).alias("digest"), T.count_invalid_tags(h).alias("n_tags"))
+
+
+@query("SELECT page_id, md5(replace(replace(replace(replace(replace(replace(html, '&lt;', '<'), '&gt;', '>'), '&nbsp;', ' '), '&lrm;', chr(8206)), '&rlm;', chr(8207)), '&amp;', '&')) AS digest FROM pages")
+def decode_entities(spark, d):
+    return table(spark, d, "pages").select("page_id", F.md5(T.decode_entities(F.col("html")).cast("binary")).alias("digest"))
+
+
+@query("SELECT page_id, md5(regexp_replace(html, '<[bciu](\\.[^\\s&<>.]*)*>|</([bciuv]|lang)>', '', 'g')) AS digest FROM pages")
+def strip_cue_tags(spark, d):
+    return table(spark, d, "pages").select("page_id", F.md5(T.strip_cue_tags(F.col("html")).cast("binary")).alias("digest"))
+
+
+@query("""SELECT * FROM (VALUES (1, 3723.001, 35996519.001), (2, 119.999, 3574.567), (3, NULL, NULL), (4, NULL, NULL), (5, NULL, NULL), (6, NULL, NULL), (7, NULL, NULL), (8, 1.5, 2.0)) t(id, start, "end")""")
+def timing_parse(spark, d):
+    rows = [(1, "01:02:03.001 --> 9999:01:59.001"), (2, "00:01:59.999 --> 59:34.567"), (3, "00:01.0000 --> 00:02.000"), (4, "00:60.000 --> 00:61.000"), (5, "0:01.000 --> 00:02.000"),
+            (6, " 00:01.000 --> 00:02.000"), (7, "00:01,000 --> 00:02,000"), (8, "00:01.500 --> 00:02.000 align:start")]
+    t = cues.timing(F.col("line"))
+    return spark.createDataFrame(rows, "id int, line string").select("id", t["start"].alias("start"), t["end"].alias("end"))
+
+
+def _vtt(spark: SparkSession, d: str) -> DataFrame:
+    """Documents as subtitle files: each line that holds text is a cue of 1.5 s, every 2 s."""
+    lines = F.filter(F.split("text", "\n"), lambda x: x != "")
+    stamp = lambda ms: F.concat(F.lpad((F.floor(ms / 3600000)).cast("string"), 2, "0"), F.lit(":"), F.lpad((F.floor(ms / 60000) % 60).cast("string"), 2, "0"), F.lit(":"),
+                                F.lpad((F.floor(ms / 1000) % 60).cast("string"), 2, "0"), F.lit("."), F.lpad((ms % 1000).cast("string"), 3, "0"))
+    cue = F.transform(lines, lambda x, i: F.concat(stamp(i * 2000), F.lit(" --> "), stamp(i * 2000 + 1500), F.lit("\n"), x, F.lit("\n\n")))
+    return _docs(spark, d).select(F.col("doc_id").alias("video_id"), F.concat(F.lit("WEBVTT\n\n"), F.array_join(cue, "")).alias("vtt"))
+
+
+_VTT_LINES = "l AS (SELECT doc_id, unnest(list_filter(string_split(text, chr(10)), lambda x: x <> '')) AS line, generate_subscripts(list_filter(string_split(text, chr(10)), lambda x: x <> ''), 1) - 1 AS i FROM documents)"
+
+
+@query(f"""WITH {_VTT_LINES} SELECT doc_id AS video_id, CAST(count(*) AS BIGINT) AS n_cues, round(sum(i * 2.0), 6) AS starts, round(sum(i * 2.0 + 1.5), 6) AS ends, CAST(sum(length(line)) AS BIGINT) AS n_chars FROM l GROUP BY 1""")
+def vtt_roundtrip(spark, d):
+    return cues.parse_cues(_vtt(spark, d)).groupBy("video_id").agg(
+        F.count("*").alias("n_cues"), r6(F.sum("start")).alias("starts"), r6(F.sum("end")).alias("ends"), F.sum(F.length("raw")).alias("n_chars"))
+
+
+_EVENT = "e AS (SELECT user_id, event_id, epoch_us(ts) / 1e6 AS s, epoch_us(ts) / 1e6 + coalesce(value, 0) * 3600 AS e, trim(coalesce(event_type, '')) AS t FROM events)"
+_KIND = f"""{_EVENT}, p AS (SELECT *, lag(e) OVER w AS pe, lag(t) OVER w AS pt FROM e WINDOW w AS (PARTITION BY user_id, t = '' ORDER BY s, event_id)),
+  k AS (SELECT *, CASE WHEN t = '' THEN 'empty' WHEN pt IS NULL THEN 'other' WHEN s > pe THEN 'delay' WHEN t = pt THEN 'repeat' ELSE 'other' END AS kind FROM p)"""
+
+
+def _event_kinds(spark: SparkSession, d: str) -> DataFrame:
+    s = F.unix_micros("ts") / F.lit(1e6)
+    rows = table(spark, d, "events").select("user_id", "event_id", s.alias("start"), (s + F.coalesce("value", F.lit(0.0)) * 3600).alias("end"), F.col("event_type").alias("text"))
+    return cues.clean_cues(rows.withColumn("at", F.col("start")), "user_id", ["at", "event_id"])
+
+
+@query(f"WITH {_KIND} SELECT user_id, event_id, kind, CAST(CASE kind WHEN 'delay' THEN 2 WHEN 'other' THEN 1 ELSE 0 END AS INTEGER) AS n_lines FROM k")
+def cue_clean(spark, d):
+    return _event_kinds(spark, d).select("user_id", "event_id", "kind", F.size("emitted").alias("n_lines"))
+
+
+@query(f"WITH {_KIND} SELECT user_id, count(*) AS n_cues, " + ", ".join(f"count(*) FILTER (WHERE kind = '{k}') AS n_{k}" for k in ("empty", "repeat", "scroll", "delay", "other")) + " FROM k GROUP BY 1")
+def cue_stats(spark, d):
+    return cues.cue_stats(_event_kinds(spark, d), "user_id")
+
+
+@query(f"WITH {_KIND} SELECT user_id, count(*) AS n_delays FROM k WHERE kind = 'delay' GROUP BY 1")
+def cue_delays(spark, d):
+    lines = cues.lines_of(_event_kinds(spark, d), "user_id", ["at", "event_id"])
+    return lines.filter("line = ''").groupBy("user_id").agg(F.count("*").alias("n_delays"))
+
+
+@query("SELECT * FROM (VALUES (1, 'other', 'A'), (2, 'scroll', 'B'), (3, 'scroll', 'C'), (4, 'scroll', NULL), (5, 'delay', '|X'), (6, 'repeat', NULL), (7, 'empty', NULL), (8, 'other', 'Y')) t(idx, kind, lines)")
+def cue_scroll(spark, d):
+    rows = [(1, 0.0, 1.0, "A"), (2, 1.0, 2.0, " A\nB "), (3, 2.0, 3.0, "B\nC"), (4, 3.0, 4.0, "C"), (5, 5.0, 6.0, "X"), (6, 6.0, 7.0, "X"), (7, 7.0, 8.0, " \n"), (8, 7.0, 9.0, "Y")]
+    out = cues.clean_cues(spark.createDataFrame(rows, "idx int, start double, end double, text string").withColumn("video_id", F.lit(1)))
+    return out.select("idx", "kind", F.when(F.size("emitted") > 0, F.array_join("emitted", "|")).alias("lines"))
+
+
+_LINES = "ln AS (SELECT doc_id, lang, regexp_replace(unnest(string_split(text, chr(10))), '\\s+', ' ', 'g') AS line FROM documents)"
+_OWN = "length(regexp_replace(line, '[^\\x20-\\x7E]', '', 'g'))"
+_CLEAN = (f"{_LINES}, c AS (SELECT doc_id, lang, line, {_OWN} AS own, line = '' AS delay, line = ' ' AS blank FROM ln), "
+          "g AS (SELECT doc_id, any_value(lang) AS lang, count(*) FILTER (WHERE blank) AS n_blank, count(*) FILTER (WHERE NOT delay AND NOT blank AND own = 0) AS n_nonl, "
+          "count(*) FILTER (WHERE NOT blank AND NOT (NOT delay AND own = 0)) AS n_lines, count(*) FILTER (WHERE NOT blank AND NOT delay AND own > 0) AS n_text, "
+          "coalesce(sum(own) FILTER (WHERE NOT blank) / nullif(sum(length(line)) FILTER (WHERE NOT blank AND own > 0), 0), 0) AS ratio FROM c GROUP BY doc_id)")
+
+
+def _lines(spark: SparkSession, d: str) -> DataFrame:
+    return _docs(spark, d).select("doc_id", "lang", F.explode(F.split("text", "\n")).alias("line")).withColumn("line", T.normalize_space(F.col("line")))
+
+
+@query(f"WITH {_CLEAN} SELECT doc_id, n_blank, n_nonl, n_lines, n_text, round(ratio, 6) AS charset_ratio FROM g")
+def charset_ratio(spark, d):
+    return cues.clean_lines(_lines(spark, d), "doc_id", "en").select("doc_id", "n_blank", "n_nonl", "n_lines", "n_text", r6("charset_ratio").alias("charset_ratio"))
+
+
+@query(f"WITH {_CLEAN} SELECT doc_id FROM g WHERE n_text >= 3")
+def short_filter(spark, d):
+    return cues.clean_lines(_lines(spark, d), "doc_id", "latin").filter("n_text >= 3").select("doc_id")
+
+
+_OWNLINE = "regexp_matches(lower(line), '(^|[^a-z])(the|and|of|was|is)([^a-z]|$)')"
+
+
+@query(f"WITH {_LINES} SELECT doc_id, round(coalesce(sum(CASE WHEN {_OWNLINE} THEN length(line) ELSE 0 END) / nullif(sum(length(line)), 0), 0), 6) AS lang_ratio FROM ln GROUP BY doc_id")
+def lang_weighted_filter(spark, d):
+    own = F.lower("line").rlike("(^|[^a-z])(the|and|of|was|is)([^a-z]|$)")
+    return cues.lang_ratio(_lines(spark, d), "doc_id", own).select("doc_id", r6("lang_ratio").alias("lang_ratio"))
+
+
+@query(f"""WITH {_CLEAN}, m AS (SELECT *, CASE WHEN n_text < 3 THEN 'short' WHEN ratio < 0.7 THEN 'charset' WHEN lang <> 'en' THEN 'lang' ELSE 'valid' END AS reason FROM g)
+  SELECT reason, count(*) AS files, CAST(sum(n_lines) AS BIGINT) AS n_lines, CAST(sum(n_blank) AS BIGINT) AS n_blank, CAST(sum(n_nonl) AS BIGINT) AS n_nonl FROM m GROUP BY 1""")
+def clean_funnel(spark, d):
+    stats = cues.clean_lines(_lines(spark, d), "doc_id", "en").join(_docs(spark, d).select("doc_id", "lang"), "doc_id")
+    ratio = F.when(F.col("lang") == "en", 1.0).otherwise(0.0)
+    return cues.funnel(stats.withColumn("reason", cues.reason(F.col("n_text"), F.col("charset_ratio"), ratio)), ["n_lines", "n_blank", "n_nonl"])
+
+
+# Addresses
+
+_MAIL = r"[a-zA-Z0-9_.+\-]+@(?:[\p{L}\p{N}](?:[\p{L}\p{N}\-]*[\p{L}\p{N}])?\.)+com"
+
+
+@query(f"SELECT doc_id, unnest(regexp_extract_all(text, '{_MAIL}')) AS address FROM documents")
+def pii_emails(spark, d):
+    hits = _docs(spark, d).select("doc_id", F.explode(addresses.found(F.col("text"))).alias("address"))
+    return hits.filter(addresses.kind(F.col("address")) == "email")
+
+
+@query()
+def pii_counts(spark, d):
+    hits = _docs(spark, d).select(F.explode(addresses.found(F.col("text"))).alias("address"))
+    return hits.groupBy(addresses.kind(F.col("address")).alias("name")).agg(F.count("*").alias("count"))
+
+
+@query("SELECT '[____] Email <email> and <handle> . <web> [engine_starts]' AS text")
+def pii_tokens(spark, d):
+    text = F.lit("[ __ ] Email foo@bar.com and @foo_bar. www.foo.com[engine starts]")
+    toks = addresses.tokens_with_addresses(text, lambda c: T.split_words(c))
+    return spark.range(1).select(F.array_join(toks, " ").alias("text"))
+
+
+@query(f"""WITH a AS (SELECT doc_id, unnest(regexp_extract_all(text, '{_MAIL}')) AS address FROM documents)
+  SELECT 'email' AS name, count(*) AS n, md5(string_agg(address, ' ' ORDER BY address)) AS digest FROM a""")
+def address_log(spark, d):
+    hits = _docs(spark, d).select(F.col("doc_id").alias("doc"), F.posexplode(addresses.found(F.col("text"))).alias("pos", "address")).withColumn("name", addresses.kind(F.col("address")))
+    log = frequency.address_log(hits.filter("name = 'email'"))
+    return log.select("name", F.size("addresses").cast("long").alias("n"), F.md5(F.array_join(F.array_sort("addresses"), " ").cast("binary")).alias("digest"))
+
+
+# Near-duplicate documents
+
+_TFIDF = f"""{_LTOK}, tf AS (SELECT doc_id, word AS term, count(*) AS tf FROM tok GROUP BY 1, 2), df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1),
+  nd AS (SELECT count(*) AS n FROM documents), w0 AS (SELECT doc_id, term, df, tf * (ln((1 + n) / (1 + df)) + 1) AS raw FROM tf JOIN df USING (term), nd),
+  w AS (SELECT doc_id, term, df, raw / sqrt(sum(raw * raw) OVER (PARTITION BY doc_id)) AS weight FROM w0)"""
+_PAIRS = f"{_TFIDF}, pr AS (SELECT a.doc_id AS i, b.doc_id AS j, sum(a.weight * b.weight) AS sim FROM w a JOIN w b ON a.term = b.term AND a.doc_id > b.doc_id WHERE a.df < 200 OR true GROUP BY 1, 2 HAVING sum(a.weight * b.weight) >= 0.95)"
+
+
+def _weights(spark: SparkSession, d: str) -> DataFrame:
+    return dedup.tfidf(_docs(spark, d), "doc_id", _lower_tokens())
+
+
+@query(f"WITH {_TFIDF} SELECT doc_id AS doc, term, round(weight, 6) AS weight FROM w")
+def tfidf_weights(spark, d):
+    return _weights(spark, d).select("doc", "term", r6("weight").alias("weight"))
+
+
+@query(f"WITH {_TFIDF} SELECT term, df, round(ln((1 + n) / (1 + df)) + 1, 6) AS idf FROM df, nd")
+def idf(spark, d):
+    counts = dedup.term_counts(_docs(spark, d), "doc_id", _lower_tokens())
+    total = F.broadcast(_docs(spark, d).agg(F.count("*").alias("n")))
+    return counts.groupBy("term").agg(F.count("*").alias("df")).crossJoin(total).select("term", "df", r6(F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
+
+
+@query(f"""WITH x AS (SELECT doc_id, list_transform({_TOKENS}, lambda z: lower(z)) AS t FROM documents),
+  g AS (SELECT doc_id, unnest(list_concat(t, CASE WHEN len(t) >= 2 THEN list_transform(range(1, len(t)), lambda i: t[i] || ' ' || t[i + 1]) ELSE [] END)) AS term FROM x),
+  tf AS (SELECT doc_id, term, count(*) AS tf FROM g GROUP BY 1, 2), df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1), nd AS (SELECT count(*) AS n FROM documents),
+  w0 AS (SELECT doc_id, tf * (ln((1 + n) / (1 + df)) + 1) AS raw FROM tf JOIN df USING (term), nd)
+  SELECT doc_id AS doc, count(*) AS n_terms, round(sqrt(sum(raw * raw)), 4) AS norm FROM w0 GROUP BY 1""")
+def ngram_tfidf(spark, d):
+    counts = dedup.term_counts(_docs(spark, d), "doc_id", dedup.ngrams(_lower_tokens(), 1, 2))
+    total = F.broadcast(_docs(spark, d).agg(F.count("*").alias("n")))
+    raw = F.col("tf") * (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1)
+    both = counts.join(counts.groupBy("term").agg(F.count("*").alias("df")), "term").crossJoin(total)
+    return both.groupBy("doc").agg(F.count("*").alias("n_terms"), F.round(F.sqrt(F.sum(raw * raw)), 4).alias("norm"))
+
+
+@query(f"WITH {_PAIRS} SELECT i, j, round(sim, 6) AS sim FROM pr")
+def similar_pairs(spark, d):
+    return dedup.similar_pairs(_weights(spark, d)).select("i", "j", r6("sim").alias("sim"))
+
+
+_REMOVED = f"""{_PAIRS}, ord AS (SELECT i, list(j) AS js FROM pr GROUP BY i),
+  gone AS (SELECT list_reduce(list_prepend({{'i': CAST(-1 AS BIGINT), 'js': CAST([] AS BIGINT[]), 'g': CAST([] AS BIGINT[])}}, list({{'i': i, 'js': js, 'g': CAST([] AS BIGINT[])}} ORDER BY i)),
+    lambda a, x: {{'i': x.i, 'js': x.js, 'g': CASE WHEN len(list_filter(x.js, lambda j: NOT list_contains(a.g, j))) > 0 THEN list_append(a.g, x.i) ELSE a.g END}}).g AS g FROM ord),
+  rm AS (SELECT unnest(g) AS doc FROM gone)"""
+
+
+@query(f"WITH {_REMOVED} SELECT doc FROM rm")
+def dedup_removed(spark, d):
+    return dedup.removed(dedup.similar_pairs(_weights(spark, d)))
+
+
+@query(f"WITH {_REMOVED} SELECT doc_id, source FROM documents WHERE doc_id NOT IN (SELECT doc FROM rm)")
+def dedup_survivors(spark, d):
+    gone = dedup.removed(dedup.similar_pairs(_weights(spark, d)))
+    return dedup.survivors(_docs(spark, d).select("doc_id", "source"), gone, "doc_id")
+
+
+@query(f"WITH {_REMOVED} SELECT (SELECT count(*) FROM documents) AS total, (SELECT count(*) FROM rm) AS removed, (SELECT count(*) FROM documents) - (SELECT count(*) FROM rm) AS valid")
+def dedup_stats(spark, d):
+    gone = dedup.removed(dedup.similar_pairs(_weights(spark, d))).agg(F.count("*").alias("removed"))
+    return _docs(spark, d).agg(F.count("*").alias("total")).crossJoin(gone).withColumn("valid", F.col("total") - F.col("removed"))
+
+
+# Lists, joins and slices
+
+@query("SELECT doc_id, lang FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS k FROM documents WHERE doc_id % 2 = 0 OR lang = 'en') WHERE k = 1")
+def list_manual_first(spark, d):
+    manual = _docs(spark, d).select("doc_id", "lang", ((F.col("doc_id") % 2 == 0) | (F.col("lang") == "en")).alias("sub")).filter("sub")
+    return sampling.first_by(manual, "lang", "doc_id").select("doc_id", "lang")
+
+
+@query("SELECT doc_id, source FROM documents WHERE lang IN ('fr', 'es')")
+def category_filter(spark, d):
+    return _docs(spark, d).filter(F.col("lang").isin("fr", "es")).select("doc_id", "source")
+
+
+@query("SELECT doc_id, lang FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)")
+def id_semi_join(spark, d):
+    return _docs(spark, d).select("doc_id", "lang").join(table(spark, d, "labels").filter("quality = 1"), "doc_id", "left_semi")
+
+
+@query("SELECT doc_id, lang FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
+def id_anti_join(spark, d):
+    return _docs(spark, d).select("doc_id", "lang").join(table(spark, d, "labels"), "doc_id", "left_anti")
+
+
+@query("SELECT d.doc_id, d.lang, l.quality FROM labels l JOIN documents d USING (doc_id)")
+def lookup_join(spark, d):
+    return table(spark, d, "labels").join(_docs(spark, d).select("doc_id", "lang"), "doc_id").select("doc_id", "lang", "quality")
+
+
+@query("SELECT n_name, coalesce(c, 0) AS customers FROM (SELECT c_nationkey, count(*) AS c FROM customer GROUP BY 1) RIGHT JOIN nation ON c_nationkey = n_nationkey")
+def right_join_default(spark, d):
+    counts = table(spark, d, "customer").groupBy("c_nationkey").agg(F.count("*").alias("c"))
+    return counts.join(table(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey"), "right").select("n_name", F.coalesce("c", F.lit(0)).alias("customers"))
+
+
+@query("SELECT doc_id, lang FROM documents ORDER BY doc_id LIMIT 90 OFFSET 10")
+def slice_docs(spark, d):
+    return sampling.ordered_slice(_docs(spark, d).select("doc_id", "lang"), "doc_id", 10, 100)
+
+
+@query("SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS pos FROM documents")
+def list_positions(spark, d):
+    return sampling.position(_docs(spark, d).select("doc_id"), "doc_id")
+
+
+# Look-up and evaluation
+
+@query(f"WITH {_LCOUNT} SELECT word, round(1e6 * (n + 1) / (tokens + types), 6) AS freq_pm FROM cnt, tot")
+def smooth_freq(spark, d):
+    freq = _freq(spark, d)
+    return lookup.smoothed(freq.select("word"), freq).select("word", r6(F.col("freq") * 1e6).alias("freq_pm"))
+
+
+_TARGET = f"""{_LCOUNT}, tg AS (SELECT item_id, lower(text) AS whole, {_TOKENS.replace('text', 'lower(text)', 1)} AS ts FROM benchmark),
+  tt AS (SELECT item_id, min((coalesce(n, 0) + 1) / (tokens + types)) AS f, bool_or(n IS NULL) AS m FROM (SELECT item_id, unnest(ts) AS word FROM tg) LEFT JOIN cnt USING (word), tot GROUP BY 1),
+  ww AS (SELECT item_id, (coalesce(n, 0) + 1) / (tokens + types) AS f1, n IS NULL AS m1 FROM tg LEFT JOIN cnt ON whole = word, tot),
+  res AS (SELECT item_id, CASE WHEN f1 > coalesce(f, 0) THEN f1 ELSE coalesce(f, 0) END AS freq, CASE WHEN f1 > coalesce(f, 0) THEN m1 ELSE coalesce(m, false) END AS missing FROM ww LEFT JOIN tt USING (item_id))"""
+
+
+def _targets(spark: SparkSession, d: str, extreme: bool = False) -> DataFrame:
+    freq = _freq(spark, d)
+    items = table(spark, d, "benchmark").select("item_id", python_text.nfkc_lower(F.col("text")).alias("text"))
+    return lookup.targets(items, "item_id", "text", T.tokens(F.col("text")), lambda rows, c: lookup.smoothed(rows, freq, c))
+
+
+@query(f"WITH {_TARGET} SELECT item_id, round(1e6 * freq, 6) AS freq_pm FROM res")
+def lookup_min(spark, d):
+    return _targets(spark, d).select("item_id", r6(F.col("freq") * 1e6).alias("freq_pm"))
+
+
+@query(f"WITH {_TARGET} SELECT item_id, missing FROM res")
+def lookup_missing(spark, d):
+    return _targets(spark, d).select("item_id", "missing")
+
+
+@query(f"""WITH {_LCOUNT}, v AS (SELECT word, CAST(n AS DOUBLE) AS value FROM cnt WHERE n >= 5), t AS (SELECT DISTINCT word FROM cnt WHERE n < 20)
+  SELECT word, value IS NULL AS missing, round(coalesce(value, (SELECT min(value) FROM v)), 6) AS low, round(coalesce(value, (SELECT max(value) FROM v)), 6) AS high FROM t LEFT JOIN v USING (word)""")
+def lookup_unsmoothed(spark, d):
+    freq = _freq(spark, d)
+    values = freq.filter("count >= 5").select("word", F.col("count").cast("double").alias("value"))
+    low = lookup.unsmoothed(freq.filter("count < 20").select("word"), values).withColumnRenamed("freq", "low")
+    high = lookup.unsmoothed(low.drop("missing"), values, worst="max")
+    return high.select("word", "missing", r6("low").alias("low"), r6("freq").alias("high"))
+
+
+_RATED = f"""{_LCOUNT}, dw AS (SELECT doc_id, any_value(lang) AS lang, avg(log10((n + 1) / (tokens + types))) AS x, count(*) AS nt FROM tok JOIN cnt USING (word), tot GROUP BY doc_id),
+  rt AS (SELECT doc_id, lang, x, nt, CAST(quality AS DOUBLE) AS y, toxic = 1 AS missing FROM dw JOIN labels USING (doc_id))"""
+
+
+def _rated(spark: SparkSession, d: str) -> DataFrame:
+    """Mean log frequency of each labelled document's words (x), its rating (y) and a flag."""
+    freq = _freq(spark, d)
+    toks = _docs(spark, d).select("doc_id", "lang", F.explode(_lower_tokens()).alias("word")).groupBy("doc_id", "lang", "word").agg(F.count("*").alias("k"))
+    x = lookup.smoothed(toks, freq).groupBy("doc_id", "lang").agg((F.sum(F.log10("freq") * F.col("k")) / F.sum("k")).alias("x"), F.sum("k").alias("nt"))
+    return x.join(table(spark, d, "labels"), "doc_id").select("doc_id", "lang", "x", "nt", F.col("quality").cast("double").alias("y"), (F.col("toxic") == 1).alias("missing"))
+
+
+@query(f"WITH {_RATED} SELECT lang, count(*) AS n, round(corr(x, y), 6) AS r FROM rt GROUP BY 1")
+def pearson(spark, d):
+    return evaluation.correlation(_rated(spark, d), ["lang"], "x", "y").select("lang", "n", r6("r").alias("r"))
+
+
+@query(f"""WITH {_RATED} SELECT count(*) AS n, count(*) FILTER (WHERE missing) AS n_missing, round(corr(x, y), 6) AS r, round(corr(x, y) FILTER (WHERE NOT missing), 6) AS r_without_missing,
+  round(corr(x, CAST(nt AS DOUBLE)), 6) AS r_reference FROM rt""")
+def pearson_valid(spark, d):
+    out = evaluation.correlation(_rated(spark, d).withColumn("nt", F.col("nt").cast("double")), [], "x", "y", "missing", "nt")
+    return out.select("n", "n_missing", r6("r").alias("r"), r6("r_without_missing").alias("r_without_missing"), r6("r_reference").alias("r_reference"))
+
+
+_RIDGE = f"""{_RATED}, mo AS (SELECT count(*) AS n, avg(x) AS mx, avg(y) AS my, var_pop(x) * count(*) AS sxx, covar_pop(x, y) * count(*) AS sxy FROM rt),
+  er AS (SELECT a, avg(pow((y - my - sxy / (sxx + a) * (x - mx)) / (1 - 1 / n - (x - mx) * (x - mx) / (sxx + a)), 2)) AS e FROM rt, mo, (VALUES (0.1), (1.0), (10.0)) t(a) GROUP BY a),
+  md AS (SELECT CAST(a AS DOUBLE) AS alpha, sxy / (sxx + a) AS slope, my - sxy / (sxx + a) * mx AS intercept FROM (SELECT a FROM er ORDER BY e, a LIMIT 1), mo)"""
+
+
+@query(f"WITH {_RIDGE} SELECT alpha, round(slope, 6) AS slope, round(intercept, 6) AS intercept FROM md")
+def ridge_fit(spark, d):
+    return evaluation.ridge_fit(_rated(spark, d), [], "x", "y").select("alpha", r6("slope").alias("slope"), r6("intercept").alias("intercept"))
+
+
+def _predicted(spark: SparkSession, d: str) -> DataFrame:
+    rows = _rated(spark, d)
+    return evaluation.predict(rows, evaluation.ridge_fit(rows, [], "x", "y"), [], "x")
+
+
+@query(f"WITH {_RIDGE} SELECT doc_id, round(least(greatest(intercept + slope * x, 0), 1), 6) AS prediction FROM rt, md")
+def ridge_predict(spark, d):
+    return _predicted(spark, d).select("doc_id", r6("prediction").alias("prediction"))
+
+
+@query(f"""WITH {_RIDGE}, pd AS (SELECT lang, y, least(greatest(intercept + slope * x, 0), 1) AS p FROM rt, md)
+  SELECT lang, round(corr(y, p), 6) AS r, round(avg(abs(y - p)), 6) AS mae, round(avg((y - p) * (y - p)), 6) AS mse, round(1 - avg((y - p) * (y - p)) / nullif(var_pop(y), 0), 6) AS r2 FROM pd GROUP BY 1""")
+def regression_metrics(spark, d):
+    return evaluation.metrics(_predicted(spark, d), ["lang"], "y").select("lang", *(r6(c).alias(c) for c in ("r", "mae", "mse", "r2")))
+
+
+_LANGCOUNT = f"{_LTOK}, lc AS (SELECT lang AS corpus, word, count(*) AS n FROM tok GROUP BY 1, 2), lt AS (SELECT corpus, sum(n) AS t, count(*) AS types FROM lc GROUP BY 1), lp AS (SELECT corpus, word, n / t AS p, n FROM lc JOIN lt USING (corpus))"
+_GRID = "gr AS (SELECT a.corpus AS a, b.corpus AS b FROM lt a JOIN lt b ON a.corpus <= b.corpus)"
+_JS = "sum(CASE WHEN p > 0 THEN p * ln(p / ((p + q) / 2)) ELSE 0 END + CASE WHEN q > 0 THEN q * ln(q / ((p + q) / 2)) ELSE 0 END)"
+
+
+def _lang_counts(spark: SparkSession, d: str) -> DataFrame:
+    return _docs(spark, d).select(F.col("lang").alias("corpus"), F.explode(_lower_tokens()).alias("word")).groupBy("corpus", "word").agg(F.count("*").alias("count"))
+
+
+@query(f"""WITH {_LANGCOUNT}, {_GRID}, al AS (SELECT a, b, word, sum(p) AS p, sum(q) AS q FROM (SELECT a, b, word, p, 0 AS q FROM gr JOIN lp ON corpus = a UNION ALL SELECT a, b, word, 0, p FROM gr JOIN lp ON corpus = b) GROUP BY 1, 2, 3)
+  SELECT a, b, round(sqrt(greatest({_JS}, 0) / 2), 6) AS distance FROM al GROUP BY 1, 2""")
+def js_distance_langs(spark, d):
+    return evaluation.js_distance(_lang_counts(spark, d)).select("a", "b", r6("distance").alias("distance"))
+
+
+@query(f"""WITH {_LANGCOUNT}, cm AS (SELECT x.corpus AS a, y.corpus AS b, word, x.p AS p0, y.p AS q0 FROM lp x JOIN lp y USING (word) WHERE x.corpus <= y.corpus),
+  nm AS (SELECT a, b, p0 / sum(p0) OVER (PARTITION BY a, b) AS p, q0 / sum(q0) OVER (PARTITION BY a, b) AS q FROM cm)
+  SELECT a, b, round(sqrt(greatest({_JS}, 0) / 2), 6) AS distance FROM nm GROUP BY 1, 2""")
+def js_common(spark, d):
+    return evaluation.js_distance(_lang_counts(spark, d), common=True).select("a", "b", r6("distance").alias("distance"))
+
+
+@query(f"""WITH {_LANGCOUNT}, {_GRID}, rk AS (SELECT *, row_number() OVER (PARTITION BY corpus ORDER BY n DESC, word) <= 100 AS k FROM lp),
+  al AS (SELECT a, b, word, sum(p) AS p0, sum(q) AS q0 FROM (SELECT a, b, word, p, 0 AS q, k FROM gr JOIN rk ON corpus = a UNION ALL SELECT a, b, word, 0, p, k FROM gr JOIN rk ON corpus = b) GROUP BY 1, 2, 3 HAVING bool_or(k)),
+  nm AS (SELECT a, b, p0 / sum(p0) OVER (PARTITION BY a, b) AS p, q0 / sum(q0) OVER (PARTITION BY a, b) AS q FROM al)
+  SELECT a, b, round(sqrt(greatest({_JS}, 0) / 2), 6) AS distance FROM nm GROUP BY 1, 2""")
+def js_top(spark, d):
+    return evaluation.js_distance(_lang_counts(spark, d), top=100).select("a", "b", r6("distance").alias("distance"))
+
+
+@query(f"WITH {_LANGCOUNT} SELECT corpus, types, CAST(t AS BIGINT) AS tokens FROM lt")
+def types_tokens(spark, d):
+    return evaluation.types_tokens(_lang_counts(spark, d), ["corpus"])
+
+
+@query(f"WITH {_RATED} SELECT lang, count(*) AS n, count(*) FILTER (WHERE missing) AS n_missing, round(1 - count(*) FILTER (WHERE missing) / count(*), 6) AS coverage FROM rt GROUP BY 1")
+def coverage(spark, d):
+    out = evaluation.coverage(evaluation.correlation(_rated(spark, d), ["lang"], "x", "y", "missing"))
+    return out.select("lang", "n", "n_missing", r6("coverage").alias("coverage"))
+
+
+@query(f"WITH {_LTOK}, g AS (SELECT source, lang, count(*) AS n FROM tok GROUP BY 1, 2) SELECT source, " + ", ".join(f"CAST(sum(n) FILTER (WHERE lang = '{x}') AS BIGINT) AS {x}" for x in LANGS) + " FROM g GROUP BY 1")
+def corpus_pivot(spark, d):
+    counts = _docs(spark, d).select("source", "lang", F.explode(_lower_tokens())).groupBy("source", "lang").agg(F.count("*").alias("n"))
+    return evaluation.pivot(counts, "source", "lang", "n", LANGS)
+
+
+_STEIGER = "(VALUES (1, 0.7, 0.6, 0.5, 100), (2, 0.5, 0.5, 1.0, 50), (3, -0.62, -0.65, 0.9, 38130), (4, 0.3, 0.1, 0.2, 30), (5, NULL, 0.1, 0.2, 30))"
+
+
+@query(f"""SELECT id, round(CASE WHEN xy = xz AND yz = 1 THEN NULL ELSE (xy - xz) * sqrt((n - 1) * (1 + yz) / (2 * (n - 1) / (n - 3) * (1 - xy * xy - xz * xz - yz * yz + 2 * xy * xz * yz) + pow((xy + xz) / 2, 2) * pow(1 - yz, 3))) END, 6) AS t
+  FROM (SELECT id, CAST(xy AS DOUBLE) AS xy, CAST(xz AS DOUBLE) AS xz, CAST(yz AS DOUBLE) AS yz, CAST(n AS DOUBLE) AS n FROM {_STEIGER} v(id, xy, xz, yz, n))""")
+def steiger_t(spark, d):
+    v = spark.sql(f"SELECT id, CAST(xy AS DOUBLE) xy, CAST(xz AS DOUBLE) xz, CAST(yz AS DOUBLE) yz, CAST(n AS DOUBLE) n FROM {_STEIGER[1:-1]} v(id, xy, xz, yz, n)")
+    return v.select("id", r6(evaluation.steiger(*(F.col(c) for c in ("xy", "xz", "yz", "n")))).alias("t"))
+
+
+@query()
+def steiger_p(spark, d):
+    v = spark.sql(f"SELECT id, CAST(xy AS DOUBLE) xy, CAST(xz AS DOUBLE) xz, CAST(yz AS DOUBLE) yz, CAST(n AS DOUBLE) n FROM {_STEIGER[1:-1]} v(id, xy, xz, yz, n)")
+    p = evaluation.steiger_pvalue(*(F.col(c) for c in ("xy", "xz", "yz", "n")))
+    return v.withColumn("p", p).select("id", r6("p").alias("p"), evaluation.stars(F.col("p")).alias("stars"))
+
+
+@query(f"""SELECT id, round(tanh(atanh(xy) - 1.959963984540054 / sqrt(n - 3)), 6) AS low, round(tanh(atanh(xy) + 1.959963984540054 / sqrt(n - 3)), 6) AS high,
+  round(abs((atanh(xy) - atanh(xz)) / sqrt(2 / (n - 3))), 6) AS z FROM (SELECT id, CAST(xy AS DOUBLE) AS xy, CAST(xz AS DOUBLE) AS xz, CAST(n AS DOUBLE) AS n FROM {_STEIGER} v(id, xy, xz, yz, n))""")
+def fisher_intervals(spark, d):
+    v = spark.sql(f"SELECT id, CAST(xy AS DOUBLE) xy, CAST(xz AS DOUBLE) xz, CAST(n AS DOUBLE) n FROM {_STEIGER[1:-1]} v(id, xy, xz, yz, n)")
+    ci = evaluation.fisher_interval(F.col("xy"), F.col("n"))
+    return v.select("id", r6(ci["low"]).alias("low"), r6(ci["high"]).alias("high"), r6(evaluation.independent_z(F.col("xy"), F.col("xz"), F.col("n"), F.col("n"))).alias("z"))
+
+
+@query("SELECT l_linenumber, l_orderkey, CASE WHEN l_discount < 0.001 THEN '***' WHEN l_discount < 0.01 THEN '**' WHEN l_discount < 0.05 THEN '*' ELSE '' END AS stars FROM lineitem")
+def p_stars(spark, d):
+    return table(spark, d, "lineitem").select("l_linenumber", "l_orderkey", evaluation.stars(F.col("l_discount")).alias("stars"))
+
+
+@query("SELECT c_custkey, c_acctbal >= max(c_acctbal) OVER (PARTITION BY c_nationkey) - 100 AS best FROM customer")
+def highlight(spark, d):
+    return evaluation.highlight(table(spark, d, "customer"), ["c_nationkey"], "c_acctbal", 100.0).select("c_custkey", "best")
+
+
+@query("SELECT user_id, round(avg(value), 6) AS mean, count(*) AS n FROM events WHERE event_type = (SELECT min(event_type) FROM events) AND value BETWEEN 1 AND 50 GROUP BY 1")
+def trimmed_mean(spark, d):
+    events = table(spark, d, "events")
+    first = F.broadcast(events.agg(F.min("event_type").alias("_first")))
+    out = evaluation.trimmed_mean(events.crossJoin(first), "user_id", "value", 1.0, 50.0, F.col("event_type") == F.col("_first"))
+    return out.select("user_id", r6("mean").alias("mean"), "n")
+
+
+@query("SELECT l_partkey, round(avg(l_extendedprice), 4) AS mean FROM lineitem GROUP BY 1")
+def dup_key_mean(spark, d):
+    return evaluation.key_mean(table(spark, d, "lineitem"), "l_partkey", "l_extendedprice").select("l_partkey", F.round("mean", 4).alias("mean"))
+
+
+@query("SELECT role AS label, count(*) AS n, round(count(*) / (SELECT count(*) FROM conversations), 6) AS share FROM conversations GROUP BY 1")
+def annotation_props(spark, d):
+    return evaluation.proportions(table(spark, d, "conversations"), F.col("role")).select("label", "n", r6("share").alias("share"))
+
+
+@query("""WITH c AS (SELECT conv_id, string_agg(DISTINCT role, '+' ORDER BY role) AS label FROM conversations WHERE turn < 3 GROUP BY 1)
+  SELECT label, count(*) AS n, round(count(*) / (SELECT count(*) FROM c), 6) AS share FROM c GROUP BY 1""")
+def annotation_combined(spark, d):
+    wide = table(spark, d, "conversations").filter("turn < 3").groupBy("conv_id").agg(*(F.max(F.when(F.col("turn") == k, F.col("role"))).alias(f"a{k}") for k in range(3)))
+    return evaluation.proportions(wide, evaluation.combined_label("a0", "a1", "a2")).select("label", "n", r6("share").alias("share"))
+
+
+@query("SELECT event_id, CAST(CASE WHEN value * 10 >= 600 THEN 2 WHEN value * 10 >= 180 THEN 1 ELSE 0 END AS INTEGER) AS duration_class FROM events")
+def duration_class(spark, d):
+    return table(spark, d, "events").select("event_id", evaluation.duration_class(F.col("value") * 10).alias("duration_class"))
+
+
+@query("""WITH n AS (SELECT lang, count(*) AS n FROM documents GROUP BY 1), a AS (SELECT count(*) AS al FROM documents),
+  q AS (SELECT lang, n, floor(100 * n / al) AS fl, round(100 * n / al - floor(100 * n / al), 9) AS rest FROM n, a),
+  g AS (SELECT lang, fl + CASE WHEN row_number() OVER (ORDER BY rest DESC, n DESC, lang) <= 100 - (SELECT sum(fl) FROM q) THEN 1 ELSE 0 END AS quota FROM q)
+  SELECT doc_id, lang FROM (SELECT doc_id, lang, quota, row_number() OVER (PARTITION BY lang ORDER BY md5('42:' || doc_id)) AS k FROM documents JOIN g USING (lang)) WHERE k <= quota""")
+def stratified_sample(spark, d):
+    order = F.md5(F.concat(F.lit("42:"), F.col("doc_id").cast("string")).cast("binary"))
+    return sampling.stratified(_docs(spark, d).select("doc_id", "lang"), ["lang"], 100, order)
+
+
+_VARIANT = "CASE WHEN line = '' THEN 'unknown' WHEN regexp_matches(line, '^[A-E]') THEN 'trad' WHEN regexp_matches(line, '^[F-N]') THEN 'simp' ELSE 'both' END"
+
+
+@query(f"""WITH x AS (SELECT doc_id, {_VARIANT} AS v FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents)),
+  c AS (SELECT doc_id, count(*) FILTER (WHERE v <> 'unknown') AS n, count(*) FILTER (WHERE v = 'trad') AS a, count(*) FILTER (WHERE v = 'simp') AS b, count(*) FILTER (WHERE v = 'both') AS c FROM x GROUP BY 1)
+  SELECT doc_id, CASE WHEN n = 0 THEN 'unknown' WHEN c = n THEN 'both' WHEN a > b AND ((a + c) / n >= 0.95 OR b <= 1) THEN 'trad' WHEN b > a AND ((b + c) / n >= 0.95 OR a <= 1) THEN 'simp' ELSE 'mixed' END AS variant FROM c""")
+def majority_variant(spark, d):
+    lines = _docs(spark, d).select("doc_id", F.explode(F.split("text", "\n")).alias("line"))
+    v = F.when(F.col("line") == "", "unknown").when(F.col("line").rlike("^[A-E]"), "trad").when(F.col("line").rlike("^[F-N]"), "simp").otherwise("both")
+    return evaluation.majority(lines.withColumn("v", v), "doc_id", "v", "trad", "simp", "both", "unknown")
+
+
+@query(f"WITH {_RATED}, sz AS (SELECT lang, count(*) AS tokens FROM tok GROUP BY 1) SELECT lang, round(log10(tokens), 6) AS log_tokens, round(r, 6) AS r FROM (SELECT lang, corr(x, y) AS r FROM rt GROUP BY 1) JOIN sz USING (lang)")
+def size_corr(spark, d):
+    sizes = evaluation.types_tokens(_lang_counts(spark, d), ["corpus"]).withColumnRenamed("corpus", "lang")
+    out = evaluation.size_correlation(sizes, evaluation.correlation(_rated(spark, d), ["lang"], "x", "y"), ["lang"])
+    return out.select("lang", r6("log_tokens").alias("log_tokens"), r6("r").alias("r"))
+
+
+@query("SELECT conv_id, CAST(turn AS BIGINT) AS turn, left(regexp_extract(text, '[\\p{L}\\p{N}_]{1,6}[^\\p{L}\\p{N}_]{1,2}[\\p{L}\\p{N}_]{1,6}|[\\p{L}\\p{N}_]+'), 16) AS prefix FROM conversations WHERE regexp_matches(text, '[\\p{L}\\p{N}_]')")
+def cue_prefixes(spark, d):
+    return table(spark, d, "conversations").select("conv_id", "turn", T.cue_prefix(F.col("text")).alias("prefix")).filter("prefix IS NOT NULL")
+
+
+@query("SELECT role FROM conversations EXCEPT SELECT 'user'")
+def unexpected_labels(spark, d):
+    return table(spark, d, "conversations").select("role").exceptAll(spark.sql("SELECT 'user' AS role")).distinct().filter("role <> 'user'")
+
+
+@query("SELECT word, max(CASE k WHEN 2 THEN v END) IS NOT NULL AS later, coalesce(max(CASE k WHEN 2 THEN v END), max(CASE k WHEN 1 THEN v END)) AS value FROM (SELECT lang AS word, 1 AS k, max(doc_id) AS v FROM documents GROUP BY 1 UNION ALL SELECT lang, 2, min(doc_id) FROM documents WHERE lang <> 'en' GROUP BY 1) GROUP BY 1")
+def source_precedence(spark, d):
+    docs = _docs(spark, d)
+    a = docs.groupBy(F.col("lang").alias("word")).agg(F.max("doc_id").alias("value")).withColumn("later", F.lit(False))
+    b = docs.filter("lang <> 'en'").groupBy(F.col("lang").alias("word")).agg(F.min("doc_id").alias("value")).withColumn("later", F.lit(True))
+    return lookup.prefer(a, b, keys=["word"])
