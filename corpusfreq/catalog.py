@@ -255,7 +255,7 @@ def strip_cue_tags(spark, d):
     return table(spark, d, "pages").select("page_id", F.md5(T.strip_cue_tags(F.col("html")).cast("binary")).alias("digest"))
 
 
-@query("""SELECT * FROM (VALUES (1, 3723.001, 35996519.001), (2, 119.999, 3574.567), (3, NULL, NULL), (4, NULL, NULL), (5, NULL, NULL), (6, NULL, NULL), (7, NULL, NULL), (8, 1.5, 2.0)) t(id, start, "end")""")
+@query("""SELECT * FROM (VALUES (1, 3723.001, 35996519.001), (2, 119.999, 3574.567), (3, NULL, NULL), (4, NULL, NULL), (5, NULL, NULL), (6, NULL, NULL), (7, NULL, NULL), (8, 1.5, 2.0)) t(id, start, "end")""".replace("SELECT *", 'SELECT id, CAST(start AS DOUBLE) AS start, CAST("end" AS DOUBLE) AS "end"'))
 def timing_parse(spark, d):
     rows = [(1, "01:02:03.001 --> 9999:01:59.001"), (2, "00:01:59.999 --> 59:34.567"), (3, "00:01.0000 --> 00:02.000"), (4, "00:60.000 --> 00:61.000"), (5, "0:01.000 --> 00:02.000"),
             (6, " 00:01.000 --> 00:02.000"), (7, "00:01,000 --> 00:02,000"), (8, "00:01.500 --> 00:02.000 align:start")]
@@ -287,7 +287,7 @@ _KIND = f"""{_EVENT}, p AS (SELECT *, lag(e) OVER w AS pe, lag(t) OVER w AS pt F
 
 
 def _event_kinds(spark: SparkSession, d: str) -> DataFrame:
-    s = F.unix_micros("ts") / F.lit(1e6)
+    s = F.unix_micros(F.col("ts").cast("timestamp")) / F.lit(1e6)
     rows = table(spark, d, "events").select("user_id", "event_id", s.alias("start"), (s + F.coalesce("value", F.lit(0.0)) * 3600).alias("end"), F.col("event_type").alias("text"))
     return cues.clean_cues(rows.withColumn("at", F.col("start")), "user_id", ["at", "event_id"])
 
@@ -675,9 +675,9 @@ def trimmed_mean(spark, d):
     return out.select("user_id", r6("mean").alias("mean"), "n")
 
 
-@query("SELECT l_partkey, round(avg(l_extendedprice), 4) AS mean FROM lineitem GROUP BY 1")
+@query("SELECT l_partkey, round(avg(l_quantity), 6) AS mean FROM lineitem GROUP BY 1")
 def dup_key_mean(spark, d):
-    return evaluation.key_mean(table(spark, d, "lineitem"), "l_partkey", "l_extendedprice").select("l_partkey", F.round("mean", 4).alias("mean"))
+    return evaluation.key_mean(table(spark, d, "lineitem"), "l_partkey", "l_quantity").select("l_partkey", r6("mean").alias("mean"))
 
 
 @query("SELECT role AS label, count(*) AS n, round(count(*) / (SELECT count(*) FROM conversations), 6) AS share FROM conversations GROUP BY 1")

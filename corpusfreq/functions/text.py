@@ -86,7 +86,7 @@ def markup_to_text(text: Column) -> Column:
 
 def chars_in(text: Column, charset: str) -> Column:
     """Number of characters of the language's set."""
-    return F.length(text) - F.length(F.regexp_replace(text, f"[{CHARSETS.get(charset, CHARSETS['latin'])}]", ""))
+    return F.length(text) - F.length(F.regexp_replace(text, f"[{CHARSETS.get(charset, CHARSETS['latin'])}]+", ""))
 
 
 def tokens(text: Column) -> Column:
@@ -99,8 +99,10 @@ def replace_numbers(toks: Column) -> Column:
     mark = "\u0001"
     pieces = F.flatten(F.transform(toks, lambda t: F.when(t == "", F.array(F.lit(""))).otherwise(
         F.filter(F.split(F.regexp_replace(t, rf"[{DIGIT}]+", f"{mark}{NUM}{mark}"), mark), lambda p: p != ""))))
-    # the element before tells whether a <num> repeats; a literal <num> piece can't arise otherwise, since < is no digit
-    return F.filter(F.transform(pieces, lambda p, i: F.when((p == NUM) & (i > 0) & (F.get(pieces, i - 1) == NUM), F.lit(None)).otherwise(p)), lambda p: p.isNotNull())
+    # zipped with itself one place on; a literal <num> piece can't arise otherwise, since < is no digit
+    before = F.concat(F.array(F.lit("")), F.slice(pieces, 1, F.greatest(F.size(pieces) - 1, F.lit(0))))
+    once = F.zip_with(pieces, before, lambda p, q: F.when((p == NUM) & (q == NUM), F.lit(None)).otherwise(p))
+    return F.filter(F.when(F.size(pieces) > 0, once).otherwise(pieces), lambda p: p.isNotNull())
 
 
 def is_word(token: Column) -> Column:

@@ -17,8 +17,14 @@ THRESHOLD = 0.95
 
 
 def ngrams(toks: Column, low: int = 1, high: int = 1) -> Column:
-    """All n-grams of low to high tokens, joined by blanks."""
-    parts = [F.when(F.size(toks) >= n, F.transform(F.sequence(F.lit(1), F.size(toks) - n + 1), lambda i, n=n: F.array_join(F.slice(toks, i, n), " "))).otherwise(F.array().cast("array<string>")) for n in range(low, high + 1)]
+    """All n-grams of low to high tokens, joined by blanks. Neighbours are zipped, so the tokens are worked out a fixed number of times."""
+    parts, grams = [], toks
+    for n in range(1, high + 1):
+        if n > 1:
+            rest = F.slice(toks, n, F.greatest(F.size(toks) - n + 1, F.lit(0)))
+            grams = F.filter(F.zip_with(grams, rest, lambda a, b: F.concat(a, F.lit(" "), b)), lambda x: x.isNotNull())
+        if n >= low:
+            parts.append(grams)
     return F.concat(*parts) if len(parts) > 1 else parts[0]
 
 
