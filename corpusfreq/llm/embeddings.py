@@ -14,6 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -114,7 +115,7 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
         """Bits of each vector and its slab in each block."""
         for b in batches:
             v = b.column(1)
-            ok = [x is not None and len(x) == dim for x in v]
+            ok = [n == dim for n in pc.list_value_length(v).to_pylist()]
             if not any(ok):
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.nulls(b.num_rows, pa.binary()), pa.nulls(b.num_rows, pa.list_(pa.int32()))], ["id", "raw", "slabs"])
                 continue
