@@ -153,10 +153,11 @@ def remove_duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: st
     """
     cuts, _ = materialize(duplicate_lines(docs, id_col, text_col, min_words, key_words), "cuts")
     names = docs.columns
+    rest = [c for c in names if c != text_col]
+    packed = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.struct(*(F.col(c) for c in rest), F.lit(0)).alias("rest"))  # no name can clash
     # by shuffle at any size: what is cut grows with the documents
-    marked = docs.join(cuts.select(F.col(id_col).alias("_cut_id"), F.col("cut").alias("_cut")).hint("merge"), F.col(id_col) == F.col("_cut_id"), "left")
-    kept = F.array_join(F.filter(F.split(text_col, "\n"), lambda x, n: ~F.array_contains("_cut", n.cast("int"))), "\n")
-    text = F.when(F.col("_cut").isNull(), F.col(text_col)).otherwise(F.when(F.trim(kept) == "", F.lit("")).otherwise(kept))
-    out = marked.withColumn("_text", text)
+    marked = packed.join(cuts.select(F.col(id_col).alias("of"), "cut").hint("merge"), F.col("id") == F.col("of"), "left")
+    kept = F.array_join(F.filter(F.split("text", "\n"), lambda x, n: ~F.array_contains("cut", n.cast("int"))), "\n")
+    out = marked.withColumn("new", F.when(F.col("cut").isNull(), F.col("text")).otherwise(F.when(F.trim(kept) == "", F.lit("")).otherwise(kept)))
     return out.select(*(
-        F.col("_text").alias(text_col) if c == text_col else F.length("_text").cast(docs.schema[c].dataType).alias(c) if c == length_col else F.col(c) for c in names))
+        F.col("new").alias(text_col) if c == text_col else F.length("new").cast(docs.schema[c].dataType).alias(c) if c == length_col else F.col("rest")[c].alias(c) for c in names))
