@@ -19,7 +19,7 @@ import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, In, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, In, InputPartition, IsNotNull
 
 from corpusfreq.session import materialize, scratch_path
 
@@ -211,12 +211,15 @@ class Reader(DataSourceReader):
         self.target = int(options.get("partition_bytes", 16 << 20))
         self.columns = schema.fieldNames()
         self.equal: list[tuple[str, set]] = []
+        self.given: list[str] = []
 
     def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
-        """Equality and IN on header columns are settled here, on the header alone; the rest goes back to Spark."""
+        """Equality, IN and not-null on header columns are settled here, on the header alone; the rest goes back to Spark."""
         for f in filters:
             if isinstance(f, (EqualTo, In)) and len(f.attribute) == 1 and f.attribute[0] in HEADERS:
                 self.equal.append((f.attribute[0], {f.value} if isinstance(f, EqualTo) else set(f.value)))
+            elif isinstance(f, IsNotNull) and len(f.attribute) == 1 and f.attribute[0] in HEADERS:
+                self.given.append(f.attribute[0])
             else:
                 yield f
 
@@ -238,7 +241,7 @@ class Reader(DataSourceReader):
         kinds = {"offset": pa.int64(), "content_length": pa.int64(), "payload_length": pa.int64(), "payload": pa.binary()}
 
         def wanted(head: dict) -> bool:
-            return all(head[c] in values for c, values in self.equal)
+            return all(head[c] is not None for c in self.given) and all(head[c] in values for c, values in self.equal)
 
         rows, held = [], 0
 
