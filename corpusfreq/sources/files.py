@@ -145,7 +145,7 @@ def read_frequencies(spark: SparkSession, path: str, columns: list[str] | None =
     Comment lines (#) stand before the header. columns picks word, count and context diversity by name; sub_lemma is joined by a hyphen where it isn't empty. Counts of
     equal words are summed, diversity is their largest. Totals come from a row, from two header lines, or from the sum.
     """
-    lines = frequency_lines(spark, path, encoding, member).filter(F.length(F.rtrim(F.lit(delimiter + "\n"), "line")) > 0)
+    lines = frequency_lines(spark, path, encoding, member).filter(F.length(F.rtrim("line", F.lit(delimiter + "\n"))) > 0)
     told = None
     if total_header:
         told = lines.filter(F.col("line").rlike(r"^(Total word count|Context number):"))
