@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 BLOCK_ROWS = 64
 MAX_CYCLE, MAX_CELLS = 20_000, 2_000_000
-CHUNK_ROWS, MAX_CHUNKS = 50_000, 20_000
+CHUNK_ROWS, MAX_CHUNKS = 10_000, 50_000
 
 
 def _least(k: str, n: str, cycle: int) -> str:
