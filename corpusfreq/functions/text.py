@@ -16,7 +16,7 @@ NUM = "<num>"
 #: Digits, and digits raised, lowered, circled, bracketed or with a full stop.
 DIGIT = r"\p{Nd}\x{2070}\x{B9}\x{B2}\x{B3}\x{2074}-\x{2079}\x{2080}-\x{2089}\x{2460}-\x{2473}\x{24EA}\x{24F5}-\x{24FD}\x{24FF}\x{2776}-\x{277F}\x{2474}-\x{249B}\x{1F100}"
 LETTERS = rf"[{WORD}&&[^{DIGIT}]]"
-TOKEN = rf"(?:{LETTERS}|{WAVE})+|['\-]|[{DIGIT}]+"
+TOKEN = rf"[a-zA-Z_{WAVE}{WORD}&&[^{DIGIT}]]++|['\-]|[{DIGIT}]++"
 
 _HAN = r"\x{2E80}-\x{2FD5}\x{F900}-\x{FA6A}\x{4E00}-\x{9FCB}\x{3400}-\x{4DB5}"
 _WIDE = r"\x{FF01}-\x{FF5E}\x{3000}-\x{303F}"
@@ -91,7 +91,7 @@ def chars_in(text: Column, charset: str) -> Column:
 
 def tokens(text: Column) -> Column:
     """Runs of letters, single ' or -, and each run of digits as <num>; the rest is left out."""
-    return F.transform(F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0)), lambda t: F.when(t.rlike(rf"^[{DIGIT}]"), F.lit(NUM)).otherwise(t))
+    return F.transform(F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0)), lambda t: F.when((t >= "A") & (t < "{"), t).when(t.rlike(rf"^[{DIGIT}]"), F.lit(NUM)).otherwise(t))  # most start with a Latin letter
 
 
 def replace_numbers(toks: Column) -> Column:
