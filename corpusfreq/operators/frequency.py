@@ -31,8 +31,7 @@ def word_counts(grain: DataFrame, categories: list[str] = (), by: list[str] = ()
 def normal_forms(grain: DataFrame) -> DataFrame:
     """The grain once for each normal form (norm: none, lower, nfkc, nfkc-lower). Forms are computed once a distinct word, then documents and channels meet again."""
     vocabulary = grain.select("word").distinct()
-    plain = F.col("word").rlike(r"^[\x00-\x7F]*$")  # already in every compatibility form; only the rest goes through Python
-    known = vocabulary.filter(plain).withColumn("k", F.col("word")).unionByName(vocabulary.filter(~plain).withColumn("k", python_text.nfkc(F.col("word"))))
+    known = vocabulary.withColumn("k", python_text.nfkc(F.col("word")))
     lower, nfkc = F.lower("word"), F.col("k")
     forms = known.select("word", F.explode(F.array(
         F.struct(F.lit("none").alias("norm"), F.col("word").alias("form")), F.struct(F.lit("lower").alias("norm"), lower.alias("form")),
