@@ -1,10 +1,12 @@
 """Line deduplication by pairwise alignment.
 
-Overlapping documents are found through the hashes of lines that more than one document holds: each such
-line links its later documents to the first one that holds it, so a line costs one pair a document however common
-it is. Each pair is aligned by patience diff (lines unique in both, longest increasing run, again between the
-anchors), and again on what is left until no common line remains, so moved blocks are found too. Aligned
-common blocks of at least `min_words` words are deleted from the later document; order is that of the ids.
+Overlapping documents are found through the hashes of runs of neighbouring lines: the shortest run from each line,
+and the shortest up to each line, that has `min_words` words. Each run that more than one document holds links its later
+documents to the first one that holds it, so a run costs one pair a document however common it is, and since such runs
+cover every block of `min_words` words, each block is compared with a document that holds it. Each pair is aligned by
+patience diff (lines unique in both, longest increasing run, again between the anchors), and again on what is left until
+no common line remains, so moved blocks are found too; runs that both hold but the alignment placed elsewhere are added.
+Common blocks of at least `min_words` words are deleted from the later document; order is that of the ids.
 """
 
 from __future__ import annotations
@@ -13,6 +15,7 @@ from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -20,7 +23,7 @@ from pyspark.sql import functions as F
 from corpusfreq.session import materialize
 
 MIN_WORDS = 10
-KEY_WORDS = 3
+FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
 
 def _increasing(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -79,15 +82,54 @@ def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
     return sorted(found)
 
 
+def spans(n: np.ndarray, w: np.ndarray, doc: np.ndarray, min_words: int) -> tuple[np.ndarray, np.ndarray]:
+    """(start, end) of the shortest runs of neighbouring lines from each line, and up to each line, that have min_words words.
+    n: line numbers, rising within a document; w: words, at least 1. Such runs cover each longer run of min_words words."""
+    if not len(n):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    begins = np.r_[True, (np.diff(n) != 1) | (np.diff(doc) != 0)]
+    block = np.cumsum(begins) - 1
+    low = np.flatnonzero(begins)
+    high = np.r_[low[1:], len(n)]
+    total = np.r_[0, np.cumsum(w, dtype=np.int64)]
+    at = np.arange(len(n))
+    end = np.maximum(np.searchsorted(total, total[:-1] + min_words), at + 1)
+    start = np.minimum(np.searchsorted(total, total[1:] - min_words, side="right") - 1, at)
+    down, up = end <= high[block], start >= low[block]
+    both = np.unique(np.r_[np.c_[at[down], end[down]], np.c_[start[up], at[up] + 1]], axis=0)
+    return both[:, 0], both[:, 1]
+
+
+def run_keys(h: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of the lines of each run."""
+    lines, key = h.view(np.uint64), np.zeros(len(start), np.uint64)
+    for k in range(int((end - start).max(initial=0))):
+        on = np.flatnonzero(start + k < end)
+        key[on] = key[on] * FACTOR + lines[start[on] + k]
+    return key.view(np.int64)
+
+
+def _common_runs(later: list[tuple[int, int, int]], earlier: list[tuple[int, int]], min_words: int) -> set[int]:
+    """Line numbers of `later` in runs of min_words words that `earlier` holds too."""
+    words = {h: w for _, h, w in later}
+    sides = [later, [(n, h, words[h]) for n, h in earlier if h in words]]
+    found = []
+    for side in sides:
+        n, w, h = np.array([x[0] for x in side]), np.array([x[2] for x in side]), [x[1] for x in side]
+        found.append([(s, e, tuple(h[s:e])) for s, e in zip(*(x.tolist() for x in spans(n, w, np.zeros(len(n), np.int64), min_words)))])
+    held = {x for _, _, x in found[1]}
+    return {later[i][0] for s, e, x in found[0] if x in held for i in range(s, e)}
+
+
 def common_blocks(later: list[tuple[int, int, int]], earlier: list[tuple[int, int]], min_words: int) -> set[int]:
-    """Line numbers of `later` (number, hash, words) in aligned blocks of at least min_words words. earlier: (number, hash)."""
+    """Line numbers of `later` (number, hash, words) in common blocks of at least min_words words. earlier: (number, hash)."""
     drop: set[int] = set()
     short: set[int] = set()  # lines that were aligned in too short a block; without them others get their turn
     pool = {h for _, h in earlier}
     while True:
         left = [x for x in later if x[0] not in drop and x[0] not in short and x[1] in pool]
         if not left:
-            return drop
+            return drop | _common_runs(later, earlier, min_words) if short else drop
         own = {h for _, h, _ in left}
         base = [x for x in earlier if x[1] in own]
         block: list[tuple[int, int, int]] = []
@@ -115,19 +157,28 @@ def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return lines.select("id", "n", F.xxhash64("line").alias("h"), words.alias("w")).filter("w > 0 AND id IS NOT NULL")
 
 
-def duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, key_words: int = KEY_WORDS) -> DataFrame:
+def duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """(id, cut): the line numbers, from 0, that each later document loses. Documents that lose nothing aren't listed.
 
     A null text has no lines; rows that repeat an id are one document (its first text by order). An empty table gives no rows.
     """
     once = _lines(docs, id_col, text_col).groupBy("id", "n").agg(F.min(F.struct("h", "w")).alias("x")).select("id", "n", "x.h", "x.w")
     lines, _ = materialize(once, "lines")
-    held = lines.groupBy("h").agg(F.min("id").alias("first"), F.max("id").alias("last"), F.max("w").alias("w")).filter("first < last")
-    held, _ = materialize(held, "held")
-    shared, _ = materialize(lines.join(held.select("h", "first", F.col("w").alias("_w")), "h"), "shared")
-    pairs = shared.filter((F.col("id") > F.col("first")) & (F.col("_w") >= key_words)).groupBy("id", "first").agg(F.count("*").alias("_n"))
-    sequence = shared.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("n", "h", "w"))).alias("seq"))
+    held = lines.groupBy("h").agg(F.min("id").alias("first"), F.max("id").alias("last")).filter("first < last").select("h")
+    sequence = lines.join(held, "h").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("n", "h", "w"))).alias("seq"))
     sequence, _ = materialize(sequence, "sequences")
+    kind = lines.schema["id"].dataType.simpleString()
+
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            n, h, w = (b.column(1).flatten().field(c).to_numpy(zero_copy_only=False) for c in ("n", "h", "w"))
+            doc = np.repeat(np.arange(b.num_rows), b.column(1).value_lengths().to_numpy(zero_copy_only=False))
+            start, end = spans(n, w, doc, min_words)
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(doc[start])), pa.array(run_keys(h, start, end))], ["id", "key"])
+
+    runs, _ = materialize(sequence.select("id", "seq").mapInArrow(keys, f"id {kind}, key long"), "runs")
+    first = runs.groupBy("key").agg(F.min("id").alias("first"), F.max("id").alias("last")).filter("first < last").select("key", "first")
+    pairs = runs.join(first, "key").filter("id > first").select("id", "first").distinct()
     both = (pairs.select("id", "first").join(sequence.withColumnRenamed("seq", "later"), "id")
             .join(sequence.select(F.col("id").alias("first"), F.transform("seq", lambda x: F.struct(x["n"].alias("n"), x["h"].alias("h"))).alias("earlier")), "first").select("id", "later", "earlier"))
 
@@ -141,17 +192,16 @@ def duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                     list(zip(y.field("n").to_pylist(), y.field("h").to_pylist())), min_words)))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(cuts, pa.list_(pa.int32()))], ["id", "cut"])
 
-    kind = lines.schema["id"].dataType.simpleString()
     found = both.mapInArrow(run, f"id {kind}, cut array<int>").filter("size(cut) > 0")
     return found.groupBy("id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("cut")))).alias("cut")).withColumnRenamed("id", id_col)
 
 
-def remove_duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length_col: str | None = None, min_words: int = MIN_WORDS, key_words: int = KEY_WORDS) -> DataFrame:
+def remove_duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length_col: str | None = None, min_words: int = MIN_WORDS) -> DataFrame:
     """The documents, columns as they were, without their duplicate lines; length_col, if given, gets the new text's length.
 
     Only documents that lose lines are rewritten; texts of which nothing but white space is left become empty, rows are never dropped.
     """
-    cuts, _ = materialize(duplicate_lines(docs, id_col, text_col, min_words, key_words), "cuts")
+    cuts, _ = materialize(duplicate_lines(docs, id_col, text_col, min_words), "cuts")
     names = docs.columns
     rest = [c for c in names if c != text_col]
     packed = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.struct(*(F.col(c) for c in rest), F.lit(0)).alias("rest"))  # no name can clash

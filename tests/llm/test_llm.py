@@ -300,6 +300,40 @@ def test_line_edges(odd, nothing, spark):
     assert lines.remove_duplicate_lines(nothing).count() == 0
 
 
+def blocks_of_all_pairs(docs, least=10):
+    """doc -> line numbers in runs of lines of at least `least` words that stand as a run in any earlier document."""
+    out = {}
+    for d, rows in docs.items():
+        words, out[d] = [len(x.split()) for x in rows], set()
+        for e in (e for e in docs if e < d):
+            for s in range(len(rows)):
+                for t in range(len(docs[e])):
+                    k = 0
+                    while s + k < len(rows) and t + k < len(docs[e]) and rows[s + k] == docs[e][t + k]:
+                        k += 1
+                    if sum(words[s:s + k]) >= least:
+                        out[d] |= set(range(s, s + k))
+    return out
+
+
+def test_blocks_of_short_lines_against_all_pairs(spark):
+    rng = random.Random(5)
+    pool = [" ".join(f"{c}{k}" for k in range(n)) for c, n in zip("abcdefghijkl", (1, 2, 3, 4, 5, 6, 7, 8, 9, 9, 10, 12))]
+    docs = {1: pool[3:5] + ["x"], 2: ["y", *pool[5:6]], 3: ["p", *pool[3:6], "q"], 4: ["r", *pool[3:6], "s"]}  # each line of the block first stands elsewhere
+    docs |= {5: ["u", pool[10], "v"], 6: ["w", pool[10], pool[0]], 7: ["z", pool[10], pool[0], "t"]}  # a block that ends in a short line
+    docs |= {d: rng.choices(pool, k=rng.randint(1, 9)) for d in range(8, 120)}
+    want = blocks_of_all_pairs(docs)
+    assert want[4] == {1, 2, 3} and want[7] == {1, 2}
+    table = spark.createDataFrame([(d, "\n".join(x)) for d, x in docs.items()], "doc_id long, text string")
+    assert {r.doc_id: set(r.cut) for r in lines.duplicate_lines(table).collect()} == {d: x for d, x in want.items() if x}
+
+
+def test_blocks_that_the_alignment_places_elsewhere():
+    x, y, z, v = (1, 5), (2, 5), (3, 5), (4, 5)
+    later, earlier = [(k, *a) for k, a in enumerate([x, y, x])], [(k, a[0]) for k, a in enumerate([x, z, x, y, v])]
+    assert lines.common_blocks(later, earlier, 10) == {0, 1}
+
+
 # 1
 
 def test_deviation_is_below_one_block(spark):
