@@ -151,45 +151,49 @@ def common_blocks(later: list[tuple[int, int, int]], earlier: list[tuple[int, in
 
 
 def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, n, h, w) of each line that holds a word: its number, hash and number of words."""
-    lines = docs.select(F.col(id_col).alias("id"), F.posexplode(F.split(F.col(text_col), "\n")).alias("n", "line"))
+    """(id, k, n, h, w) of each line that holds a word: its number among such lines and among all, hash and number of words."""
+    full = F.filter(F.transform(F.split(F.col(text_col), "\n"), lambda x, n: F.struct(n.alias("n"), x.alias("line"))), lambda x: x["line"].rlike(r"\S"))
+    lines = docs.select(F.col(id_col).alias("id"), F.posexplode(full).alias("k", "x")).select("id", "k", "x.n", "x.line")
     words = F.size(F.filter(F.split("line", r"\s+"), lambda x: x != ""))
-    return lines.select("id", "n", F.xxhash64("line").alias("h"), words.alias("w")).filter("w > 0 AND id IS NOT NULL")
+    return lines.select("id", "k", "n", F.xxhash64("line").alias("h"), words.alias("w")).filter("w > 0 AND id IS NOT NULL")
 
 
 def duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """(id, cut): the line numbers, from 0, that each later document loses. Documents that lose nothing aren't listed.
 
+    Lines without a word are passed over: they neither part a block nor are they cut.
     A null text has no lines; rows that repeat an id are one document (its first text by order). An empty table gives no rows.
     """
-    once = _lines(docs, id_col, text_col).groupBy("id", "n").agg(F.min(F.struct("h", "w")).alias("x")).select("id", "n", "x.h", "x.w")
+    once = _lines(docs, id_col, text_col).groupBy("id", "k").agg(F.min(F.struct("h", "w", "n")).alias("x")).select("id", "k", "x.n", "x.h", "x.w")
     lines, _ = materialize(once, "lines")
     held = lines.groupBy("h").agg(F.min("id").alias("first"), F.max("id").alias("last")).filter("first < last").select("h")
-    sequence = lines.join(held, "h").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("n", "h", "w"))).alias("seq"))
+    sequence = lines.join(held, "h").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("k", "h", "w", "n"))).alias("seq"))
     sequence, _ = materialize(sequence, "sequences")
     kind = lines.schema["id"].dataType.simpleString()
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            n, h, w = (b.column(1).flatten().field(c).to_numpy(zero_copy_only=False) for c in ("n", "h", "w"))
+            k, h, w = (b.column(1).flatten().field(c).to_numpy(zero_copy_only=False) for c in ("k", "h", "w"))
             doc = np.repeat(np.arange(b.num_rows), b.column(1).value_lengths().to_numpy(zero_copy_only=False))
-            start, end = spans(n, w, doc, min_words)
+            start, end = spans(k, w, doc, min_words)
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(doc[start])), pa.array(run_keys(h, start, end))], ["id", "key"])
 
     runs, _ = materialize(sequence.select("id", "seq").mapInArrow(keys, f"id {kind}, key long"), "runs")
     first = runs.groupBy("key").agg(F.min("id").alias("first"), F.max("id").alias("last")).filter("first < last").select("key", "first")
     pairs = runs.join(first, "key").filter("id > first").select("id", "first").distinct()
     both = (pairs.select("id", "first").join(sequence.withColumnRenamed("seq", "later"), "id")
-            .join(sequence.select(F.col("id").alias("first"), F.transform("seq", lambda x: F.struct(x["n"].alias("n"), x["h"].alias("h"))).alias("earlier")), "first").select("id", "later", "earlier"))
+            .join(sequence.select(F.col("id").alias("first"), F.transform("seq", lambda x: F.struct(x["k"].alias("k"), x["h"].alias("h"))).alias("earlier")), "first").select("id", "later", "earlier"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             cuts = []
             for later, earlier in zip(b.column(1), b.column(2)):
                 x, y = later.values, earlier.values
-                cuts.append(sorted(common_blocks(
-                    list(zip(x.field("n").to_pylist(), x.field("h").to_pylist(), x.field("w").to_pylist())),
-                    list(zip(y.field("n").to_pylist(), y.field("h").to_pylist())), min_words)))
+                at = x.field("k").to_pylist()
+                n = dict(zip(at, x.field("n").to_pylist()))
+                cuts.append(sorted(n[k] for k in common_blocks(
+                    list(zip(at, x.field("h").to_pylist(), x.field("w").to_pylist())),
+                    list(zip(y.field("k").to_pylist(), y.field("h").to_pylist())), min_words)))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(cuts, pa.list_(pa.int32()))], ["id", "cut"])
 
     found = both.mapInArrow(run, f"id {kind}, cut array<int>").filter("size(cut) > 0")
@@ -208,6 +212,6 @@ def remove_duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: st
     # by shuffle at any size: what is cut grows with the documents
     marked = packed.join(cuts.select(F.col(id_col).alias("of"), "cut").hint("merge"), F.col("id") == F.col("of"), "left")
     kept = F.array_join(F.filter(F.split("text", "\n"), lambda x, n: ~F.array_contains("cut", n.cast("int"))), "\n")
-    out = marked.withColumn("new", F.when(F.col("cut").isNull(), F.col("text")).otherwise(F.when(F.trim(kept) == "", F.lit("")).otherwise(kept)))
+    out = marked.withColumn("new", F.when(F.col("cut").isNull(), F.col("text")).otherwise(F.when(~kept.rlike(r"\S"), F.lit("")).otherwise(kept)))
     return out.select(*(
         F.col("new").alias(text_col) if c == text_col else F.length("new").cast(docs.schema[c].dataType).alias(c) if c == length_col else F.col("rest")[c].alias(c) for c in names))

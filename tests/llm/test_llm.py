@@ -334,6 +334,18 @@ def test_blocks_that_the_alignment_places_elsewhere():
     assert lines.common_blocks(later, earlier, 10) == {0, 1}
 
 
+def test_passages_of_tiny_lines_and_with_blank_lines(spark):
+    verse = [f"word{k}" for k in range(12)]
+    talk = ["Who is there?", "It is me.", "Come in then.", "Thank you very much."]
+    rows = [(1, "\n".join(["first", *verse])), (2, "\n".join(["second", *verse, "end"])),
+            (3, "\n\n".join(["He knocked.", *talk])), (4, "\n \n\n".join([*talk, "They sat down."])), (5, "\n\n".join(talk) + "\n"),
+            (6, "\n\n".join(["one two three", "four five six"])), (7, "\n".join(["one two three", "four five six"]))]
+    out = lines.remove_duplicate_lines(spark.createDataFrame(rows, "doc_id long, text string"))
+    got = {r.doc_id: r.text for r in out.collect()}
+    assert got[2] == "second\nend" and got[4].split() == ["They", "sat", "down."] and got[5] == ""
+    assert all(got[k] == t for k, t in rows if k in (1, 3, 6, 7))
+
+
 # 1
 
 def test_deviation_is_below_one_block(spark):
