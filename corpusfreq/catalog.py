@@ -8,13 +8,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusfreq.functions import addresses, python_text
 from corpusfreq.functions import text as T
 from corpusfreq.operators import cues, dedup, evaluation, frequency, lookup, sampling
-from corpusfreq.session import table
+from corpusfreq.session import materialize, spread, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -51,7 +51,7 @@ _LCOUNT = f"{_LTOK}, cnt AS (SELECT word, count(*) AS n FROM tok GROUP BY word),
 
 
 def _docs(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents")
+    return spread(table(spark, d, "documents"), "doc_id")
 
 
 def _tokens() -> Column:
@@ -71,6 +71,11 @@ def _freq(spark: SparkSession, d: str) -> DataFrame:
     return _docs(spark, d).select(F.explode(_lower_tokens()).alias("word")).groupBy("word").agg(F.count("*").alias("count"))
 
 
+def _stored_freq(spark: SparkSession, d: str) -> DataFrame:
+    """The same, counted once for several uses."""
+    return materialize(_freq(spark, d), "freq")[0]
+
+
 # Word frequencies
 
 @query(f"WITH {_TOK} SELECT word, count(*) AS count FROM tok GROUP BY word")
@@ -103,7 +108,7 @@ def word_freq_by_category(spark, d):
 @query(f"""WITH {_TOK}, f AS (SELECT doc_id, source, unnest([{{'norm': 'none', 'w': word}}, {{'norm': 'lower', 'w': lower(word)}}, {{'norm': 'nfkc', 'w': word}}, {{'norm': 'nfkc-lower', 'w': lower(word)}}]) AS x FROM tok)
   SELECT x.norm AS norm, x.w AS word, count(*) AS count, count(DISTINCT doc_id) AS videos, count(DISTINCT source) AS channels FROM f GROUP BY 1, 2""")
 def freq_norm_groups(spark, d):
-    return frequency.word_counts(frequency.normal_forms(_grain(spark, d)), by=["norm"])
+    return frequency.norm_counts(_grain(spark, d))
 
 
 @query(f"WITH {_LTOK} SELECT word, count(*) AS count, count(DISTINCT doc_id) AS videos FROM tok GROUP BY word HAVING count(DISTINCT doc_id) >= 3")
@@ -161,15 +166,23 @@ def dominant_pos(spark, d):
 # Text transforms
 
 @query(f"""WITH RECURSIVE p AS (SELECT doc_id, string_split(trim(regexp_replace(text, '\\s+', ' ', 'g')), ' ') AS ws FROM documents),
-  s AS (SELECT doc_id, list_filter(flatten(list_transform(list_filter(ws, lambda w: w <> ''), lambda w: list_filter(string_split(regexp_replace(w, '\\p{{Nd}}+', '|<num>|', 'g'), '|'), lambda x: x <> ''))), lambda x: x <> '') AS l
-        FROM p WHERE NOT contains(array_to_string(ws, ''), '|'))
+  s AS (SELECT doc_id, flatten(list_transform(list_filter(ws, lambda w: w <> ''), lambda w: list_filter(string_split(regexp_replace(w, '\\p{{Nd}}+', chr(1) || '<num>' || chr(1), 'g'), chr(1)), lambda x: x <> ''))) AS l FROM p)
   SELECT doc_id, CAST(len(list_filter(range(1, len(l) + 1), lambda i: NOT (l[i] = '<num>' AND i > 1 AND l[i - 1] = '<num>'))) AS BIGINT) AS n_tokens,
     CAST(len(list_filter(range(1, len(l) + 1), lambda i: l[i] = '<num>' AND NOT (i > 1 AND l[i - 1] = '<num>'))) AS BIGINT) AS n_numbers FROM s""")
 def number_replacement(spark, d):
-    out = _docs(spark, d).filter(~F.contains("text", F.lit("|"))).select("doc_id", T.replace_numbers(T.split_words(F.col("text"))).alias("l"))
+    out = _docs(spark, d).select("doc_id", T.replace_numbers(T.split_words(F.col("text"))).alias("l"))
     return out.select("doc_id", F.size("l").cast("long").alias("n_tokens"), F.size(F.filter("l", lambda x: x == T.NUM)).cast("long").alias("n_numbers"))
 
 
+@query("""WITH w AS (SELECT lang, unnest(list_filter(string_split(regexp_replace(regexp_replace(text, '\\p{Nd}+', ' <num> ', 'g'), '\\s+', ' ', 'g'), ' '), lambda w: w <> '')) AS w FROM documents)
+  SELECT lang, count(*) AS words FROM w WHERE w <> '<num>' GROUP BY 1""")
+def tagged_words(spark, d):
+    """Tagged tokens (the language stands for the part of speech) after number replacement, by tag; numbers are NUM."""
+    toks = F.transform(T.split_words(F.col("text")), lambda t: F.struct(t.alias("token"), F.col("lang").alias("pos")))
+    out = _docs(spark, d).select(F.explode(T.replace_tagged_numbers(toks)).alias("x")).select("x.*")
+    return out.filter(F.col("pos") != "NUM").groupBy(F.col("pos").alias("lang")).agg(F.count("*").alias("n")).select("lang", F.col("n").alias("words"))
+
+
 @query("""WITH w AS (SELECT unnest(string_split(regexp_replace(text, '\\s+', ' ', 'g'), ' ')) AS word FROM documents)
   SELECT word, count(*) AS count FROM w WHERE word <> '' AND NOT regexp_matches(word, '\\p{Nd}') AND regexp_matches(word, '[\\p{L}\\p{N}_{}]') GROUP BY word""")
 def word_filter(spark, d):
@@ -184,9 +197,10 @@ def newline_conversion(spark, d):
     return _docs(spark, d).select("doc_id", F.md5(t.cast("binary")).alias("digest"), F.length(t).cast("long").alias("n_chars"))
 
 
-@query("SELECT * FROM (VALUES (1, 'a〜b'), (2, '〜'), (3, '~'), (4, NULL)) t(id, text)")
+@query("SELECT doc_id, md5(translate(text, ' ', '〜')) AS digest FROM documents")
 def tilde_map(spark, d):
-    return spark.sql("SELECT * FROM VALUES (1, 'a～b'), (2, '～'), (3, '~'), (4, NULL) t(id, text)").select("id", T.tilde_map(F.col("text")).alias("text"))
+    """Blanks stand for full-width tildes."""
+    return _docs(spark, d).select("doc_id", F.md5(T.tilde_map(F.translate("text", " ", "～")).cast("binary")).alias("digest"))
 
 
 @query(f"WITH {_TOK} SELECT CAST(length(word) AS INTEGER) AS n_chars, count(*) AS count FROM tok GROUP BY 1")
@@ -199,10 +213,11 @@ def nfkc_lower(spark, d):
     return _docs(spark, d).select("doc_id", F.md5(python_text.nfkc_lower(F.col("text")).cast("binary")).alias("digest"))
 
 
-@query("""SELECT * FROM (VALUES (1, 'It''s me. It''s ‘you and me’.'), (2, 'It''s an a′, it can''t be b′. Countries'' names.'), (3, '‘It''s an apostrophe.’'), (4, 'plain')) t(id, text)""")
+@query("SELECT doc_id, md5(translate(text, ' ’‘′', chr(39) || chr(39))) AS digest FROM documents")
 def smart_apostrophe(spark, d):
-    rows = [(1, "It’s me. It’s ‘you and me’."), (2, "It′s an a′, it can′t be b′. Countries′ names."), (3, "‘It’s an apostrophe.’"), (4, "plain")]
-    return spark.createDataFrame(rows, "id int, text string").select("id", python_text.smart_apostrophe(F.col("text")).alias("text"))
+    """Blanks stand for typographic apostrophes; opening quotes and primes are taken out first."""
+    text = F.translate("text", " ‘′", "’")
+    return _docs(spark, d).select("doc_id", F.md5(python_text.smart_apostrophe(text).cast("binary")).alias("digest"))
 
 
 @query()
@@ -224,18 +239,21 @@ def tokenized_corpus(spark, d):
 
 # Cues and cleaning
 
-_MARKED = "(VALUES (1, '<c.red>a</c> <b>b</b>'), (2, '<v Bob>hi &amp;lt; &lt;x&gt;</v>'), (3, '<00:01.000>t&nbsp;u'), (4, '<lang en>x</lang> 1 < 2'), (5, '<u.>q</u>'))"
+_CUE_TAGS = r"<[bciu](\.[^\s&<>.]*)*>|<(\d{2,}:)?\d{2}:\d{2}\.\d{3}>|<(lang|v)(\.[^\s&<>.]*)*[ \t][^<>]+>|</(lang|[bcivu])>"
+_DECODED = "replace(replace(replace(replace(replace(replace({}, '&lt;', '<'), '&gt;', '>'), '&nbsp;', ' '), '&lrm;', chr(8206)), '&rlm;', chr(8207)), '&amp;', '&')"
 
 
-@query("SELECT * FROM (VALUES (1, 'a b'), (2, 'hi &lt; <x>'), (3, 't u'), (4, 'x 1 < 2'), (5, 'q')) t(id, text)")
+@query(f"SELECT page_id, md5({_DECODED.format(f"regexp_replace(replace(html, '<p>', '<v Bob>'), '{_CUE_TAGS}', '', 'g')")}) AS digest FROM pages")
 def cue_markup(spark, d):
-    return spark.sql(f"SELECT * FROM {_MARKED[1:-1]} t(id, text)").select("id", T.markup_to_text(F.col("text")).alias("text"))
+    """Pages as cues, their paragraphs as voices."""
+    return table(spark, d, "pages").select("page_id", F.md5(T.markup_to_text(F.replace("html", F.lit("<p>"), F.lit("<v Bob>"))).cast("binary")).alias("digest"))
 
 
-@query("SELECT * FROM (VALUES (1, '漢字です'), (2, 'ab'), (3, 'base'), (4, 'xyz')) t(id, text)")
+@query(r"SELECT doc_id, md5(regexp_replace(text, '([a-zA-Z]+) ([a-zA-Z]+)', '\1', 'g')) AS digest FROM documents")
 def ruby_base(spark, d):
-    rows = [(1, "<ruby>漢字<rp>(</rp><rt>かんじ</rt><rp>)</rp></ruby>です"), (2, "a<rt>x</rt><rp>(</rp>b"), (3, "<ruby x><rb>base</rb><rt a>r</rt></ruby>"), (4, "xyz")]
-    return spark.createDataFrame(rows, "id int, text string").select("id", T.strip_ruby(F.col("text")).alias("text"))
+    """Every second word as the reading of the one before it."""
+    ruby = F.regexp_replace("text", "([a-zA-Z]+) ([a-zA-Z]+)", "<ruby>$1<rp>(</rp><rt>$2</rt><rp>)</rp></ruby>")
+    return _docs(spark, d).select("doc_id", F.md5(T.strip_ruby(ruby).cast("binary")).alias("digest"))
 
 
 @query("SELECT page_id, md5(regexp_replace(regexp_replace(regexp_replace(html, '<b>|<i>|<u>|</b>|</i>|</u>', '', 'g'), '</?font( [^>]*)?>|</?FONT>', '', 'g'), '\\[br\\]', '', 'g')) AS digest, "
@@ -255,12 +273,16 @@ def strip_cue_tags(spark, d):
     return table(spark, d, "pages").select("page_id", F.md5(T.strip_cue_tags(F.col("html")).cast("binary")).alias("digest"))
 
 
-@query("""SELECT * FROM (VALUES (1, 3723.001, 35996519.001), (2, 119.999, 3574.567), (3, NULL, NULL), (4, NULL, NULL), (5, NULL, NULL), (6, NULL, NULL), (7, NULL, NULL), (8, 1.5, 2.0)) t(id, start, "end")""".replace("SELECT *", 'SELECT id, CAST(start AS DOUBLE) AS start, CAST("end" AS DOUBLE) AS "end"'))
+_CLOCK = "WITH x AS (SELECT event_id, event_id % 101 AS h, event_id % 67 AS m, event_id % 63 AS s, event_id % 1000 AS ms FROM events)"
+
+
+@query(f"""{_CLOCK} SELECT event_id, CASE WHEN m < 60 AND s < 60 THEN round(h * 3600.0 + m * 60 + s + ms / 1000.0, 6) END AS start, CASE WHEN m < 60 AND s < 60 THEN round(m * 60.0 + s + ms / 1000.0, 6) END AS "end" FROM x""")
 def timing_parse(spark, d):
-    rows = [(1, "01:02:03.001 --> 9999:01:59.001"), (2, "00:01:59.999 --> 59:34.567"), (3, "00:01.0000 --> 00:02.000"), (4, "00:60.000 --> 00:61.000"), (5, "0:01.000 --> 00:02.000"),
-            (6, " 00:01.000 --> 00:02.000"), (7, "00:01,000 --> 00:02,000"), (8, "00:01.500 --> 00:02.000 align:start")]
-    t = cues.timing(F.col("line"))
-    return spark.createDataFrame(rows, "id int, line string").select("id", t["start"].alias("start"), t["end"].alias("end"))
+    """Timing lines made of the events' numbers; minutes and seconds from 60 are no times."""
+    two = lambda n: F.lpad((F.col("event_id") % n).cast("string"), 2, "0")
+    low = F.concat(two(67), F.lit(":"), two(63), F.lit("."), F.lpad((F.col("event_id") % 1000).cast("string"), 3, "0"))
+    t = cues.timing(F.concat(F.lpad((F.col("event_id") % 101).cast("string"), F.greatest(F.length((F.col("event_id") % 101).cast("string")), F.lit(2)), F.lit("0")), F.lit(":"), low, F.lit(" --> "), low, F.lit(" align:start")))
+    return table(spark, d, "events").select("event_id", r6(t["start"]).alias("start"), r6(t["end"]).alias("end"))
 
 
 def _vtt(spark: SparkSession, d: str) -> DataFrame:
@@ -308,11 +330,19 @@ def cue_delays(spark, d):
     return lines.filter("line = ''").groupBy("user_id").agg(F.count("*").alias("n_delays"))
 
 
-@query("SELECT * FROM (VALUES (1, 'other', 'A'), (2, 'scroll', 'B'), (3, 'scroll', 'C'), (4, 'scroll', NULL), (5, 'delay', '|X'), (6, 'repeat', NULL), (7, 'empty', NULL), (8, 'other', 'Y')) t(idx, kind, lines)")
+@query("""WITH c AS (SELECT conv_id, turn, trim(replace(coalesce(text, ''), chr(10), ' '), chr(32) || chr(9)) AS line, lag(trim(replace(coalesce(text, ''), chr(10), ' '), chr(32) || chr(9))) OVER w AS before FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
+  t AS (SELECT conv_id, turn, line, trim(CASE WHEN before IS NULL THEN line ELSE before || chr(10) || line END, ' ' || chr(10)) AS t FROM c),
+  p AS (SELECT *, lag(t) OVER (PARTITION BY conv_id, t = '' ORDER BY turn) AS pt FROM t),
+  k AS (SELECT *, CASE WHEN t = '' THEN 'empty' WHEN pt IS NULL THEN 'other' WHEN t = pt THEN 'repeat'
+      WHEN regexp_replace(t, '\n[^\n]*$', '') IN (pt, CASE WHEN contains(pt, chr(10)) THEN substr(pt, instr(pt, chr(10)) + 1) ELSE pt END) THEN 'scroll' ELSE 'other' END AS kind FROM p)
+  SELECT conv_id, CAST(turn AS BIGINT) AS turn, kind, md5(CASE kind WHEN 'other' THEN t WHEN 'scroll' THEN CASE WHEN contains(t, chr(10)) THEN regexp_extract(t, '[^\n]*$') ELSE '' END ELSE '' END) AS digest FROM k""")
 def cue_scroll(spark, d):
-    rows = [(1, 0.0, 1.0, "A"), (2, 1.0, 2.0, " A\nB "), (3, 2.0, 3.0, "B\nC"), (4, 3.0, 4.0, "C"), (5, 5.0, 6.0, "X"), (6, 6.0, 7.0, "X"), (7, 7.0, 8.0, " \n"), (8, 7.0, 9.0, "Y")]
-    out = cues.clean_cues(spark.createDataFrame(rows, "idx int, start double, end double, text string").withColumn("video_id", F.lit(1)))
-    return out.select("idx", "kind", F.when(F.size("emitted") > 0, F.array_join("emitted", "|")).alias("lines"))
+    """Conversations as cues that scroll: each shows the turn before and its own."""
+    by = Window.partitionBy("conv_id").orderBy("turn")
+    said = F.trim(F.translate(F.coalesce("text", F.lit("")), "\n", " "), F.lit(" \t"))
+    rows = table(spark, d, "conversations").select("conv_id", F.col("turn").cast("long").alias("turn"), said.alias("line")).withColumn("before", F.lag("line").over(by))
+    rows = rows.withColumn("text", F.concat_ws("\n", "before", "line")).withColumn("start", F.col("turn")).withColumn("end", F.col("turn") + 1)
+    return cues.clean_cues(rows, "conv_id", ["turn"]).select("conv_id", "turn", "kind", F.md5(F.array_join("emitted", "\n").cast("binary")).alias("digest"))
 
 
 _LINES = "ln AS (SELECT doc_id, lang, regexp_replace(unnest(string_split(text, chr(10))), '\\s+', ' ', 'g') AS line FROM documents)"
@@ -371,19 +401,20 @@ def pii_counts(spark, d):
     return hits.groupBy(addresses.kind(F.col("address")).alias("name")).agg(F.count("*").alias("count"))
 
 
-@query("SELECT '[____] Email <email> and <handle> . <web> [engine_starts]' AS text")
+@query("""SELECT c_custkey, 'see <web> or <email> and <handle> [' || replace(c_mktsegment, ' ', '_') || '_plays] [____] end' AS text FROM customer""")
 def pii_tokens(spark, d):
-    text = F.lit("[ __ ] Email foo@bar.com and @foo_bar. www.foo.com[engine starts]")
-    toks = addresses.tokens_with_addresses(text, lambda c: T.split_words(c))
-    return spark.range(1).select(F.array_join(toks, " ").alias("text"))
+    """Customers' names as addresses, handles and sound descriptions."""
+    n = F.lower(F.translate("c_name", "#", ""))
+    said = F.concat(F.lit("see www."), n, F.lit(".com/x?y=1 or "), n, F.lit("@"), n, F.lit(".org and @"), n, F.lit(" ["), F.col("c_mktsegment"), F.lit(" plays] [ __ ] end"))
+    return table(spark, d, "customer").select("c_custkey", F.array_join(addresses.tokens_with_addresses(said, T.split_words), " ").alias("text"))
 
 
-@query(f"""WITH a AS (SELECT doc_id, unnest(regexp_extract_all(text, '{_MAIL}')) AS address FROM documents)
-  SELECT 'email' AS name, count(*) AS n, md5(string_agg(address, ' ' ORDER BY address)) AS digest FROM a""")
+@query(f"""WITH a AS (SELECT doc_id AS doc, regexp_extract_all(text, '{_MAIL}') AS l FROM documents), b AS (SELECT doc, unnest(l) AS address, generate_subscripts(l, 1) AS k FROM a)
+  SELECT 'email' AS name, doc, row_number() OVER (PARTITION BY doc ORDER BY k) AS place, address FROM b""")
 def address_log(spark, d):
     hits = _docs(spark, d).select(F.col("doc_id").alias("doc"), F.posexplode(addresses.found(F.col("text"))).alias("pos", "address")).withColumn("name", addresses.kind(F.col("address")))
-    log = frequency.address_log(hits.filter("name = 'email'"))
-    return log.select("name", F.size("addresses").cast("long").alias("n"), F.md5(F.array_join(F.array_sort("addresses"), " ").cast("binary")).alias("digest"))
+    log = frequency.address_log(hits).filter("name = 'email'")
+    return log.select("name", "doc", F.row_number().over(Window.partitionBy("doc").orderBy("pos")).cast("long").alias("place"), "address")
 
 
 # Near-duplicate documents
@@ -398,6 +429,10 @@ def _weights(spark: SparkSession, d: str) -> DataFrame:
     return dedup.tfidf(_docs(spark, d), "doc_id", _lower_tokens())
 
 
+def _similar(spark: SparkSession, d: str) -> dedup.Similar:
+    return dedup.search(_docs(spark, d), "doc_id", _lower_tokens())
+
+
 @query(f"WITH {_TFIDF} SELECT doc_id AS doc, term, round(weight, 6) AS weight FROM w")
 def tfidf_weights(spark, d):
     return _weights(spark, d).select("doc", "term", r6("weight").alias("weight"))
@@ -425,7 +460,7 @@ def ngram_tfidf(spark, d):
 
 @query(f"WITH {_PAIRS} SELECT i, j, round(sim, 6) AS sim FROM pr")
 def similar_pairs(spark, d):
-    return dedup.similar_pairs(_weights(spark, d)).select("i", "j", r6("sim").alias("sim"))
+    return _similar(spark, d).expanded().select("i", "j", r6("sim").alias("sim"))
 
 
 _REMOVED = f"""{_PAIRS}, ord AS (SELECT i, list(j) AS js FROM pr GROUP BY i),
@@ -436,27 +471,27 @@ _REMOVED = f"""{_PAIRS}, ord AS (SELECT i, list(j) AS js FROM pr GROUP BY i),
 
 @query(f"WITH {_REMOVED} SELECT doc FROM rm")
 def dedup_removed(spark, d):
-    return dedup.removed(dedup.similar_pairs(_weights(spark, d)))
+    return dedup.removed(_similar(spark, d))
 
 
 @query(f"WITH {_REMOVED} SELECT doc_id, source FROM documents WHERE doc_id NOT IN (SELECT doc FROM rm)")
 def dedup_survivors(spark, d):
-    gone = dedup.removed(dedup.similar_pairs(_weights(spark, d)))
+    gone = dedup.removed(_similar(spark, d))
     return dedup.survivors(_docs(spark, d).select("doc_id", "source"), gone, "doc_id")
 
 
 @query(f"WITH {_REMOVED} SELECT (SELECT count(*) FROM documents) AS total, (SELECT count(*) FROM rm) AS removed, (SELECT count(*) FROM documents) - (SELECT count(*) FROM rm) AS valid")
 def dedup_stats(spark, d):
-    gone = dedup.removed(dedup.similar_pairs(_weights(spark, d))).agg(F.count("*").alias("removed"))
+    gone = dedup.removed(_similar(spark, d)).agg(F.count("*").alias("removed"))
     return _docs(spark, d).agg(F.count("*").alias("total")).crossJoin(gone).withColumn("valid", F.col("total") - F.col("removed"))
 
 
 # Lists, joins and slices
 
-@query("SELECT doc_id, lang FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS k FROM documents WHERE doc_id % 2 = 0 OR lang = 'en') WHERE k = 1")
+@query("SELECT conv_id, CAST(turn AS BIGINT) AS turn FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k FROM conversations WHERE role = 'user') WHERE k = 1")
 def list_manual_first(spark, d):
-    manual = _docs(spark, d).select("doc_id", "lang", ((F.col("doc_id") % 2 == 0) | (F.col("lang") == "en")).alias("sub")).filter("sub")
-    return sampling.first_by(manual, "lang", "doc_id").select("doc_id", "lang")
+    """Turns of users stand for manual subtitles."""
+    return sampling.first_by(table(spark, d, "conversations").filter("role = 'user'"), "conv_id", "turn").select("conv_id", F.col("turn").cast("long").alias("turn"))
 
 
 @query("SELECT doc_id, source FROM documents WHERE lang IN ('fr', 'es')")
@@ -490,16 +525,25 @@ def slice_docs(spark, d):
     return sampling.ordered_slice(_docs(spark, d).select("doc_id", "lang"), "doc_id", 10, 100)
 
 
-@query("SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS pos FROM documents")
+@query("SELECT doc_id, lang, length(text) AS n, row_number() OVER (ORDER BY doc_id) - 1 AS pos FROM documents")
 def list_positions(spark, d):
-    return sampling.position(_docs(spark, d).select("doc_id"), "doc_id")
+    return sampling.position(_docs(spark, d).select("doc_id", "lang", "text"), "doc_id").select("doc_id", "lang", F.length("text").cast("long").alias("n"), "pos")
+
+
+_WANTED = ["src3", "src0", "src2"]
+
+
+@query(f"SELECT doc_id, source, CAST(list_position({_WANTED}, source) - 1 AS INTEGER) AS place FROM documents WHERE source IN ('src0', 'src2', 'src3')")
+def list_order_lookup(spark, d):
+    """Rows of listed keys with the places of the keys in the list."""
+    return sampling.in_list_order(_docs(spark, d).select("doc_id", "source"), "source", _WANTED)
 
 
 # Look-up and evaluation
 
 @query(f"WITH {_LCOUNT} SELECT word, round(1e6 * (n + 1) / (tokens + types), 6) AS freq_pm FROM cnt, tot")
 def smooth_freq(spark, d):
-    freq = _freq(spark, d)
+    freq = _stored_freq(spark, d)
     return lookup.smoothed(freq.select("word"), freq).select("word", r6(F.col("freq") * 1e6).alias("freq_pm"))
 
 
@@ -509,8 +553,8 @@ _TARGET = f"""{_LCOUNT}, tg AS (SELECT item_id, lower(text) AS whole, {_TOKENS.r
   res AS (SELECT item_id, CASE WHEN f1 > coalesce(f, 0) THEN f1 ELSE coalesce(f, 0) END AS freq, CASE WHEN f1 > coalesce(f, 0) THEN m1 ELSE coalesce(m, false) END AS missing FROM ww LEFT JOIN tt USING (item_id))"""
 
 
-def _targets(spark: SparkSession, d: str, extreme: bool = False) -> DataFrame:
-    freq = _freq(spark, d)
+def _targets(spark: SparkSession, d: str) -> DataFrame:
+    freq = _stored_freq(spark, d)
     items = table(spark, d, "benchmark").select("item_id", python_text.nfkc_lower(F.col("text")).alias("text"))
     return lookup.targets(items, "item_id", "text", T.tokens(F.col("text")), lambda rows, c: lookup.smoothed(rows, freq, c))
 
@@ -528,26 +572,31 @@ def lookup_missing(spark, d):
 @query(f"""WITH {_LCOUNT}, v AS (SELECT word, CAST(n AS DOUBLE) AS value FROM cnt WHERE n >= 5), t AS (SELECT DISTINCT word FROM cnt WHERE n < 20)
   SELECT word, value IS NULL AS missing, round(coalesce(value, (SELECT min(value) FROM v)), 6) AS low, round(coalesce(value, (SELECT max(value) FROM v)), 6) AS high FROM t LEFT JOIN v USING (word)""")
 def lookup_unsmoothed(spark, d):
-    freq = _freq(spark, d)
+    freq = _stored_freq(spark, d)
     values = freq.filter("count >= 5").select("word", F.col("count").cast("double").alias("value"))
     low = lookup.unsmoothed(freq.filter("count < 20").select("word"), values).withColumnRenamed("freq", "low")
     high = lookup.unsmoothed(low.drop("missing"), values, worst="max")
     return high.select("word", "missing", r6("low").alias("low"), r6("freq").alias("high"))
 
 
+#: r of x and y; null where one of them is constant.
+_CORR = "CASE WHEN min(x) < max(x) AND min(y) < max(y) THEN corr(x, y) END"
 _RATED = f"""{_LCOUNT}, dw AS (SELECT doc_id, any_value(lang) AS lang, avg(log10((n + 1) / (tokens + types))) AS x, count(*) AS nt FROM tok JOIN cnt USING (word), tot GROUP BY doc_id),
   rt AS (SELECT doc_id, lang, x, nt, CAST(quality AS DOUBLE) AS y, toxic = 1 AS missing FROM dw JOIN labels USING (doc_id))"""
 
 
 def _rated(spark: SparkSession, d: str) -> DataFrame:
     """Mean log frequency of each labelled document's words (x), its rating (y) and a flag."""
-    freq = _freq(spark, d)
     toks = _docs(spark, d).select("doc_id", "lang", F.explode(_lower_tokens()).alias("word")).groupBy("doc_id", "lang", "word").agg(F.count("*").alias("k"))
-    x = lookup.smoothed(toks, freq).groupBy("doc_id", "lang").agg((F.sum(F.log10("freq") * F.col("k")) / F.sum("k")).alias("x"), F.sum("k").alias("nt"))
-    return x.join(table(spark, d, "labels"), "doc_id").select("doc_id", "lang", "x", "nt", F.col("quality").cast("double").alias("y"), (F.col("toxic") == 1).alias("missing"))
+    toks, _ = materialize(toks, "tokens")
+    freq, _ = materialize(toks.groupBy("word").agg(F.sum("k").alias("count")), "freq")
+    logs = lookup.smoothed(toks, freq).withColumn("f", evaluation.log_frequency(F.col("freq")))
+    x = logs.groupBy("doc_id", "lang").agg((F.sum(F.col("f") * F.col("k")) / F.sum("k")).alias("x"), F.sum("k").alias("nt"))
+    rows = x.join(table(spark, d, "labels"), "doc_id").select("doc_id", "lang", "x", "nt", F.col("quality").cast("double").alias("y"), (F.col("toxic") == 1).alias("missing"))
+    return materialize(rows, "rated")[0]
 
 
-@query(f"WITH {_RATED} SELECT lang, count(*) AS n, round(corr(x, y), 6) AS r FROM rt GROUP BY 1")
+@query(f"WITH {_RATED} SELECT lang, count(*) AS n, round({_CORR}, 6) AS r FROM rt GROUP BY 1")
 def pearson(spark, d):
     return evaluation.correlation(_rated(spark, d), ["lang"], "x", "y").select("lang", "n", r6("r").alias("r"))
 
@@ -580,7 +629,7 @@ def ridge_predict(spark, d):
 
 
 @query(f"""WITH {_RIDGE}, pd AS (SELECT lang, y, least(greatest(intercept + slope * x, 0), 1) AS p FROM rt, md)
-  SELECT lang, round(corr(y, p), 6) AS r, round(avg(abs(y - p)), 6) AS mae, round(avg((y - p) * (y - p)), 6) AS mse, round(1 - avg((y - p) * (y - p)) / nullif(var_pop(y), 0), 6) AS r2 FROM pd GROUP BY 1""")
+  SELECT lang, round(CASE WHEN min(p) < max(p) AND min(y) < max(y) THEN corr(y, p) END, 6) AS r, round(avg(abs(y - p)), 6) AS mae, round(avg((y - p) * (y - p)), 6) AS mse, round(1 - avg((y - p) * (y - p)) / nullif(var_pop(y), 0), 6) AS r2 FROM pd GROUP BY 1""")
 def regression_metrics(spark, d):
     return evaluation.metrics(_predicted(spark, d), ["lang"], "y").select("lang", *(r6(c).alias(c) for c in ("r", "mae", "mse", "r2")))
 
@@ -591,7 +640,8 @@ _JS = "sum(CASE WHEN p > 0 THEN p * ln(p / ((p + q) / 2)) ELSE 0 END + CASE WHEN
 
 
 def _lang_counts(spark: SparkSession, d: str) -> DataFrame:
-    return _docs(spark, d).select(F.col("lang").alias("corpus"), F.explode(_lower_tokens()).alias("word")).groupBy("corpus", "word").agg(F.count("*").alias("count"))
+    counts = _docs(spark, d).select(F.col("lang").alias("corpus"), F.explode(_lower_tokens()).alias("word")).groupBy("corpus", "word").agg(F.count("*").alias("count"))
+    return materialize(counts, "corpora")[0]
 
 
 @query(f"""WITH {_LANGCOUNT}, {_GRID}, al AS (SELECT a, b, word, sum(p) AS p, sum(q) AS q FROM (SELECT a, b, word, p, 0 AS q FROM gr JOIN lp ON corpus = a UNION ALL SELECT a, b, word, 0, p FROM gr JOIN lp ON corpus = b) GROUP BY 1, 2, 3)
@@ -632,29 +682,41 @@ def corpus_pivot(spark, d):
     return evaluation.pivot(counts, "source", "lang", "n", LANGS)
 
 
-_STEIGER = "(VALUES (1, 0.7, 0.6, 0.5, 100), (2, 0.5, 0.5, 1.0, 50), (3, -0.62, -0.65, 0.9, 38130), (4, 0.3, 0.1, 0.2, 30), (5, NULL, 0.1, 0.2, 30))"
+_DEPENDENT = """dp AS (SELECT l_linenumber AS id, corr(l_quantity, l_extendedprice) AS xy, corr(l_quantity, l_discount) AS xz, corr(l_extendedprice, l_discount) AS yz, CAST(count(*) AS DOUBLE) AS n FROM lineitem GROUP BY 1)"""
 
 
-@query(f"""SELECT id, round(CASE WHEN xy = xz AND yz = 1 THEN NULL ELSE (xy - xz) * sqrt((n - 1) * (1 + yz) / (2 * (n - 1) / (n - 3) * (1 - xy * xy - xz * xz - yz * yz + 2 * xy * xz * yz) + pow((xy + xz) / 2, 2) * pow(1 - yz, 3))) END, 6) AS t
-  FROM (SELECT id, CAST(xy AS DOUBLE) AS xy, CAST(xz AS DOUBLE) AS xz, CAST(yz AS DOUBLE) AS yz, CAST(n AS DOUBLE) AS n FROM {_STEIGER} v(id, xy, xz, yz, n))""")
+def _dependent(spark: SparkSession, d: str) -> DataFrame:
+    """Correlations of quantity with price and discount, and of these, for each line number."""
+    r = evaluation.corr
+    return table(spark, d, "lineitem").groupBy(F.col("l_linenumber").alias("id")).agg(
+        r("l_quantity", "l_extendedprice").alias("xy"), r("l_quantity", "l_discount").alias("xz"), r("l_extendedprice", "l_discount").alias("yz"), F.count("*").cast("double").alias("n"))
+
+
+@query(f"""WITH {_DEPENDENT} SELECT id, round((xy - xz) * sqrt((n - 1) * (1 + yz) / (2 * (n - 1) / (n - 3) * (1 - xy * xy - xz * xz - yz * yz + 2 * xy * xz * yz) + pow((xy + xz) / 2, 2) * pow(1 - yz, 3))), 4) AS t FROM dp""")
 def steiger_t(spark, d):
-    v = spark.sql(f"SELECT id, CAST(xy AS DOUBLE) xy, CAST(xz AS DOUBLE) xz, CAST(yz AS DOUBLE) yz, CAST(n AS DOUBLE) n FROM {_STEIGER[1:-1]} v(id, xy, xz, yz, n)")
-    return v.select("id", r6(evaluation.steiger(*(F.col(c) for c in ("xy", "xz", "yz", "n")))).alias("t"))
+    return _dependent(spark, d).select("id", F.round(evaluation.steiger(*(F.col(c) for c in ("xy", "xz", "yz", "n"))), 4).alias("t"))
 
 
 @query()
 def steiger_p(spark, d):
-    v = spark.sql(f"SELECT id, CAST(xy AS DOUBLE) xy, CAST(xz AS DOUBLE) xz, CAST(yz AS DOUBLE) yz, CAST(n AS DOUBLE) n FROM {_STEIGER[1:-1]} v(id, xy, xz, yz, n)")
     p = evaluation.steiger_pvalue(*(F.col(c) for c in ("xy", "xz", "yz", "n")))
-    return v.withColumn("p", p).select("id", r6("p").alias("p"), evaluation.stars(F.col("p")).alias("stars"))
+    return _dependent(spark, d).withColumn("p", p).select("id", r6("p").alias("p"), evaluation.stars(F.col("p")).alias("stars"))
 
 
-@query(f"""SELECT id, round(tanh(atanh(xy) - 1.959963984540054 / sqrt(n - 3)), 6) AS low, round(tanh(atanh(xy) + 1.959963984540054 / sqrt(n - 3)), 6) AS high,
-  round(abs((atanh(xy) - atanh(xz)) / sqrt(2 / (n - 3))), 6) AS z FROM (SELECT id, CAST(xy AS DOUBLE) AS xy, CAST(xz AS DOUBLE) AS xz, CAST(n AS DOUBLE) AS n FROM {_STEIGER} v(id, xy, xz, yz, n))""")
+@query(f"""WITH {_DEPENDENT} SELECT id, round(tanh(atanh(xy) - 1.959963984540054 / sqrt(n - 3)), 6) AS low, round(tanh(atanh(xy) + 1.959963984540054 / sqrt(n - 3)), 6) AS high,
+  round(abs((atanh(xy) - atanh(xz)) / sqrt(2 / (n - 3))), 4) AS z FROM dp""")
 def fisher_intervals(spark, d):
-    v = spark.sql(f"SELECT id, CAST(xy AS DOUBLE) xy, CAST(xz AS DOUBLE) xz, CAST(n AS DOUBLE) n FROM {_STEIGER[1:-1]} v(id, xy, xz, yz, n)")
     ci = evaluation.fisher_interval(F.col("xy"), F.col("n"))
-    return v.select("id", r6(ci["low"]).alias("low"), r6(ci["high"]).alias("high"), r6(evaluation.independent_z(F.col("xy"), F.col("xz"), F.col("n"), F.col("n"))).alias("z"))
+    z = evaluation.independent_z(F.col("xy"), F.col("xz"), F.col("n"), F.col("n"))
+    return _dependent(spark, d).select("id", r6(ci["low"]).alias("low"), r6(ci["high"]).alias("high"), F.round(z, 4).alias("z"))
+
+
+@query(f"""WITH {_DEPENDENT}, f AS (SELECT *, 1.959963984540054 / sqrt(n - 3) AS h FROM dp), c AS (SELECT *, tanh(atanh(xy) - h) AS l1, tanh(atanh(xy) + h) AS u1, tanh(atanh(xz) - h) AS l2, tanh(atanh(xz) + h) AS u2,
+    ((yz - xy * xz / 2) * (1 - xy * xy - xz * xz - yz * yz) + pow(yz, 3)) / ((1 - xy * xy) * (1 - xz * xz)) AS k FROM f)
+  SELECT id, round(xy - xz - sqrt(pow(xy - l1, 2) + pow(u2 - xz, 2) - 2 * k * (xy - l1) * (u2 - xz)), 6) AS low, round(xy - xz + sqrt(pow(u1 - xy, 2) + pow(xz - l2, 2) - 2 * k * (u1 - xy) * (xz - l2)), 6) AS high FROM c""")
+def zou_intervals(spark, d):
+    ci = evaluation.zou_interval(*(F.col(c) for c in ("xy", "xz", "yz", "n")))
+    return _dependent(spark, d).select("id", r6(ci["low"]).alias("low"), r6(ci["high"]).alias("high"))
 
 
 @query("SELECT l_linenumber, l_orderkey, CASE WHEN l_discount < 0.001 THEN '***' WHEN l_discount < 0.01 THEN '**' WHEN l_discount < 0.05 THEN '*' ELSE '' END AS stars FROM lineitem")
@@ -718,7 +780,7 @@ def majority_variant(spark, d):
     return evaluation.majority(lines.withColumn("v", v), "doc_id", "v", "trad", "simp", "both", "unknown")
 
 
-@query(f"WITH {_RATED}, sz AS (SELECT lang, count(*) AS tokens FROM tok GROUP BY 1) SELECT lang, round(log10(tokens), 6) AS log_tokens, round(r, 6) AS r FROM (SELECT lang, corr(x, y) AS r FROM rt GROUP BY 1) JOIN sz USING (lang)")
+@query(f"WITH {_RATED}, sz AS (SELECT lang, count(*) AS tokens FROM tok GROUP BY 1) SELECT lang, round(log10(tokens), 6) AS log_tokens, round(r, 6) AS r FROM (SELECT lang, {_CORR} AS r FROM rt GROUP BY 1) JOIN sz USING (lang)")
 def size_corr(spark, d):
     sizes = evaluation.types_tokens(_lang_counts(spark, d), ["corpus"]).withColumnRenamed("corpus", "lang")
     out = evaluation.size_correlation(sizes, evaluation.correlation(_rated(spark, d), ["lang"], "x", "y"), ["lang"])

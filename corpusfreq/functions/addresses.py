@@ -59,7 +59,7 @@ def found(text: Column) -> Column:
 def kind(match: Column) -> Column:
     """Name of a match's kind: censored, cc_desc, web, email or handle."""
     return (F.when(match == "[ __ ]", "censored").when(match.rlike(r"^[\[【]"), "cc_desc").when(match.startswith("@"), "handle")
-            .when(match.rlike(f"^(?:{MAIL})$") & ~match.rlike(f"^(?:{WEB})$"), "email").otherwise("web"))
+            .when(F.contains(match, F.lit("@")) & ~F.contains(match, F.lit("/")), "email").otherwise("web"))  # a web address has @ in its path only
 
 
 def as_token(match: Column) -> Column:

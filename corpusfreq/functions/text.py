@@ -105,6 +105,17 @@ def replace_numbers(toks: Column) -> Column:
     return F.filter(F.when(F.size(pieces) > 0, once).otherwise(pieces), lambda p: p.isNotNull())
 
 
+def replace_tagged_numbers(toks: Column) -> Column:
+    """The same for an array of struct(token, pos): pieces keep the token's part of speech, <num> gets NUM."""
+    mark = "\u0001"
+    pieces = F.flatten(F.transform(toks, lambda t: F.transform(F.when(t["token"] == "", F.array(F.lit(""))).otherwise(
+        F.filter(F.split(F.regexp_replace(t["token"], rf"[{DIGIT}]+", f"{mark}{NUM}{mark}"), mark), lambda p: p != "")),
+        lambda p: F.struct(p.alias("token"), F.when(p == NUM, F.lit("NUM")).otherwise(t["pos"]).alias("pos")))))
+    before = F.concat(F.array(F.lit("")), F.transform(F.slice(pieces, 1, F.greatest(F.size(pieces) - 1, F.lit(0))), lambda p: p["token"]))
+    once = F.zip_with(pieces, before, lambda p, q: F.when(~((p["token"] == NUM) & (q == NUM)), p))
+    return F.filter(F.when(F.size(pieces) > 0, once).otherwise(pieces), lambda p: p.isNotNull())
+
+
 def is_word(token: Column) -> Column:
     """Relaxed word filter: no digit, and at least one word character or brace."""
     return ~token.rlike(r"\p{Nd}") & token.rlike(rf"[{WORD}{{}}]")

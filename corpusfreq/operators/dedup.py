@@ -3,7 +3,7 @@
 All pairs at or above the threshold are found with a prefix filter: with a document's terms ordered from rare to frequent, a term
 belongs to its prefix while the squared weight before it is at most 1 - t^2. If two documents reach cosine t, the rarest
 term that they share lies in both prefixes, since else the shared part of one vector has a norm below t. So an equi-join of prefixes loses no pair.
-Removal then goes by connected components, which are independent of each other.
+Removal then goes by rounds of joins.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusfreq.operators.graph import connected_components
+from corpusfreq.session import drop_path, materialize
 
 THRESHOLD = 0.95
 
@@ -39,34 +39,84 @@ def idf(counts: DataFrame, n_docs: Column) -> DataFrame:
 
 def tfidf(docs: DataFrame, id_col: str, terms: Column) -> DataFrame:
     """(doc, term, df, weight), rows of unit length. All documents count towards N, also those without terms."""
-    counts = term_counts(docs, id_col, terms)
-    total = docs.agg(F.count("*").alias("_n"))  # one row
-    weighted = counts.join(counts.groupBy("term").agg(F.count("*").alias("df")), "term").crossJoin(F.broadcast(total))
+    counts, _ = materialize(term_counts(docs, id_col, terms), "term-counts")
+    return _weighted(counts, counts.groupBy("term").agg(F.count("*").alias("df")), docs.agg(F.count("*").alias("_n")))
+
+
+def _weighted(counts: DataFrame, df: DataFrame, total: DataFrame) -> DataFrame:
+    weighted = counts.join(df, "term").crossJoin(F.broadcast(total))  # one row
     raw = F.col("tf") * (F.log((1 + F.col("_n")) / (1 + F.col("df"))) + 1)
     length = F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(Window.partitionBy("doc")))
     return weighted.withColumn("raw", raw).select("doc", "term", "df", (F.col("raw") / length).alias("weight"))
 
 
 def similar_pairs(weights: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """(i, j, sim) with j < i and cosine of at least the threshold."""
+    """(i, j, sim) with j < i and cosine of at least the threshold. weights: (doc, term, df, weight); rows of one document may not repeat."""
+    weights, _ = materialize(weights, "weights")
     before = F.coalesce(F.sum(F.col("weight") * F.col("weight")).over(Window.partitionBy("doc").orderBy("df", "term").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    prefix = weights.withColumn("before", before).filter(F.col("before") <= 1 - threshold * threshold + 1e-9).select("doc", "term")
+    prefix, _ = materialize(weights.withColumn("before", before).filter(F.col("before") <= 1 - threshold * threshold + 1e-9).select("doc", "term"), "prefix")
     pairs = prefix.select(F.col("doc").alias("i"), "term").join(prefix.select(F.col("doc").alias("j"), "term"), "term").filter("j < i").select("i", "j").distinct()
+    pairs, _ = materialize(pairs, "candidates")
     a = weights.select(F.col("doc").alias("i"), "term", F.col("weight").alias("a"))
     b = weights.select(F.col("doc").alias("j"), "term", F.col("weight").alias("b"))
     dots = pairs.join(a, "i").join(b, ["j", "term"]).groupBy("i", "j").agg(F.sum(F.col("a") * F.col("b")).alias("sim"))
     return dots.filter(F.col("sim") >= threshold)
 
 
-def removed(pairs: DataFrame) -> DataFrame:
-    """(doc) of the documents that the ordered scan removes: those with a similar earlier document that itself stays. Each component is scanned by
-    ascending id in one fold; its first document always stays."""
-    component = connected_components(pairs.select(F.col("i").alias("u"), F.col("j").alias("v")))
-    earlier = pairs.groupBy("i").agg(F.collect_list("j").alias("js"))
-    rows = earlier.join(component, F.col("i") == F.col("id")).groupBy("component").agg(F.array_sort(F.collect_list(F.struct("i", "js"))).alias("scan"))
-    kind = pairs.schema["i"].dataType.simpleString()
-    fold = F.expr(f"aggregate(scan, CAST(array() AS array<{kind}>), (gone, x) -> if(exists(x.js, j -> NOT array_contains(gone, j)), array_append(gone, x.i), gone))")
-    return rows.select(F.explode(fold).alias("doc"))
+class Similar:
+    """Result of `search`: classes (doc, rep) of documents with equal term counts, rep being the least of them, and pairs (i, j, sim), j < i, of
+    different representatives."""
+
+    def __init__(self, classes: DataFrame, pairs: DataFrame) -> None:
+        self.classes, self.pairs = classes, pairs
+
+    def expanded(self) -> DataFrame:
+        """(i, j, sim) of all similar documents, copies included: the square of a group of copies. `removed` needs no such pairs."""
+        c = self.classes
+        twins = c.select(F.col("doc").alias("i"), "rep").join(c.select(F.col("doc").alias("j"), "rep"), "rep").filter("j < i").select("i", "j", F.lit(1.0).alias("sim"))
+        a, b = c.select(F.col("rep").alias("i"), F.col("doc").alias("_a")), c.select(F.col("rep").alias("j"), F.col("doc").alias("_b"))
+        other = self.pairs.join(a, "i").join(b, "j").select(F.greatest("_a", "_b").alias("i"), F.least("_a", "_b").alias("j"), "sim")
+        return twins.unionByName(other)
+
+
+def search(docs: DataFrame, id_col: str, terms: Column, threshold: float = THRESHOLD) -> Similar:
+    """Similar documents. Terms are counted once; documents with equal counts (128 bits of hashes of all terms and counts, and their number) become one class, so
+    copies cost nothing more. df and N count all documents."""
+    counts, _ = materialize(term_counts(docs, id_col, terms), "term-counts")
+    total = docs.agg(F.count("*").alias("_n"))
+    mark = [F.count("*").alias("_k"), F.bit_xor(F.xxhash64("term", "tf")).alias("_x"), F.sum(F.xxhash64("tf", "term", F.lit(7)).cast("decimal(20,0)")).alias("_s")]
+    marks = counts.groupBy("doc").agg(*mark)
+    least = marks.groupBy("_k", "_x", "_s").agg(F.min("doc").alias("rep"))
+    classes, _ = materialize(marks.join(least, ["_k", "_x", "_s"]).select("doc", "rep"), "term-classes")
+    own = counts.join(classes.filter("doc = rep").select("doc"), "doc", "left_semi")
+    df = counts.groupBy("term").agg(F.count("*").alias("df"))
+    pairs, _ = materialize(similar_pairs(_weighted(own, df, total), threshold), "similar")
+    return Similar(classes, pairs)
+
+
+def greedy(pairs: DataFrame) -> DataFrame:
+    """(doc) of the documents that a scan by ascending id removes: those with a similar earlier document that itself stays. pairs: (i, j), j < i.
+
+    In each round documents without an undecided earlier partner stay and remove their partners, all of them at once, by joins; what
+    is left undecided shrinks, and no component is gathered. Rounds are as many as the longest chain of documents that wait for each other.
+    """
+    edges, path = materialize(pairs.select("i", "j").distinct(), "edges")
+    out = edges.select(F.col("i").alias("doc")).limit(0)
+    while not edges.isEmpty():
+        first = edges.select("j").distinct().join(edges.select(F.col("i").alias("j")).distinct(), "j", "left_anti")
+        gone, _ = materialize(edges.join(first, "j", "left_semi").select(F.col("i").alias("doc")).distinct(), "gone")
+        rest = edges.join(gone.select(F.col("doc").alias("i")), "i", "left_anti").join(gone.select(F.col("doc").alias("j")), "j", "left_anti")
+        after, fresh = materialize(rest, "edges")
+        drop_path(edges.sparkSession, path)
+        edges, path, out = after, fresh, out.unionByName(gone)
+    return out
+
+
+def removed(found: Similar) -> DataFrame:
+    """(doc) of the documents that the ordered scan removes. Of equal documents only the first can stay, and the scan of the others is that of the first ones."""
+    copies = found.classes.filter("doc <> rep").select("doc")
+    lost = greedy(found.pairs)
+    return copies.unionByName(lost).distinct()
 
 
 def survivors(docs: DataFrame, gone: DataFrame, id_col: str) -> DataFrame:

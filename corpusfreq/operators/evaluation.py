@@ -15,13 +15,20 @@ def log_frequency(freq: Column, gini: bool = False, negative: bool = False) -> C
     return -freq if gini else -F.log10(freq) if negative else F.log10(freq)
 
 
+def corr(x: Column | str, y: Column | str) -> Column:
+    """Pearson's r of the rows that have both; null where either is constant (F.corr divides by zero there)."""
+    x, y = (F.col(v) if isinstance(v, str) else v for v in (x, y))
+    a, b = F.when(y.isNotNull(), x), F.when(x.isNotNull(), y)
+    return F.try_divide(F.covar_pop(x, y), F.sqrt(F.var_pop(a)) * F.sqrt(F.var_pop(b)))
+
+
 def correlation(rows: DataFrame, by: list[str], x: str, y: str, missing: str | None = None, reference: str | None = None) -> DataFrame:
     """Pearson's r over all rows, over rows that aren't missing and against a reference column, with n and n_missing."""
-    out = [F.corr(x, y).alias("r"), F.count("*").alias("n")]
+    out = [corr(x, y).alias("r"), F.count("*").alias("n")]
     if missing:
-        out += [F.count_if(F.col(missing)).alias("n_missing"), F.corr(F.when(~F.col(missing), F.col(x)), F.when(~F.col(missing), F.col(y))).alias("r_without_missing")]
+        out += [F.count_if(F.col(missing)).alias("n_missing"), corr(F.when(~F.col(missing), F.col(x)), F.when(~F.col(missing), F.col(y))).alias("r_without_missing")]
     if reference:
-        out.append(F.corr(x, reference).alias("r_reference"))
+        out.append(corr(x, reference).alias("r_reference"))
     return rows.groupBy(*by).agg(*out) if by else rows.agg(*out)
 
 
@@ -58,7 +65,7 @@ def predict(rows: DataFrame, models: DataFrame, by: list[str], x: str) -> DataFr
 def metrics(rows: DataFrame, by: list[str], y: str, p: str = "prediction") -> DataFrame:
     """Pearson's r, mean absolute and squared error, and R2 = 1 - SSE / SST."""
     e = F.col(y) - F.col(p)
-    out = [F.corr(y, p).alias("r"), F.avg(F.abs(e)).alias("mae"), F.avg(e * e).alias("mse"), (1 - F.avg(e * e) / F.nullif(F.var_pop(y), F.lit(0.0))).alias("r2")]
+    out = [corr(y, p).alias("r"), F.avg(F.abs(e)).alias("mae"), F.avg(e * e).alias("mse"), (1 - F.try_divide(F.avg(e * e), F.var_pop(y))).alias("r2")]
     return rows.groupBy(*by).agg(*out) if by else rows.agg(*out)
 
 

@@ -6,10 +6,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusfreq.functions import python_text
+from corpusfreq.session import materialize
 
 TOTAL = "[TOTAL]"
 MARKUP = ["align", "br", "colspan", "https", "lt", "onlyinclude", "ref", "ruby"]
 MARKUP_TOP = 6000
+NORMS = ["none", "lower", "nfkc", "nfkc-lower"]
 
 
 def words(docs: DataFrame, id_col: str, tokens: Column, channel_col: str | None = None, category_col: str | None = None) -> DataFrame:
@@ -28,15 +30,25 @@ def word_counts(grain: DataFrame, categories: list[str] = (), by: list[str] = ()
     return per.groupBy(*keys).agg(F.sum("n").alias("count"), F.sum("v").alias("videos"), F.count("channel").alias("channels"), *(F.sum(f"_c{k}").alias(f"count:{c}") for k, c in enumerate(categories)))
 
 
-def normal_forms(grain: DataFrame) -> DataFrame:
-    """The grain once for each normal form (norm: none, lower, nfkc, nfkc-lower). Forms are computed once a distinct word, then documents and channels meet again."""
-    vocabulary = grain.select("word").distinct()
-    known = vocabulary.withColumn("k", python_text.nfkc(F.col("word")))
+def normal_forms(vocabulary: DataFrame, forms: list[str] = NORMS) -> DataFrame:
+    """(word, norm, form) of distinct words in the forms none, lower, nfkc and nfkc-lower."""
     lower, nfkc = F.lower("word"), F.col("k")
-    forms = known.select("word", F.explode(F.array(
-        F.struct(F.lit("none").alias("norm"), F.col("word").alias("form")), F.struct(F.lit("lower").alias("norm"), lower.alias("form")),
-        F.struct(F.lit("nfkc").alias("norm"), nfkc.alias("form")), F.struct(F.lit("nfkc-lower").alias("norm"), F.lower(nfkc).alias("form")))).alias("x")).select("word", "x.*")
-    return grain.join(forms, "word").groupBy("norm", "doc", "channel", "category", F.col("form").alias("word")).agg(F.sum("n").alias("n"))
+    made = {"none": F.col("word"), "lower": lower, "nfkc": nfkc, "nfkc-lower": F.lower(nfkc)}
+    known = vocabulary.select("word", python_text.nfkc(F.col("word")).alias("k"))
+    return known.select("word", F.explode(F.array(*(F.struct(F.lit(n).alias("norm"), made[n].alias("form")) for n in forms))).alias("x")).select("word", "x.*")
+
+
+def norm_counts(grain: DataFrame, categories: list[str] = (), forms: list[str] = NORMS) -> DataFrame:
+    """word_counts of every normal form, with norm. Forms are computed once a distinct word; a form of one word only takes that word's counts, and
+    just the words that meet in a form are counted again from the grain, since their documents and channels overlap."""
+    grain, _ = materialize(grain, "grain")
+    base, _ = materialize(word_counts(grain, categories), "words")
+    made, _ = materialize(normal_forms(base.select("word"), forms), "forms")
+    alone = made.groupBy("norm", "form").agg(F.max("word").alias("word"), F.count("*").alias("k")).filter("k = 1").select("norm", "form", "word")
+    met = made.join(made.groupBy("norm", "form").agg(F.count("*").alias("k")).filter("k > 1").select("norm", "form"), ["norm", "form"])
+    single = base.join(alone, "word").drop("word").withColumnRenamed("form", "word")
+    again = grain.join(met, "word").groupBy("norm", "doc", "channel", "category", F.col("form").alias("word")).agg(F.sum("n").alias("n"))
+    return single.unionByName(word_counts(again, categories, ["norm"]))
 
 
 def at_least(counts: DataFrame, videos: int = 0, channels: int = 0, compat: bool = False) -> DataFrame:
@@ -97,6 +109,5 @@ def counter_difference(all_: DataFrame, part: DataFrame) -> DataFrame:
 
 
 def address_log(found: DataFrame) -> DataFrame:
-    """(name, addresses) in order of document and place. found: (doc, pos, name, address)."""
-    return found.groupBy("name").agg(F.transform(F.array_sort(F.collect_list(F.struct("doc", "pos", "address"))), lambda x: x["address"]).alias("addresses"))
-
+    """(name, doc, pos, address): removed addresses as rows, to be ordered by these columns. found: (doc, pos, name, address)."""
+    return found.select("name", "doc", "pos", "address")

@@ -5,29 +5,53 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusfreq.session import materialize
+
 
 def position(rows: DataFrame, order: str) -> DataFrame:
-    """rows with pos from 0 in the order of a column. Range partitions are counted, then numbered within; no row passes through a single task."""
-    cut = rows.repartitionByRange(order).withColumn("_part", F.spark_partition_id())
-    counts = cut.groupBy("_part").agg(F.count("*").alias("_n"))
-    ahead = counts.select("_part", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_ahead"))  # one row a partition
-    inner = F.row_number().over(Window.partitionBy("_part").orderBy(order)) - 1
-    return cut.withColumn("_in", inner).join(F.broadcast(ahead), "_part").withColumn("pos", F.col("_in") + F.col("_ahead")).drop("_part", "_in", "_ahead")
+    """rows with pos from 0 in the order of a column, nulls first; ties take neighbouring places.
+
+    The rows are written once in range partitions with the number of their partition, so that counts and places come from the same partitions;
+    partitions are numbered within, and no row passes through a single task. A column pos is replaced.
+    """
+    names = [c for c in rows.columns if c.lower() != "pos"]
+    cut = rows.select(F.struct(*(F.col(c) for c in names)).alias("row"), F.col(order).alias("key")).repartitionByRange("key").withColumn("part", F.spark_partition_id())
+    cut, _ = materialize(cut, "ranges")
+    counts = cut.groupBy("part").agg(F.count("*").alias("n"))
+    ahead = counts.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("ahead"))  # one row a partition
+    inner = F.row_number().over(Window.partitionBy("part").orderBy("key")) - 1
+    return cut.withColumn("inner", inner).join(F.broadcast(ahead), "part").select("row.*", (F.col("inner") + F.col("ahead")).alias("pos"))
 
 
 def ordered_slice(rows: DataFrame, order: str, start: int | None = None, stop: int | None = None) -> DataFrame:
-    """Rows start to stop (excluded) in the order of a column with distinct values. The cut values are found first, from ids only."""
+    """Rows start to stop (excluded) in the order of a column with distinct values, as it were a Python slice of 0 and positive places.
+
+    Places are found on the column alone; its values at both ends, two at most, then filter the scan.
+    """
     start = start or 0
-    ids = rows.select(order)
-    edge = lambda k: ids.orderBy(order).limit(k + 1).agg(F.max(order).alias("x"), F.count("*").alias("n"))
-    out = rows
-    if start:
-        out = out.crossJoin(F.broadcast(edge(start - 1).withColumnsRenamed({"x": "_a", "n": "_an"}))).filter((F.col("_an") == start) & (F.col(order) > F.col("_a"))).drop("_a", "_an")
-    if stop is not None:
-        if stop <= start:
-            return out.limit(0)
-        out = out.crossJoin(F.broadcast(edge(stop - 1).select(F.col("x").alias("_b")))).filter(F.col(order) <= F.col("_b")).drop("_b")
-    return out
+    if stop is not None and stop <= start:
+        return rows.limit(0)
+    ends = {start, *([] if stop is None else [stop])}
+    if ends == {0}:
+        return rows
+    at = {r["pos"]: r[order] for r in position(rows.select(order), order).filter(F.col("pos").isin(*ends)).collect()}
+    if start and start not in at:
+        return rows.limit(0)
+    out = rows.filter(F.col(order) >= F.lit(at[start])) if start and at[start] is not None else rows
+    return out.filter(F.col(order).isNull() | (F.col(order) < F.lit(at[stop])) if not start else F.col(order) < F.lit(at[stop])) if stop in at else out
+
+
+def in_list_order(rows: DataFrame, key: str, wanted: list) -> DataFrame:
+    """The rows of the listed keys with place, that of their key in the list; keys that no row has are an error. The list is the caller's own, small and of distinct keys."""
+    if len(set(wanted)) != len(wanted):
+        raise ValueError("repeated keys")
+    spark = rows.sparkSession
+    listed = spark.createDataFrame(list(zip(wanted, range(len(wanted)))), f"`{key}` {rows.schema[key].dataType.simpleString()}, place int")
+    found = rows.join(F.broadcast(listed), key)
+    gone = listed.join(found.select(key).distinct(), key, "left_anti").limit(5).collect()
+    if gone:
+        raise KeyError([r[key] for r in gone])
+    return found
 
 
 def first_by(rows: DataFrame, key: str, order: str) -> DataFrame:

@@ -34,8 +34,8 @@ def clean(subtitles: DataFrame, lang: str, own_line: Column | None = None) -> tu
 def unique(docs: DataFrame, lang: str, id_col: str = "video_id", ngrams: tuple[int, int] = (1, 1), threshold: float = dedup.THRESHOLD) -> DataFrame:
     """Documents without those that resemble an earlier one."""
     toks = F.transform(tokenizers.tokenizer(tokenizers.dedup_choice(lang))(F.col("text")), F.lower)
-    weights = dedup.tfidf(docs, id_col, dedup.ngrams(toks, *ngrams))
-    return dedup.survivors(docs, dedup.removed(dedup.similar_pairs(weights, threshold)), id_col)
+    found = dedup.search(docs, id_col, dedup.ngrams(toks, *ngrams), threshold)
+    return dedup.survivors(docs, dedup.removed(found), id_col)
 
 
 def frequencies(docs: DataFrame, listed: DataFrame, lang: str, tokenization: str | None = "regex", id_col: str = "video_id", channel_col: str = "channel_id", category_col: str | None = None,

@@ -26,6 +26,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """df over all cores where its scan has fewer partitions than that, as files of one row group have; large inputs are left as they are."""
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores, *keys) if df.rdd.getNumPartitions() < cores else df
+
+
 def scratch_root(spark: SparkSession) -> str:
     """The folder all executors share: spark.checkpoint.dir where the cluster sets it, else a folder of
     this machine (local mode only, where driver and executors are one process)."""
@@ -34,7 +41,7 @@ def scratch_root(spark: SparkSession) -> str:
         set_already = spark.sparkContext._jsc.sc().getCheckpointDir()
         if set_already.isDefined():
             root = set_already.get()
-        elif not spark.sparkContext.master.startswith("local["):
+        elif spark.sparkContext.master.partition("[")[0] != "local":
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         else:
             root = "file://" + tempfile.mkdtemp(prefix="corpusfreq-")

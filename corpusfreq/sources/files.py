@@ -209,8 +209,9 @@ def write_histogram(histogram: DataFrame, path: str) -> None:
 
 
 def write_addresses(log: DataFrame, path: str) -> None:
-    """One JSON object a line: name and its addresses."""
-    log.select(F.to_json(F.struct("name", "addresses")).alias("value")).write.text(path)
+    """One JSON object a line, an address with its kind, in order of kind, document and place."""
+    rows = log.repartitionByRange("name", "doc", "pos").sortWithinPartitions("name", "doc", "pos")
+    rows.select(F.to_json(F.struct("name", "address")).alias("value")).write.text(path)
 
 
 def write_sentences(lines: DataFrame, path: str, column: str = "line") -> None:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from corpusfreq.functions import addresses, python_text
 from corpusfreq.functions import text as T
-from corpusfreq.operators import dedup, evaluation, frequency, sampling
+from corpusfreq.operators import cues, dedup, evaluation, frequency, sampling
 from corpusfreq.operators.graph import connected_components
 from corpusfreq.plans import stages, tokenizers
 from corpusfreq.sources import files
@@ -77,7 +77,24 @@ def test_components(spark):
 
 def test_greedy_removal(spark):
     pairs = spark.createDataFrame([(1, 0, 1.0), (2, 1, 1.0), (3, 1, 1.0), (3, 2, 1.0), (5, 4, 1.0)], "i long, j long, sim double")
-    assert sorted(r.doc for r in dedup.removed(pairs).collect()) == [1, 3, 5]
+    assert sorted(r.doc for r in dedup.greedy(pairs).collect()) == [1, 3, 5]
+    rng = random.Random(8)
+    some = sorted({(max(a, b), min(a, b)) for a, b in ((rng.randrange(60), rng.randrange(60)) for _ in range(90)) if a != b} | {(k + 1, k) for k in range(100, 115)})
+    gone = set()
+    for i in sorted({i for i, _ in some}):
+        if any(j not in gone for x, j in some if x == i):
+            gone.add(i)
+    assert {r.doc for r in dedup.greedy(spark.createDataFrame(some, "i long, j long")).collect()} == gone
+    assert dedup.greedy(pairs.limit(0)).count() == 0
+
+
+def test_copies_cost_no_pairs(spark):
+    """2,000 equal documents and a near copy: one class, few pairs, the first stays."""
+    body = " ".join(f"w{k}" for k in range(60))
+    docs = spark.createDataFrame([(k, body) for k in range(2000)] + [(2000, body + " w0"), (2001, "else"), (2002, "")], "doc long, text string")
+    found = dedup.search(docs, "doc", T.tokens(F.col("text")))
+    assert found.pairs.count() == 1 and found.classes.count() == 2002
+    assert {r.doc for r in dedup.removed(found).collect()} == set(range(1, 2001))
 
 
 def test_counts(spark):
@@ -104,6 +121,73 @@ def test_slices(spark):
     assert sorted(r.id for r in sampling.ordered_slice(rows, "id", 3, 7).collect()) == [3, 4, 5, 6]
     assert sampling.ordered_slice(rows, "id", 25).count() == 0
     assert {r.id: r.pos for r in sampling.position(rows, "id").collect()} == {k: k for k in range(20)}
+    assert sorted(r.id for r in sampling.ordered_slice(rows, "id", None, 3).collect()) == [0, 1, 2]
+    assert sampling.ordered_slice(rows, "id", 5, 5).count() == 0 and sampling.ordered_slice(rows, "id").count() == 20 and sampling.ordered_slice(rows, "id", 18).count() == 2
+
+
+def test_positions_of_wide_rows(spark):
+    """Every row keeps its place whatever else is kept with it; ties and nulls take neighbouring places."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    ids = sorted(r.doc_id for r in docs.select("doc_id").collect())
+    got = {r.doc_id: r.pos for r in sampling.position(docs, "doc_id").select("doc_id", "pos", F.length("text")).collect()}
+    assert got == {k: n for n, k in enumerate(ids)}
+    wide = spark.range(600_000).select((F.col("id") * 7 % 600_000).alias("id"), F.repeat(F.lit("x"), 256).alias("body"))
+    out = sampling.position(wide, "id").agg(F.count("*"), F.count_if(F.col("id") != F.col("pos")), F.sum(F.length("body"))).first()
+    assert tuple(out) == (600_000, 0, 600_000 * 256)
+    ties = spark.createDataFrame([(1, "a"), (1, "b"), (None, "c"), (0, "d")], "k int, pos string")
+    assert sorted(r.pos for r in sampling.position(ties, "k").collect()) == [0, 1, 2, 3]
+
+
+def test_list_order(spark):
+    rows = spark.createDataFrame([("a", 1), ("b", 2), ("c", 3)], "id string, v int")
+    assert [r.v for r in sampling.in_list_order(rows, "id", ["c", "a"]).orderBy("place").collect()] == [3, 1]
+    with pytest.raises(KeyError):
+        sampling.in_list_order(rows, "id", ["z"])
+
+
+def test_constant_groups_have_no_correlation(spark):
+    rows = spark.createDataFrame([("a", 1.0, 2.0), ("a", 1.0, 3.0), ("b", 1.0, 2.0), ("b", 2.0, 4.0), ("c", 1.0, 1.0), ("b", None, 9.0)], "g string, x double, y double")
+    got = {r.g: r.r for r in evaluation.correlation(rows, ["g"], "x", "y").collect()}
+    assert got["a"] is None and got["c"] is None and abs(got["b"] - 1) < 1e-9
+    assert {r.g: r.r for r in evaluation.metrics(rows, ["g"], "y", "x").collect()}["a"] is None
+
+
+def test_literal_cases(spark):
+    one = lambda rows, f, kind="string": [r[0] for r in spark.createDataFrame([(k, x) for k, x in enumerate(rows)], "k int, t string").orderBy("k").select(f(F.col("t"))).collect()]
+    assert one(["a～b", "～", "~", None], T.tilde_map) == ["a〜b", "〜", "~", None]
+    assert one(["It’s me. It’s ‘you and me’.", "It′s an a′, it can′t be b′. Countries′ names.", "‘It’s an apostrophe.’"], python_text.smart_apostrophe) == [
+        "It's me. It's ‘you and me’.", "It's an a′, it can't be b′. Countries' names.", "‘It's an apostrophe.’"]
+    assert one(["<c.red>a</c> <b>b</b>", "<v Bob>hi &amp;lt; &lt;x&gt;</v>", "<00:01.000>t&nbsp;u", "<lang en>x</lang> 1 < 2", "<u.>q</u>"], T.markup_to_text) == ["a b", "hi &lt; <x>", "t u", "x 1 < 2", "q"]
+    assert one(["<ruby>漢字<rp>(</rp><rt>かんじ</rt><rp>)</rp></ruby>です", "a<rt>x</rt><rp>(</rp>b", "<ruby x><rb>base</rb><rt a>r</rt></ruby>", "xyz"], T.strip_ruby) == ["漢字です", "ab", "base", "xyz"]
+    lines = ["01:02:03.001 --> 9999:01:59.001", "00:01:59.999 --> 59:34.567", "00:01.0000 --> 00:02.000", "00:60.000 --> 00:61.000", "0:01.000 --> 00:02.000", " 00:01.000 --> 00:02.000", "00:01,000 --> 00:02,000", "00:01.500 --> 00:02.000 align:start"]
+    assert one(lines, cues.timing) == [(3723.001, 35996519.001), (119.999, 3574.567), None, None, None, None, None, (1.5, 2.0)]
+    assert one(["[ __ ] Email foo@bar.com and @foo_bar. www.foo.com[engine starts]"], lambda c: F.array_join(addresses.tokens_with_addresses(c, T.split_words), " ")) == ["[____] Email <email> and <handle> . <web> [engine_starts]"]
+    assert one(["[ __ ]", "[music ♪]", "@a.b", "x@y.com", "http://a.com/x@y", "a.com/b@c.com"], addresses.kind) == ["censored", "cc_desc", "handle", "email", "web", "web"]
+
+
+def test_scrolling(spark):
+    rows = [(1, 0.0, 1.0, "A"), (2, 1.0, 2.0, " A\nB "), (3, 2.0, 3.0, "B\nC"), (4, 3.0, 4.0, "C"), (5, 5.0, 6.0, "X"), (6, 6.0, 7.0, "X"), (7, 7.0, 8.0, " \n"), (8, 7.0, 9.0, "Y")]
+    out = cues.clean_cues(spark.createDataFrame(rows, "idx int, start double, end double, text string").withColumn("video_id", F.lit(1)))
+    assert [(r.kind, "|".join(r.emitted)) for r in out.orderBy("idx").collect()] == [
+        ("other", "A"), ("scroll", "B"), ("scroll", "C"), ("scroll", ""), ("delay", "|X"), ("repeat", ""), ("empty", ""), ("other", "Y")]
+
+
+def test_student_p_by_integration(spark):
+    from math import gamma, pi, sqrt
+
+    for t, df in ((0.5, 3), (2.1, 10), (-1.7, 40), (3.0, 5)):
+        c = gamma((df + 1) / 2) / (sqrt(df * pi) * gamma(df / 2))
+        n = 20_000
+        area = sum(c * (1 + ((k + 0.5) / n * abs(t)) ** 2 / df) ** (-(df + 1) / 2) for k in range(n)) * abs(t) / n
+        assert abs(python_text.student_two_sided(t, df) - (1 - 2 * area)) < 1e-6
+    for xy, xz, yz, n, t in ((0.7, 0.6, 0.5, 100, 1.4495), (0.5, 0.5, 1.0, 50, None)):
+        got = spark.range(1).select(evaluation.steiger(F.lit(xy), F.lit(xz), F.lit(yz), F.lit(n))).first()[0]
+        assert got is None if t is None else abs(got - t) < 0.2
+
+
+def test_tagged_numbers(spark):
+    rows = spark.createDataFrame([([("a1", "N"), ("22", "X"), ("", "E"), ("b", "V")],)], "l array<struct<token: string, pos: string>>")
+    assert [tuple(x) for x in rows.select(T.replace_tagged_numbers(F.col("l"))).first()[0]] == [("a", "N"), ("<num>", "NUM"), ("", "E"), ("b", "V")]
 
 
 def test_partitions_do_not_matter(spark):
