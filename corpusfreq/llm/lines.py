@@ -4,8 +4,8 @@ Overlapping documents are found through the hashes of runs of neighbouring lines
 and the shortest up to each line, that has `min_words` words. Each run that more than one document holds links its later
 documents to the first one that holds it, so a run costs one pair a document however common it is, and since such runs
 cover every block of `min_words` words, each block is compared with a document that holds it. Each pair is aligned by
-patience diff (lines unique in both, longest increasing run, again between the anchors), and again on what is left until
-no common line remains, so moved blocks are found too; runs that both hold but the alignment placed elsewhere are added.
+patience diff (lines unique in both, longest increasing run, again between the anchors); runs that both hold but the alignment
+placed elsewhere, such as moved or repeated blocks, are added.
 Common blocks of at least `min_words` words are deleted from the later document; order is that of the ids.
 """
 
@@ -16,13 +16,16 @@ from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from corpusfreq.session import materialize
 
 MIN_WORDS = 10
+DEPTH = 24
 FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -48,37 +51,34 @@ def _increasing(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
     """Aligned (index in a, index in b), rising in both. Ends are matched first, then lines unique in both; a
-    stretch without such a line is aligned by the first occurrences of its lines in order."""
+    stretch without such a line is aligned by the k-th occurrences of its lines. Gaps are aligned again, DEPTH times at most, so that
+    the work stays in proportion to the lines."""
     found: list[tuple[int, int]] = []
-    todo = [(0, len(a), 0, len(b))]
+    todo = [(0, len(a), 0, len(b), 0)]
     while todo:
-        a0, a1, b0, b1 = todo.pop()
+        a0, a1, b0, b1, depth = todo.pop()
         while a0 < a1 and b0 < b1 and a[a0] == b[b0]:
             found.append((a0, b0))
             a0, b0 = a0 + 1, b0 + 1
         while a0 < a1 and b0 < b1 and a[a1 - 1] == b[b1 - 1]:
             a1, b1 = a1 - 1, b1 - 1
             found.append((a1, b1))
-        if a0 == a1 or b0 == b1:
+        if a0 == a1 or b0 == b1 or depth == DEPTH:
             continue
         in_a, in_b = Counter(a[a0:a1]), Counter(b[b0:b1])
         where = {x: j for j, x in enumerate(b[b0:b1], b0) if in_b[x] == 1}
         once = [(i, where[a[i]]) for i in range(a0, a1) if in_a[a[i]] == 1 and a[i] in where]
         if not once:
-            first: dict[int, int] = {}
+            places: dict[int, list[int]] = {}
             for j in range(b1 - 1, b0 - 1, -1):
-                first[b[j]] = j
-            seen: set[int] = set()
-            for i in range(a0, a1):
-                if a[i] in first and a[i] not in seen:
-                    seen.add(a[i])
-                    once.append((i, first[a[i]]))
+                places.setdefault(b[j], []).append(j)
+            once = [(i, at.pop()) for i in range(a0, a1) if (at := places.get(a[i]))]
             if not once:
                 continue
         run = _increasing(once)
         found += run
         cuts = [(a0 - 1, b0 - 1), *run, (a1, b1)]
-        todo += [(i + 1, i2, j + 1, j2) for (i, j), (i2, j2) in zip(cuts, cuts[1:]) if i2 > i + 1 and j2 > j + 1]
+        todo += [(i + 1, i2, j + 1, j2, depth + 1) for (i, j), (i2, j2) in zip(cuts, cuts[1:]) if i2 > i + 1 and j2 > j + 1]
     return sorted(found)
 
 
@@ -122,32 +122,25 @@ def _common_runs(later: list[tuple[int, int, int]], earlier: list[tuple[int, int
 
 
 def common_blocks(later: list[tuple[int, int, int]], earlier: list[tuple[int, int]], min_words: int) -> set[int]:
-    """Line numbers of `later` (number, hash, words) in common blocks of at least min_words words. earlier: (number, hash)."""
-    drop: set[int] = set()
-    short: set[int] = set()  # lines that were aligned in too short a block; without them others get their turn
+    """Line numbers of `later` (number, hash, words) in common blocks of at least min_words words. earlier: (number, hash).
+
+    One patience alignment, then the runs that both hold but the alignment placed elsewhere (moved or repeated blocks)."""
     pool = {h for _, h in earlier}
-    while True:
-        left = [x for x in later if x[0] not in drop and x[0] not in short and x[1] in pool]
-        if not left:
-            return drop | _common_runs(later, earlier, min_words) if short else drop
-        own = {h for _, h, _ in left}
-        base = [x for x in earlier if x[1] in own]
-        block: list[tuple[int, int, int]] = []
-        new: set[int] = set()
-
-        def close() -> None:
-            (new if sum(w for _, _, w in block) >= min_words else short).update(n for n, _, _ in block)
-
-        for i, j in patience([h for _, h, _ in left], [h for _, h in base]):
-            n, m, w = left[i][0], base[j][0], left[i][2]
-            if block and (n, m) != (block[-1][0] + 1, block[-1][1] + 1):
-                close()
-                block = []
-            block.append((n, m, w))
-        close()
-        if new:  # what is left stands differently now
-            drop |= new
-            short.clear()
+    left = [x for x in later if x[1] in pool]
+    own = {h for _, h, _ in left}
+    base = [x for x in earlier if x[1] in own]
+    drop: set[int] = set()
+    block: list[tuple[int, int, int]] = []
+    for i, j in [*patience([h for _, h, _ in left], [h for _, h in base]), (-1, -1)]:
+        n, m = (left[i][0], base[j][0]) if i >= 0 else (-1, -1)
+        if block and (n, m) != (block[-1][0] + 1, block[-1][1] + 1):
+            if sum(w for _, _, w in block) >= min_words:
+                drop.update(k for k, _, _ in block)
+            block = []
+        block.append((n, m, left[i][2] if i >= 0 else 0))
+    if len(drop) < len(left):
+        drop |= _common_runs(left, base, min_words)
+    return drop
 
 
 def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -200,6 +193,18 @@ def duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return found.groupBy("id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("cut")))).alias("cut")).withColumnRenamed("id", id_col)
 
 
+@F.pandas_udf(StringType())
+def _without(texts: pd.Series, cuts: pd.Series) -> pd.Series:
+    """Texts without the lines of the given numbers; empty if only white space is left."""
+
+    def rest(text: str, cut) -> str:
+        gone = set(cut)
+        out = "\n".join(x for n, x in enumerate(text.split("\n")) if n not in gone)
+        return out if out.strip(" \t\n\x0b\f\r") else ""
+
+    return pd.Series([None if t is None else rest(t, c) for t, c in zip(texts, cuts)], dtype=object)
+
+
 def remove_duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length_col: str | None = None, min_words: int = MIN_WORDS) -> DataFrame:
     """The documents, columns as they were, without their duplicate lines; length_col, if given, gets the new text's length.
 
@@ -211,7 +216,7 @@ def remove_duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: st
     packed = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.struct(*(F.col(c) for c in rest), F.lit(0)).alias("rest"))  # no name can clash
     # by shuffle at any size: what is cut grows with the documents
     marked = packed.join(cuts.select(F.col(id_col).alias("of"), "cut").hint("merge"), F.col("id") == F.col("of"), "left")
-    kept = F.array_join(F.filter(F.split("text", "\n"), lambda x, n: ~F.array_contains("cut", n.cast("int"))), "\n")
-    out = marked.withColumn("new", F.when(F.col("cut").isNull(), F.col("text")).otherwise(F.when(~kept.rlike(r"\S"), F.lit("")).otherwise(kept)))
+    rest_of = _without(F.when(F.col("cut").isNotNull(), F.col("text")), F.col("cut"))  # texts that lose nothing don't travel
+    out = marked.withColumn("new", F.when(F.col("cut").isNull(), F.col("text")).otherwise(rest_of))
     return out.select(*(
         F.col("new").alias(text_col) if c == text_col else F.length("new").cast(docs.schema[c].dataType).alias(c) if c == length_col else F.col("rest")[c].alias(c) for c in names))
