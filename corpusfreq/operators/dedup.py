@@ -8,6 +8,10 @@ Removal then goes by rounds of joins.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -51,18 +55,37 @@ def _weighted(counts: DataFrame, df: DataFrame, total: DataFrame) -> DataFrame:
 
 
 def similar_pairs(weights: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """(i, j, sim) with j < i and cosine of at least the threshold. weights: (doc, term, df, weight); rows of one document may not repeat."""
-    weights, _ = materialize(weights, "weights")
+    """(i, j, sim) with j < i and cosine of at least the threshold. weights: (doc, term, df, weight), each term once a document.
+
+    Terms other than longs are told apart by 64-bit hashes. Both vectors of a candidate meet in one row and are multiplied in Arrow batches,
+    which shuffles a row a candidate in place of a row a term of each.
+    """
+    term = F.col("term") if weights.schema["term"].dataType.simpleString() == "bigint" else F.xxhash64("term")
+    weights, _ = materialize(weights.select("doc", term.alias("term"), "df", "weight"), "weights")
     before = F.coalesce(F.sum(F.col("weight") * F.col("weight")).over(Window.partitionBy("doc").orderBy("df", "term").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
     prefix, _ = materialize(weights.withColumn("before", before).filter(F.col("before") <= 1 - threshold * threshold + 1e-9).select("doc", "term"), "prefix")
     pairs = prefix.select(F.col("doc").alias("i"), "term").join(prefix.select(F.col("doc").alias("j"), "term"), "term").filter("j < i").select("i", "j").distinct()
     pairs, _ = materialize(pairs, "candidates")
-    a = weights.select(F.col("doc").alias("i"), "term", F.col("weight").alias("a"))
-    b = weights.select(F.col("doc").alias("j"), "term", F.col("weight").alias("b"))
-    dots = pairs.join(a, "i").join(b, ["j", "term"]).groupBy("i", "j").agg(F.sum(F.col("a") * F.col("b")).alias("sim"))
+    met = pairs.select(F.col("i").alias("doc")).unionByName(pairs.select(F.col("j").alias("doc"))).distinct()
+    vectors = weights.join(met, "doc", "left_semi").groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("term", "weight"))).alias("v"))
+    vectors, _ = materialize(vectors, "vectors")
+    a, b = vectors.select(F.col("doc").alias("i"), F.col("v").alias("a")), vectors.select(F.col("doc").alias("j"), F.col("v").alias("b"))
+    kind = pairs.schema["i"].dataType.simpleString()
+    dots = pairs.join(a, "i").join(b, "j").select("i", "j", "a", "b").mapInArrow(_dots, f"i {kind}, j {kind}, sim double")
     return dots.filter(F.col("sim") >= threshold)
 
 
+def _dots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for rows in batches:
+        sims = []
+        for x, y in zip(rows.column(2), rows.column(3)):
+            t, u = (v.values.field("term").to_numpy() for v in (x, y))
+            at = np.minimum(np.searchsorted(u, t), len(u) - 1)
+            both = u[at] == t
+            sims.append(float(x.values.field("weight").to_numpy()[both] @ y.values.field("weight").to_numpy()[at[both]]))
+        yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.array(sims, pa.float64())], ["i", "j", "sim"])
+
+
 class Similar:
     """Result of `search`: classes (doc, rep) of documents with equal term counts, rep being the least of them, and pairs (i, j, sim), j < i, of
     different representatives."""
@@ -80,9 +103,10 @@ class Similar:
 
 
 def search(docs: DataFrame, id_col: str, terms: Column, threshold: float = THRESHOLD) -> Similar:
-    """Similar documents. Terms are counted once; documents with equal counts (128 bits of hashes of all terms and counts, and their number) become one class, so
+    """Similar documents. Terms, told apart by 64-bit hashes, are counted once; documents with equal counts (128 bits of hashes of all terms and counts, and their number) become one class, so
     copies cost nothing more. df and N count all documents."""
-    counts, _ = materialize(term_counts(docs, id_col, terms), "term-counts")
+    hashed = docs.select(F.col(id_col).alias("doc"), F.explode(terms).alias("term")).select("doc", F.xxhash64("term").alias("term"))
+    counts, _ = materialize(hashed.groupBy("doc", "term").agg(F.count("*").alias("tf")), "term-counts")
     total = docs.agg(F.count("*").alias("_n"))
     mark = [F.count("*").alias("_k"), F.bit_xor(F.xxhash64("term", "tf")).alias("_x"), F.sum(F.xxhash64("tf", "term", F.lit(7)).cast("decimal(20,0)")).alias("_s")]
     marks = counts.groupBy("doc").agg(*mark)
