@@ -2,7 +2,7 @@
 
 Texts and items are compared in lower case with one blank for each run of other than letters and digits. An item of m
 characters may differ from a passage by e = RATE * m edits; then they share at least m - q + 1 - q * e
-q-grams, all on diagonals that span at most e. Shared q-grams are counted in diagonal bands of width 2E that overlap
+q-grams, all on diagonals that span at most e. q is Q, or SHORT_Q for items so short that this would be none. Shared q-grams are counted in diagonal bands of width 2E that overlap
 by E > e; bands that reach the bound are verified by banded alignment of the whole item.
 """
 
@@ -10,8 +10,9 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from bisect import bisect_left
 from collections.abc import Iterator
-from functools import reduce
+from functools import cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -19,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-Q = 8
+Q, SHORT_Q = 8, 5
 RATE = 0.1
 BLOCK_CHARS = 2_000_000
 _WINDOW = 1024
@@ -33,8 +34,15 @@ def _code(c: int) -> int:
     return 32 if not (x.isalnum() or unicodedata.category(x)[0] == "M") else ord(low) if len(low) == 1 else c
 
 
-_CODES = np.array([_code(c) if not 0xD800 <= c < 0xE000 else 32 for c in range(1 << 16)], np.uint32)
-_LATIN = _CODES[:256].astype(np.uint8)  # their lower cases are below 256
+_LATIN = np.array([_code(c) for c in range(256)], np.uint8)  # their lower cases are below 256
+
+
+@cache
+def _table() -> np.ndarray:
+    """Compared form of every code point; surrogates separate."""
+    codes = np.fromiter((_code(c) if not 0xD800 <= c < 0xE000 else 32 for c in range(0x110000)), np.uint32, 0x110000)
+    codes.setflags(write=False)
+    return codes
 
 
 def _codes(text: str) -> np.ndarray:
@@ -42,7 +50,7 @@ def _codes(text: str) -> np.ndarray:
         return _LATIN[np.frombuffer(text.encode("latin-1"), np.uint8)]
     except UnicodeEncodeError:
         c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-        return np.where(c < 1 << 16, _CODES[np.minimum(c, 0xFFFF)], c)
+        return _table()[c]
 
 
 def _kept(c: np.ndarray) -> np.ndarray:
@@ -68,14 +76,16 @@ def places(text: str) -> np.ndarray:
     return np.flatnonzero(_kept(_codes(text)))
 
 
-def _grams(a: np.ndarray) -> np.ndarray:
-    """8-grams of the characters folded to bytes, so that equal q-grams have equal values."""
-    n = len(a) - Q + 1
+def _grams(a: np.ndarray, q: int = Q) -> np.ndarray:
+    """q-grams of the characters folded to bytes, so that equal q-grams have equal values."""
+    n = len(a) - q + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
-    b = a if a.dtype == np.uint8 else (a ^ (a >> 8)).astype(np.uint8)
+    b = a if a.dtype == np.uint8 else (a ^ (a >> 8) ^ (a >> 16)).astype(np.uint8)
     two = b[:-1].astype(np.uint16) | b[1:].astype(np.uint16) << np.uint16(8)
     four = two[:-2].astype(np.uint32) | two[2:].astype(np.uint32) << np.uint32(16)
+    if q == SHORT_Q:
+        return four[:-1].astype(np.uint64) | b[4:].astype(np.uint64) << np.uint64(32)
     return four[:-4].astype(np.uint64) | four[4:].astype(np.uint64) << np.uint64(32)
 
 
@@ -112,58 +122,73 @@ def align(item: np.ndarray, region: np.ndarray, low: int, width: int, most: int)
 
 
 class Index:
-    """q-grams of a block of items."""
+    """q-grams of a block of items. edits: budget of each item."""
 
     def __init__(self, items: list[tuple[object, str]], rate: float = RATE) -> None:
-        q = Q
-        self.ids, self.texts = [], []
         self.words: list[tuple[object, re.Pattern]] = []
+        self.edits: dict = {}
+        long, short = [], []
         for key, text in items:
             a = normal(text)
-            if len(a) >= q:
-                self.ids.append(key)
-                self.texts.append(a)
+            self.edits[key] = e = int(len(a) * rate)
+            if len(a) - Q + 1 - Q * e >= 1:
+                long.append((key, a))
+            elif e:
+                short.append((key, a))
             elif len(a):
                 self.words.append((key, re.compile(r"(?<!\S)" + re.escape("".join(map(chr, a))) + r"(?!\S)")))
+        self.parts = [_Part(part, q, rate) for part, q in ((long, Q), (short, SHORT_Q)) if part]
+
+    def find(self, text: str | None) -> list[tuple[object, int, int, int]]:
+        """(item, start, end, edits) of passages, positions being those in the text; overlapping passages of one item count once, the best."""
+        a = normal(text)
+        found = [x for part in self.parts for x in part.find(a)]
+        hits = [(k, m.start(), m.end(), 0) for k, p in self.words for m in p.finditer("".join(map(chr, a)))] if self.words and len(a) else []
+        if not found and not hits:
+            return []
+        at = places(text)
+        return [(k, int(at[s]), int(at[e - 1]) + 1, d) for k, s, e, d in hits + sorted(found, key=lambda x: x[1])]
+
+
+class _Part:
+    """Items that share a q."""
+
+    def __init__(self, items: list[tuple[object, np.ndarray]], q: int, rate: float) -> None:
+        self.q, self.ids, self.texts = q, [k for k, _ in items], [a for _, a in items]
         self.length = np.array([len(a) for a in self.texts], np.int64)
-        self.edits = np.minimum((self.length * rate).astype(np.int64), (self.length - q) // q)
+        self.edits = (self.length * rate).astype(np.int64)
         self.bound = self.length - q + 1 - q * self.edits
-        own = [_grams(a) for a in self.texts]
-        grams = np.concatenate(own) if own else np.zeros(0, np.uint64)
+        if self.bound.min() < 1:
+            raise ValueError(f"a rate of {rate} leaves no common {q}-gram")
+        own = [_grams(a, q) for a in self.texts]
+        grams = np.concatenate(own)
         item = np.repeat(np.arange(len(own)), [len(g) for g in own])
-        place = np.concatenate([np.arange(len(g)) for g in own]) if own else np.zeros(0, np.int64)
+        place = np.concatenate([np.arange(len(g)) for g in own])
         order = np.argsort(grams, kind="stable")
         self.keys, self.first, self.count = np.unique(grams[order], return_index=True, return_counts=True)
         self.item, self.place = item[order].astype(np.int64), place[order].astype(np.int64)
         self.look = np.zeros(1 << _LOOK_BITS, bool)
         self.look[_slot(grams)] = True
 
-    def find(self, text: str | None) -> list[tuple[object, int, int, int]]:
-        """(item, start, end, edits) of passages, positions being those in the text; overlapping passages of one item count once, the best."""
-        a = normal(text)
-        out = []
-        if self.words and len(a):
-            flat = "".join(map(chr, a))
-            at = places(text)
-            out += [(k, int(at[m.start()]), int(at[m.end() - 1]) + 1, 0) for k, p in self.words for m in p.finditer(flat)]
-        if not len(self.keys) or len(a) < Q:
-            return out
+    def find(self, a: np.ndarray) -> list[tuple[object, int, int, int]]:
+        """The same in compared characters."""
+        if len(a) < self.q:
+            return []
         pieces = 1 << 16  # long texts in pieces that overlap by more than any passage
-        reach = int((self.length + self.edits).max()) + Q
+        reach = int((self.length + self.edits).max()) + self.q
         found: list[tuple[int, int, int, int]] = []
         for lo in range(0, max(1, len(a) - reach), pieces):
             found += self._piece(a[lo : lo + pieces + reach], lo)
-        best: list[tuple[int, int, int, int]] = []
+        best: dict[int, list[tuple[int, int, int, int]]] = {}
         for k, start, end, edits in sorted(set(found), key=lambda x: (x[0], x[3], x[1])):
-            if not any(b[0] == k and b[1] < end and start < b[2] for b in best):
-                best.append((k, start, end, edits))
-        if not best:
-            return out
-        at = places(text)
-        return out + [(self.ids[k], int(at[s]), int(at[e - 1]) + 1, d) for k, s, e, d in sorted(best, key=lambda x: (x[1], x[0]))]
+            own = best.setdefault(k, [])
+            at = bisect_left(own, (start,))  # passages kept so far don't overlap, so the neighbours tell
+            if not (at < len(own) and own[at][0] < end) and not (at and own[at - 1][1] > start):
+                own.insert(at, (start, end, edits, k))
+        return [(self.ids[k], s, e, d) for own in best.values() for s, e, d, k in own]
 
     def _piece(self, a: np.ndarray, shift: int) -> list[tuple[int, int, int, int]]:
-        h = _grams(a)
+        h = _grams(a, self.q)
         pos = np.flatnonzero(self.look[_slot(h)])
         if len(pos) < self.bound.min():
             return []
@@ -232,7 +257,7 @@ def _blocks(items: DataFrame, id_col: str, text_col: str) -> Iterator[Index]:
 def passages(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """(id, item, start, end, edits) of each passage of a text that an item matches within its edit budget.
 
-    start and end are positions in the text. Null and empty texts or items match nothing; items shorter than Q match as whole words without edits;
+    start and end are positions in the text. Items are found as wholes, not by parts of them. Null and empty texts or items match nothing; items shorter than Q, characters compared, match as whole words without edits;
     repeated rows of either side repeat their passages once an item id and text; no items or documents: no rows. No shuffle: blocks of items are broadcast.
     """
     spark = docs.sparkSession
