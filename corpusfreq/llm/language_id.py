@@ -9,11 +9,11 @@ hold the byte; below order 0 each byte costs 8 bits. The trees are flattened onc
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,7 +23,7 @@ ORDER = 3
 PER_LANGUAGE = 400
 MAX_TRAIN_CHARS = 20_000
 _PAD = b"\n" * ORDER
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = regex.compile(r"\p{L}")
 _SLICE = 1 << 18
 
 
