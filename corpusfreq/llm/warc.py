@@ -1,9 +1,10 @@
 """WARC archives: a writer and a Python data source.
 
 The writer turns rows into gzip records, one member a record, with `revisit` records for payloads that an archive set holds
-already. The data source plans partitions over files (and over ranges of many small files), takes equality and IN
-predicates on the record type and on header columns from Spark, reads each header first and decodes a payload only if the
-record passes and the payload is asked for.
+already. Each member tells its packed length in the `sl` extra field of the gzip header. A manifest, committed once as a Parquet table, names the files of
+the attempts that count. The data source plans partitions over files (several small ones a partition), takes equality and IN
+predicates on the record type and on header columns from Spark, and reads each header first; of a record that doesn't pass, or whose payload isn't asked for, the rest is
+passed over without being inflated where the member tells its length, and without being put together elsewhere.
 """
 
 from __future__ import annotations
@@ -11,11 +12,13 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
+import struct
 import uuid
 import zlib
 from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
+import pyarrow.dataset as pads
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,7 +28,8 @@ from corpusfreq.session import materialize, scratch_path
 
 SCHEMA = "file string, offset long, warc_type string, record_id string, target_uri string, date string, content_type string, payload_digest string, refers_to string, truncated string, content_length long, payload_length long, payload binary, computed_digest string"
 HEADERS = {"warc_type": "warc-type", "record_id": "warc-record-id", "target_uri": "warc-target-uri", "date": "warc-date", "content_type": "content-type", "payload_digest": "warc-payload-digest", "refers_to": "warc-refers-to", "truncated": "warc-truncated"}
-_CHUNK = 1 << 18
+MANIFEST = "_manifest"
+_CHUNK, _STEP = 1 << 18, 1 << 14
 BROADCAST_ROWS = 50_000
 
 
@@ -54,47 +58,50 @@ def record(kind: str, key: str, uri: str | None, payload: bytes, sha: str, refer
     return b"WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in head).encode("utf-8", "replace") + b"\r\n" + http + stored + b"\r\n\r\n"
 
 
+def member(data: bytes, level: int = 4) -> bytes:
+    """A gzip member whose header tells its packed and plain length (extra field `sl`), unless they take more than 32 bits."""
+    packer = zlib.compressobj(level, zlib.DEFLATED, -15)
+    body = packer.compress(data) + packer.flush()
+    tail = struct.pack("<II", zlib.crc32(data), len(data) & 0xFFFFFFFF)
+    whole = 10 + 14 + len(body) + 8
+    if max(whole, len(data)) >= 1 << 32:
+        return b"\x1f\x8b\x08\x00" + bytes(5) + b"\xff" + body + tail
+    return b"\x1f\x8b\x08\x04" + bytes(5) + b"\xff" + struct.pack("<H2sHII", 12, b"sl", 8, whole, len(data)) + body + tail
+
+
 def write(rows: DataFrame, path: str, max_bytes: int = 64 << 20, date: str = "2000-01-01T00:00:00Z") -> int:
     """Write rows (record_key string, uri, payload binary, sha binary, refers string or null) below path; returns the number of files.
 
-    A task writes to files of its own attempt and renames each when it is whole, so a lost executor leaves nothing that is read; files roll
-    at about max_bytes. Rows with `refers` become revisits. A null uri has no header.
+    Files are named by attempt and roll at about max_bytes. Their names travel as rows of the manifest, which Spark commits once, so
+    files of lost or doubled attempts aren't in it and aren't read. Rows with `refers` become revisits. A null uri has no header.
     """
     made = rows.select("record_key", "uri", F.when(F.col("refers").isNull(), F.col("payload")).alias("payload"), F.length("payload").alias("size"), "sha", "refers")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
         fs, root = _fs(path)
         fs.create_dir(root, recursive=True)
-        part, n, out, held, names = TaskContext.get().partitionId(), 0, None, 0, []
-
-        def close() -> None:
-            out.close()
-            final = f"{root}/part-{part:05d}-{n:04d}.warc.gz"
-            if fs.get_file_info(final).type != pafs.FileType.NotFound:
-                fs.delete_file(final)  # of an attempt that was lost
-            fs.move(temp, final)
-            names.append(final)
-
+        mine, out, held, done = uuid.uuid4().hex, None, 0, []
         for b in batches:
             for key, uri, payload, size, sha, refers in zip(*(c.to_pylist() for c in b.columns)):
                 if out is None:
-                    temp = f"{root}/_part-{part:05d}-{uuid.uuid4().hex}"
-                    out, held = fs.open_output_stream(temp, compression=None), 0
+                    name = f"{mine}-{len(done):04d}.warc.gz"
+                    out, held = fs.open_output_stream(f"{root}/{name}", compression=None), 0
                 body = payload if payload is not None else _Sized(size)
-                packer = zlib.compressobj(4, zlib.DEFLATED, 31)
-                data = packer.compress(record("response" if refers is None else "revisit", key, uri, body, base64.b32encode(sha).decode(), refers, date)) + packer.flush()
+                data = member(record("response" if refers is None else "revisit", key, uri, body, base64.b32encode(sha).decode(), refers, date))
                 out.write(data)
                 held += len(data)
                 if held >= max_bytes:
-                    close()
-                    out, n = None, n + 1
+                    out.close()
+                    done.append((name, held))
+                    out = None
         if out is not None:
-            close()
-        yield pa.RecordBatch.from_arrays([pa.array([len(names)], pa.int32())], ["files"])
+            out.close()
+            done.append((name, held))
+        yield pa.RecordBatch.from_arrays([pa.array([n for n, _ in done], pa.string()), pa.array([h for _, h in done], pa.int64())], ["file", "bytes"])
 
-    return made.mapInArrow(run, "files int").agg(F.sum("files")).first()[0] or 0
+    manifest = f"{path.rstrip('/')}/{MANIFEST}"
+    made.mapInArrow(run, "file string, bytes long").write.parquet(manifest)
+    return rows.sparkSession.read.schema("file string, bytes long").parquet(manifest).count()
 
 
 class _Sized:
@@ -111,28 +118,53 @@ class _Bytes:
     """Buffered reading over a plain or gzip stream of any number of members."""
 
     def __init__(self, raw, packed: bool) -> None:
-        self.raw, self.packed, self.box, self.buffer, self.at = raw, packed, zlib.decompressobj(31) if packed else None, b"", 0
+        self.raw, self.packed, self.box, self.buffer, self.at = raw, packed, None, b"", 0
+        self.feed, self.left = b"", None  # packed bytes that aren't inflated yet; how many of this member are neither fed nor passed over, if it tells
+        self.inflated = 0
+
+    def _fill(self, n: int) -> bool:
+        while len(self.feed) < n:
+            data = self.raw.read(_CHUNK)
+            if not data:
+                return False
+            self.feed += data
+        return True
+
+    def _begin(self) -> bool:
+        """Start the next member; false at the end (zero padding may follow the last)."""
+        if not self._fill(1):
+            return False
+        if self.feed[:1] == b"\0" and not self.feed.strip(b"\0"):
+            self._fill(1 << 30)
+            if not self.feed.strip(b"\0"):
+                return False
+        self.box, self.left = zlib.decompressobj(31), None
+        if self._fill(24) and self.feed[3] & 4 and self.feed[10:16] == b"\x0c\x00sl\x08\x00":
+            self.left = struct.unpack("<I", self.feed[16:20])[0]
+        return True
 
     def _more(self) -> bool:
+        if not self.packed:
+            data = self.raw.read(_CHUNK)
+            self.buffer += data
+            return bool(data)
         while True:
-            if not self.packed:
-                data = self.raw.read(_CHUNK)
-            elif self.box.eof:
-                rest = self.box.unused_data or self.raw.read(_CHUNK)
-                if not rest.strip(b"\0"):
-                    return False
-                self.box = zlib.decompressobj(31)
-                data = self.box.decompress(rest, _CHUNK)
-            else:
-                feed = self.box.unconsumed_tail or self.raw.read(_CHUNK)
-                if not feed:
-                    return False
-                data = self.box.decompress(feed, _CHUNK)
+            if self.box is None and not self._begin():
+                return False
+            if not self._fill(1):
+                raise EOFError("the archive ends within a gzip member")
+            part, self.feed = self.feed[:_STEP], self.feed[_STEP:]
+            data = self.box.decompress(part, _CHUNK)
+            unused = self.box.unconsumed_tail or self.box.unused_data
+            self.feed = unused + self.feed
+            if self.left is not None:
+                self.left -= len(part) - len(unused)
+            if self.box.eof:
+                self.box = None
             if data:
+                self.inflated += len(data)
                 self.buffer += data
                 return True
-            if not self.packed:
-                return False
 
     def until(self, mark: bytes) -> bytes:
         start = 0
@@ -147,11 +179,11 @@ class _Bytes:
         return out
 
     def take(self, n: int, keep: bool) -> bytes:
-        """The next n bytes; with keep false they are passed over without being put together."""
+        """The next n bytes; with keep false they are passed over without being put together. An error if there are fewer."""
         parts = []
         while n:
             if not self.buffer and not self._more():
-                break
+                raise EOFError(f"the archive ends {n} bytes before the end of a record")
             part, self.buffer = self.buffer[:n], self.buffer[n:]
             n -= len(part)
             self.at += len(part)
@@ -159,10 +191,27 @@ class _Bytes:
                 parts.append(part)
         return b"".join(parts)
 
+    def leave(self, n: int) -> bool:
+        """Pass over the rest of this member, n bytes of content and the two empty lines after them, without inflating it; false where its length isn't told."""
+        if self.box is None or self.left is None:
+            return False
+        while self.left:
+            if not self.feed:
+                if hasattr(self.raw, "seek") and self.left > _CHUNK:
+                    self.raw.seek(self.left - 1, 1)  # the last byte is read, so that a cut off archive shows
+                    self.left = 1
+                if not self._fill(1):
+                    raise EOFError("the archive ends within a gzip member")
+            k = min(self.left, len(self.feed))
+            self.feed, self.left = self.feed[k:], self.left - k
+        self.box, self.buffer = None, b""
+        self.at += n + 4
+        return True
+
 
 def records(raw, packed: bool, wanted=lambda head: True, payload: str = "bytes") -> Iterator[dict]:
     """Records of a stream. wanted sees the parsed headers before anything of the content is decoded.
-    payload: none, digest (length and SHA-1 only) or bytes."""
+    payload: none, digest (length and SHA-1 only) or bytes. Archives that are cut off raise EOFError."""
     stream = _Bytes(raw, packed)
     while True:
         offset = stream.at
@@ -172,6 +221,8 @@ def records(raw, packed: bool, wanted=lambda head: True, payload: str = "bytes")
         lines = head.decode("utf-8", "replace").strip("\r\n").split("\r\n")
         if not lines[0].startswith("WARC/"):
             raise ValueError(f"no WARC record at {offset}: {lines[0][:40]!r}")
+        if not head.endswith(b"\r\n\r\n"):
+            raise EOFError(f"the archive ends within the header at {offset}")
         fields: dict[str, str] = {}
         for line in lines[1:]:
             name, _, value = line.partition(":")
@@ -183,11 +234,17 @@ def records(raw, packed: bool, wanted=lambda head: True, payload: str = "bytes")
         row["payload_digest"] = row["payload_digest"] and row["payload_digest"].rpartition(":")[2]
         row |= {"offset": offset, "content_length": size, "payload_length": None, "payload": None, "computed_digest": None}
         use = wanted(row)
-        content = stream.take(size, use and payload != "none")
-        stream.until(b"\r\n\r\n") if not stream.buffer.startswith(b"\r\n\r\n") else stream.take(4, False)
+        decode = use and payload != "none"
+        content = b""
+        if decode or not stream.leave(size):
+            content = stream.take(size, decode)
+            if not (stream.buffer or stream._more()):
+                pass  # the last record of a plain file may lack its empty lines
+            else:
+                stream.until(b"\r\n\r\n") if not stream.buffer.startswith(b"\r\n\r\n") else stream.take(4, False)
         if not use:
             continue
-        if payload != "none":
+        if decode:
             http, found, body = content.partition(b"\r\n\r\n") if (row["content_type"] or "").startswith("application/http") else (b"", b"", content)
             if (row["content_type"] or "").startswith("application/http"):
                 told = re.search(rb"(?im)^content-length:\s*(\d+)", http)
@@ -225,15 +282,20 @@ class Reader(DataSourceReader):
 
     def partitions(self) -> Sequence[InputPartition]:
         fs, root = _fs(self.path)
-        found = [i for i in fs.get_file_info(pafs.FileSelector(root, recursive=True, allow_not_found=True)) if i.type == pafs.FileType.File and i.base_name[0] not in "._" and re.search(r"\.warc(\.gz)?$", i.path)]
+        if fs.get_file_info(f"{root}/{MANIFEST}").type == pafs.FileType.Directory:
+            listed = pads.dataset(f"{root}/{MANIFEST}", filesystem=fs, format="parquet", schema=pa.schema([("file", pa.string()), ("bytes", pa.int64())])).to_table()
+            found = [(f"{root}/{n}", size) for n, size in zip(listed["file"].to_pylist(), listed["bytes"].to_pylist())]
+        else:
+            all_ = fs.get_file_info(pafs.FileSelector(root, recursive=True, allow_not_found=True))
+            found = [(i.path, i.size) for i in all_ if i.type == pafs.FileType.File and i.base_name[0] not in "._" and re.search(r"\.warc(\.gz)?$", i.path)]
         groups: list[list[str]] = []
-        size = 0
-        for i in sorted(found, key=lambda i: i.path):
-            if not groups or size + i.size > self.target:
+        held = 0
+        for name, size in sorted(found):
+            if not groups or held + size > self.target:
                 groups.append([])
-                size = 0
-            groups[-1].append(i.path)
-            size += i.size
+                held = 0
+            groups[-1].append(name)
+            held += size
         return [_Files(g) for g in groups]
 
     def read(self, partition: _Files | None) -> Iterator[pa.RecordBatch]:
@@ -249,7 +311,7 @@ class Reader(DataSourceReader):
             return pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], kinds.get(c, pa.string())) for c in self.columns], self.columns)
 
         for name in partition.names if partition else []:
-            with fs.open_input_stream(name, compression=None) as raw:
+            with fs.open_input_file(name) as raw:
                 for r in records(raw, name.endswith(".gz"), wanted, self.payload):
                     rows.append(r | {"file": name})
                     held += len(r["payload"] or b"") + 500
@@ -284,14 +346,17 @@ def read(spark: SparkSession, path: str, payload: str = "bytes") -> DataFrame:
 def revisits(rows: DataFrame, min_bytes: int = 0) -> DataFrame:
     """rows (id, payload binary, ...) with sha (20 bytes) and refers_id: of rows with equal payloads of at least min_bytes the one of the largest id stands, the others refer to it.
 
-    Only ids and digests are shuffled for the choice; digests that repeat are broadcast up to BROADCAST_ROWS of them (counted first) and joined
-    by shuffle beyond that. Null ids never stand for others and refer to nothing.
+    Payloads aren't shuffled for the choice: ids and digests find the digests that repeat. Up to BROADCAST_ROWS of these (counted first) are broadcast; beyond that they
+    are joined to the ids alone, and payloads meet what they refer to by id and digest, so that a page that many rows share is no hot key of payloads.
+    Null ids never stand for others and refer to nothing.
     """
     hashed = rows.withColumn("sha", F.unhex(F.sha1("payload")))
-    twice, _ = materialize(
-        hashed.filter((F.length("payload") >= min_bytes) & F.col("id").isNotNull()).groupBy("sha").agg(F.max("id").alias("top"), F.count("*").alias("n")).filter("n > 1").select("sha", "top"), "digests")
-    twice = F.broadcast(twice) if twice.count() <= BROADCAST_ROWS else twice
-    return hashed.join(twice, "sha", "left").withColumn("refers_id", F.when(F.col("id") < F.col("top"), F.col("top"))).drop("top")
+    many = hashed.filter((F.length("payload") >= min_bytes) & F.col("id").isNotNull()).select("id", "sha")
+    twice, _ = materialize(many.groupBy("sha").agg(F.max("id").alias("top"), F.count("*").alias("n")).filter("n > 1").select("sha", "top"), "digests")
+    if twice.count() <= BROADCAST_ROWS:
+        return hashed.join(F.broadcast(twice), "sha", "left").withColumn("refers_id", F.when(F.col("id") < F.col("top"), F.col("top"))).drop("top")
+    refers = many.distinct().join(twice, "sha").filter("id < top").select("id", "sha", F.col("top").alias("refers_id"))
+    return hashed.join(refers, ["id", "sha"], "left")
 
 
 def archive(rows: DataFrame, path: str, id_col: str, uri_col: str, text_col: str, min_bytes: int = 0) -> int:
