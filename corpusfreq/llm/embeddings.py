@@ -1,16 +1,18 @@
 """Near-duplicate vectors by a subspace pigeonhole join.
 
-Unit vectors with cosine >= c lie within squared distance R = 2 - 2c. After a fixed random rotation they are split
+Unit vectors with cosine >= c lie within squared distance R = 2 - 2c. After a rotation they are split
 into BLOCKS low-dimensional blocks; by the pigeonhole principle two near vectors are within R * (dimensions of the block / all) in at
-least one block. Each block is range-joined: slabs as wide as the radius along its widest direction, each against itself and the next, in
-chunks of bounded size. Candidates of all blocks are verified exactly (double precision, original vectors); a pair counts in
+least one block. The rotation deals the principal axes of a bounded sample out to the blocks in turn, so that each block starts with a wide one (any rotation is right; this one
+prunes). Each block is range-joined: slabs as wide as the radius along its first axis, each against itself and the next, in
+chunks of bounded size; an axis that is narrow against the radius isn't cut. Candidates of all blocks are verified exactly (double precision, original vectors); a pair counts in
 the first block that proposes it. Tasks return links a vector and a spanning forest, never all pairs. Vectors that are equal
-up to their bits become one class first.
+up to their bits become one class first. Vectors of different lengths are joined apart.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -22,12 +24,15 @@ from corpusfreq.operators.graph import connected_components
 from corpusfreq.session import materialize
 
 BLOCKS = 4
-CHUNK = 16_384
+CHUNK = 32_768
+SAMPLE, SAMPLE_CELLS, SAMPLED_LENGTHS = 20_000, 4_000_000, 8
 _TILE = 2048
-_EPS = 1e-5
+_EPS, _SLACK = 1e-9, 1e-5  # of the budgets; of float32 products against them
 
 
+@cache
 def rotation(dim: int, seed: int = 5) -> np.ndarray:
+    """A random rotation, for lengths without a sample."""
     q, r = np.linalg.qr(np.random.default_rng(seed).normal(size=(dim, dim)))
     return q * np.sign(np.diag(r))
 
@@ -37,8 +42,45 @@ def splits(dim: int, blocks: int = BLOCKS) -> list[tuple[int, int]]:
     return list(zip(cuts.tolist(), cuts[1:].tolist()))
 
 
-def _unit(raw: list[bytes]) -> np.ndarray:
-    x = np.frombuffer(b"".join(raw), np.float64).reshape(len(raw), -1)
+def principal(x: np.ndarray, blocks: int) -> np.ndarray:
+    """Principal axes of unit vectors as columns, the k-th widest leading or following in block k modulo blocks."""
+    axes = np.linalg.eigh(np.cov(x.T) if len(x) > 1 else np.eye(x.shape[1]))[1][:, ::-1]
+    parts = splits(x.shape[1], blocks)
+    order = [[] for _ in parts]
+    free = [b - a for a, b in parts]
+    k, at = 0, 0
+    while k < x.shape[1]:
+        if free[at]:
+            order[at].append(k)
+            free[at] -= 1
+            k += 1
+        at = (at + 1) % len(parts)
+    return np.ascontiguousarray(axes[:, [k for own in order for k in own]])
+
+
+class Space:
+    """Rotation, blocks and radii for one length; wide: which blocks are cut into slabs."""
+
+    def __init__(self, dim: int, blocks: int, cosine: float, sample: np.ndarray | None) -> None:
+        self.parts = splits(dim, blocks)
+        self.turn = rotation(dim) if sample is None else principal(sample, blocks)
+        self.budget = [(2 - 2 * cosine) * (b - a) / dim + _EPS for a, b in self.parts]
+        self.radius = [float(np.sqrt(x)) for x in self.budget]
+        self.wide = [False] * len(self.parts)
+        if sample is not None:
+            first = (sample @ self.turn)[:, [a for a, _ in self.parts]]
+            span = np.quantile(first, 0.95, axis=0) - np.quantile(first, 0.05, axis=0)
+            self.wide = [bool(s > 3 * r) for s, r in zip(span, self.radius)]
+
+    def slabs(self, x: np.ndarray) -> np.ndarray:
+        first = x @ self.turn[:, [a for a, _ in self.parts]]
+        cut = np.floor(first / self.radius)
+        return np.where(self.wide, cut, 0).astype(np.int32)
+
+
+def _unit(raw: list[bytes], kind) -> np.ndarray:
+    x = np.frombuffer(b"".join(raw), kind).reshape(len(raw), -1).astype(np.float64)
+    x = x / np.abs(x).max(1, keepdims=True)  # neither squares nor sums overflow
     return x / np.sqrt((x * x).sum(1, keepdims=True))
 
 
@@ -60,14 +102,14 @@ class _Forest:
         return True
 
 
-def pair_chunks(x: np.ndarray, y: np.ndarray | None, block: int, cosine: float, turn: np.ndarray, parts: list[tuple[int, int]]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Index pairs (in x; in y, or for None later in x) whose cosine reaches the bound and whose first block within budget is `block`."""
-    dim = x.shape[1]
-    budget = [(2 - 2 * cosine) * (b - a) / dim + _EPS for a, b in parts]
-    rx = (x @ turn).astype(np.float32)
-    ry = rx if y is None else (y @ turn).astype(np.float32)
-    a, b = parts[block]
-    sx, sy = np.ascontiguousarray(rx[:, a:b]), np.ascontiguousarray(ry[:, a:b])
+def pair_chunks(x: np.ndarray, y: np.ndarray | None, block: int, cosine: float, space: Space) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs (in x; in y, or for None later in x) whose cosine reaches the bound and whose first block within budget is `block`.
+
+    Products in single precision, with slack, only pick out pairs; which blocks hold a pair is told by one formula, squared differences in double precision."""
+    rx = x @ space.turn
+    ry = rx if y is None else y @ space.turn
+    a, b = space.parts[block]
+    sx, sy = np.ascontiguousarray(rx[:, a:b], np.float32), np.ascontiguousarray(ry[:, a:b], np.float32)
     nx, ny = (sx * sx).sum(1) / 2, (sy * sy).sum(1) / 2
     other = x if y is None else y
     for i in range(0, len(x), _TILE):
@@ -75,7 +117,7 @@ def pair_chunks(x: np.ndarray, y: np.ndarray | None, block: int, cosine: float,
             # |p - q|^2 <= budget  <=>  p.q - |q|^2 / 2 >= |p|^2 / 2 - budget / 2
             dot = sx[i : i + _TILE] @ sy[j : j + _TILE].T
             dot -= ny[j : j + _TILE]
-            p, q = np.nonzero(dot >= (nx[i : i + _TILE] - budget[block] / 2)[:, None])
+            p, q = np.nonzero(dot >= (nx[i : i + _TILE] - (space.budget[block] + _SLACK) / 2)[:, None])
             p, q = p + i, q + j
             if y is None:
                 p, q = p[p < q], q[p < q]
@@ -83,86 +125,102 @@ def pair_chunks(x: np.ndarray, y: np.ndarray | None, block: int, cosine: float,
                 u, v = p[s : s + (1 << 16)], q[s : s + (1 << 16)]
                 good = np.einsum("ij,ij->i", x[u], other[v]) >= cosine
                 u, v = u[good], v[good]
-                for c, d in parts[:block]:  # an earlier block has it
-                    near = ((rx[u, c:d] - ry[v, c:d]) ** 2).sum(1) <= budget[parts.index((c, d))]
-                    u, v = u[~near], v[~near]
+                for k in range(block, -1, -1):  # this block has it, and no earlier one
+                    c, d = space.parts[k]
+                    near = ((rx[u, c:d] - ry[v, c:d]) ** 2).sum(1) <= space.budget[k]
+                    keep = near if k == block else ~near
+                    u, v = u[keep], v[keep]
                 if len(u):
                     yield u, v
 
 
+def _spaces(vectors: DataFrame, blocks: int, cosine: float) -> dict[int, Space]:
+    """Spaces of the commonest lengths, from a sample of at most SAMPLE vectors and SAMPLE_CELLS components of each, drawn by hash."""
+    sizes = vectors.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").limit(SAMPLED_LENGTHS).collect()
+    out = {}
+    for r in sizes:
+        most = min(SAMPLE, SAMPLE_CELLS // max(1, r["d"]))
+        if r["d"] > 1024:
+            continue
+        share = F.shiftrightunsigned(F.xxhash64("id"), 11) / F.lit(2.0**53)
+        got = vectors.filter((F.size("v") == r["d"]) & (share <= most / r["count"])).select("v").limit(2 * most).collect()  # the choice sets the speed, not the result
+        if got:
+            x = np.array([g["v"] for g in got], np.float64)
+            x /= np.abs(x).max(1, keepdims=True)
+            out[r["d"]] = Space(r["d"], blocks, cosine, x / np.sqrt((x * x).sum(1, keepdims=True)))
+    return out
+
+
 def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", cosine: float = 0.9, blocks: int = BLOCKS, chunk: int = CHUNK) -> DataFrame:
-    """(id, n_links, component_id, kept) of every row: links join vectors of cosine >= `cosine`.
+    """(id, n_links, component_id, kept) of every row: links join vectors of equal length and cosine >= `cosine`.
 
-    Null or zero vectors, and those with null or non-finite components, link with nothing; so do vectors of another length than the
-    commonest (ties: the shorter). Ids are taken as unique; a repeated row counts as another vector of the same id. A null id links with nothing.
+    Null or zero vectors, empty ones, and those with null or non-finite components, link with nothing; nor do vectors of different lengths.
+    Ids are taken as unique; a repeated row counts as another vector of the same id. A null id links with nothing.
     Other columns aren't read. An empty table gives no rows.
     """
-    spark = vectors.sparkSession
-    narrow = vectors.select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
+    if not 0 < cosine <= 1:
+        raise ValueError("cosine must be above 0 and at most 1")
+    single = vectors.schema[vector_col].dataType.simpleString() == "array<float>"
+    form = np.float32 if single else np.float64
+    narrow = vectors.select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<float>" if single else "array<double>").alias("v"))
     kind = narrow.schema["id"].dataType.simpleString()
     fine = F.col("v").isNotNull() & F.col("id").isNotNull() & ~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists("v", lambda x: x != 0)
-    sizes = narrow.filter(fine).groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").limit(1).collect()
     every = narrow.select("id", F.when(F.coalesce(fine, F.lit(False)), F.col("v")).alias("v"))
-    if not sizes or not 0 < cosine <= 1:
-        if not 0 < cosine <= 1:
-            raise ValueError("cosine must be above 0 and at most 1")
-        return every.select(F.col("id").alias(id_col), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.lit(True).alias("kept"))
-    dim = sizes[0]["d"]
-    parts, turn = splits(dim, blocks), rotation(dim)
-    radius = [float(np.sqrt((2 - 2 * cosine) * (b - a) / dim + _EPS)) for a, b in parts]
+    spaces = _spaces(every.filter("v IS NOT NULL"), blocks, cosine)
+
+    def space_of(dim: int) -> Space:
+        if dim not in spaces:
+            spaces[dim] = Space(dim, blocks, cosine, None)
+        return spaces[dim]
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Bits of each vector and its slab in each block."""
+        """Bits of each vector, its length and its slab in each block."""
         for b in batches:
             v = b.column(1)
-            ok = [n == dim for n in pc.list_value_length(v).to_pylist()]
-            if not any(ok):
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.nulls(b.num_rows, pa.binary()), pa.nulls(b.num_rows, pa.list_(pa.int32()))], ["id", "raw", "slabs"])
-                continue
-            x = np.array(v.filter(pa.array(ok)).flatten()).reshape(-1, dim)
-            x = x / np.abs(x).max(1, keepdims=True)  # neither squares nor sums overflow
-            first = (x / np.sqrt((x * x).sum(1, keepdims=True))) @ turn
-            slabs = np.stack([np.floor(first[:, a] / r) for (a, _), r in zip(parts, radius)], 1).astype(np.int32)
-            rows, raw, cells = iter(range(len(x))), [], []
-            for good in ok:
-                k = next(rows) if good else None
-                raw.append(None if k is None else (x[k] + 0.0).tobytes())
-                cells.append(None if k is None else slabs[k].tolist())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(raw, pa.binary()), pa.array(cells, pa.list_(pa.int32()))], ["id", "raw", "slabs"])
+            sizes = np.array([n or 0 for n in pc.list_value_length(v).to_pylist()], np.int64)
+            raw: list = [None] * b.num_rows
+            slabs: list = [None] * b.num_rows
+            for dim in np.unique(sizes[sizes > 0]).tolist():
+                rows = np.flatnonzero(sizes == dim)
+                x = v.take(pa.array(rows)).flatten().to_numpy(zero_copy_only=False).astype(form).reshape(-1, dim) + form(0)
+                bits = [r.tobytes() for r in x]
+                for k, r, s in zip(rows.tolist(), bits, space_of(dim).slabs(_unit(bits, form)).tolist()):
+                    raw[k], slabs[k] = r, s
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(raw, pa.binary()), pa.array(slabs, pa.list_(pa.int32()))], ["id", "raw", "slabs"])
 
     packed, _ = materialize(every.mapInArrow(pack, f"id {kind}, raw binary, slabs array<int>"), "vectors")
     classes, _ = materialize(packed.filter("raw IS NOT NULL").groupBy("raw").agg(F.min("id").alias("rep"), F.count("*").alias("n"), F.first("slabs").alias("slabs")), "vector-classes")
-    cells = classes.select(F.col("rep").alias("id"), "n", "raw", F.posexplode("slabs").alias("block", "slab"))
+    cells = classes.select(F.col("rep").alias("id"), "n", "raw", F.length("raw").alias("bytes"), F.posexplode("slabs").alias("block", "slab"))
     # slabs of more than `chunk` vectors fall into chunks; the sizes are few numbers a block and slab
-    per = cells.groupBy("block", "slab").agg(F.count("*").alias("_n"))
-    cells = cells.join(per, ["block", "slab"]).withColumn("cut", F.ceil(F.col("_n") / F.lit(chunk))).withColumn("part", F.pmod(F.xxhash64("id"), F.col("cut")).cast("int")).drop("_n")
-    ahead = per.select("block", (F.col("slab") - 1).alias("slab"), F.ceil(F.col("_n") / F.lit(chunk)).alias("next"))
-    behind = per.select("block", (F.col("slab") + 1).alias("slab"), F.ceil(F.col("_n") / F.lit(chunk)).alias("last"))
-    cells = cells.join(ahead, ["block", "slab"], "left").join(behind, ["block", "slab"], "left")
+    per = cells.groupBy("bytes", "block", "slab").agg(F.count("*").alias("_n"))
+    cells = cells.join(per, ["bytes", "block", "slab"]).withColumn("cut", F.ceil(F.col("_n") / F.lit(chunk))).withColumn("part", F.pmod(F.xxhash64("id"), F.col("cut")).cast("int")).drop("_n")
+    ahead = per.select("bytes", "block", (F.col("slab") - 1).alias("slab"), F.ceil(F.col("_n") / F.lit(chunk)).alias("next"))
+    behind = per.select("bytes", "block", (F.col("slab") + 1).alias("slab"), F.ceil(F.col("_n") / F.lit(chunk)).alias("last"))
+    cells = cells.join(ahead, ["bytes", "block", "slab"], "left").join(behind, ["bytes", "block", "slab"], "left")
     # a task compares chunk `part` of slab with chunk `mate` of the same slab (step 0, part <= mate) or of the next (step 1)
     with_own = cells.withColumn("m", F.explode(F.sequence(F.lit(0), (F.col("cut") - 1).cast("int")))).select(
-        "id", "n", "raw", "block", "slab", F.lit(0).alias("step"),
+        "id", "n", "raw", "bytes", "block", "slab", F.lit(0).alias("step"),
         F.least("part", "m").alias("a"), F.greatest("part", "m").alias("b"), (F.col("part") > F.col("m")).alias("right"))
     as_left = cells.filter("next IS NOT NULL").withColumn("m", F.explode(F.sequence(F.lit(0), (F.col("next") - 1).cast("int")))).select(
-        "id", "n", "raw", "block", "slab", F.lit(1).alias("step"), F.col("part").alias("a"), F.col("m").alias("b"), F.lit(False).alias("right"))
+        "id", "n", "raw", "bytes", "block", "slab", F.lit(1).alias("step"), F.col("part").alias("a"), F.col("m").alias("b"), F.lit(False).alias("right"))
     as_right = cells.filter("last IS NOT NULL").withColumn("m", F.explode(F.sequence(F.lit(0), (F.col("last") - 1).cast("int")))).select(
-        "id", "n", "raw", "block", (F.col("slab") - 1).alias("slab"), F.lit(1).alias("step"), F.col("m").alias("a"), F.col("part").alias("b"), F.lit(True).alias("right"))
+        "id", "n", "raw", "bytes", "block", (F.col("slab") - 1).alias("slab"), F.lit(1).alias("step"), F.col("m").alias("a"), F.col("part").alias("b"), F.lit(True).alias("right"))
     tasks = with_own.unionByName(as_left).unionByName(as_right)
-    keys = ["block", "slab", "step", "a", "b"]
+    keys = ["bytes", "block", "slab", "step", "a", "b"]
 
     def compare(group: pa.Table) -> pa.Table:
         block, step = group["block"][0].as_py(), group["step"][0].as_py()
-        single = step == 0 and group["a"][0].as_py() == group["b"][0].as_py()
+        alone = step == 0 and group["a"][0].as_py() == group["b"][0].as_py()
         group = group.sort_by("id")
         side = np.array(group["right"].to_pylist(), bool)
         ids, n, raw = group["id"].to_pylist(), np.array(group["n"].to_pylist(), np.int64), group["raw"].to_pylist()
-        left = np.flatnonzero(~side) if not single else np.arange(len(ids))
-        right = left if single else np.flatnonzero(side)
+        left = np.flatnonzero(~side) if not alone else np.arange(len(ids))
+        right = left if alone else np.flatnonzero(side)
         links, forest, edges = np.zeros(len(ids), np.int64), _Forest(), []
         if len(left) and len(right):
-            x = _unit([raw[k] for k in left])
-            y = None if single else _unit([raw[k] for k in right])
-            for u, v in pair_chunks(x, y, block, cosine, turn, parts):
+            x = _unit([raw[k] for k in left], form)
+            y = None if alone else _unit([raw[k] for k in right], form)
+            for u, v in pair_chunks(x, y, block, cosine, space_of(x.shape[1])):
                 u, v = left[u], right[v]
                 np.add.at(links, u, n[v])
                 np.add.at(links, v, n[u])
