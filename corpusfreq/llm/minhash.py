@@ -5,8 +5,10 @@ packed into 64-bit words, estimate similarity by counting bits: with m of K lane
 J ~ (m / K - 2^-b) / (1 - 2^-b), the chance of colliding low bits taken out. Candidates with an estimate below
 threshold - SLACK (over five standard errors) go; the rest is verified on full shingle sets.
 
-Texts with equal sets become one class first. Within a band key the members are compared with a hub, then
-what hubs left apart is compared pairwise, so a group of near copies costs about one comparison a member.
+Texts with equal sets become one class first. Within a band key the members are compared with a hub, so a group of near copies costs about one comparison a
+member. What hubs leave apart is compared pairwise in keys of up to PAIRWISE members. The members of larger keys, such as pages that share a template but no more, are
+joined on the rare shingles of each set instead (prefix filter): sets that reach the bound share one of their n - ceil(bound n) + 1 rarest, so no link is lost, and
+frequent shingles bring no pairs.
 """
 
 from __future__ import annotations
@@ -16,7 +18,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusfreq.operators.graph import connected_components
@@ -28,6 +30,7 @@ LANES = 64 // BITS
 PACKED = K // LANES
 SLACK = 0.16
 HUB_ROUNDS = 2
+PAIRWISE = 64
 _STEP = 1024
 _rng = np.random.default_rng(20_24)
 _MUL = (_rng.integers(1, 2**32, K, dtype=np.uint64) | 1).astype(np.uint32)[:, None]
@@ -136,6 +139,28 @@ def verify(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFr
     return both.mapInArrow(run, f"u {kind}, v {kind}")
 
 
+def rare_partners(members: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """(u, v) of members (id, component) of different components that share a shingle that is among the rarest of both, as all pairs that reach percent do."""
+    kind = texts.schema["id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cache = _Words()
+        for b in batches:
+            for a in range(0, b.num_rows, 500):
+                part = b.slice(a, 500)
+                sets = [shingle_hashes(words(t), size, cache).view(np.int64) for t in part.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.list_(pa.int64()))], ["id", "set"])
+
+    sets = texts.join(members.select("id"), "id", "left_semi").select("id", "text").mapInArrow(run, f"id {kind}, set array<long>")
+    rows, _ = materialize(sets.select("id", F.size("set").alias("n"), F.explode("set").alias("h")), "shingles")
+    often = rows.groupBy("h").agg(F.count("*").alias("df"))
+    rank = F.row_number().over(Window.partitionBy("id").orderBy("df", "h"))
+    prefix = rows.join(often, "h").withColumn("rank", rank).filter((F.col("rank") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1) & (F.col("df") > 1))
+    prefix, _ = materialize(prefix.select("id", "h").join(members, "id"), "rare")
+    other = prefix.select(F.col("id").alias("v"), "h", F.col("component").alias("_hub"))
+    return prefix.join(other, "h").filter((F.col("component") < F.col("_hub"))).select(F.col("id").alias("u"), "v")
+
+
 def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
     """(id, n_shingles, component_id, kept) of every row: links join texts with 100 * shared >= percent * all shingles.
 
@@ -182,14 +207,18 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             pairs = (pairs if group is None else pairs.join(group.select(F.col("id").alias("v"), F.col("component").alias("_hub")), "v", "left")
                      .filter("component <> coalesce(_hub, v)")).select(F.col("id").alias("u"), "v")
         else:
-            other = rows.select("band", "key", F.col("id").alias("v"), F.col("component").alias("_hub"))
-            a, b = bits.withColumnRenamed("bits", "_x"), bits.select(F.col("id").alias("v"), F.col("bits").alias("_y"))
-            pairs = (rows.join(a, "id").join(other.join(b, "v"), ["band", "key"]).filter((F.col("component") < F.col("_hub")) & (estimate(F.col("_x"), F.col("_y")) >= least))
-                     .select(F.col("id").alias("u"), "v"))
+            sizes = rows.groupBy("band", "key").agg(F.count("*").alias("_size"))
+            rows, _ = materialize(rows.join(sizes, ["band", "key"]), "apart")
+            few = rows.filter(F.col("_size") <= PAIRWISE)
+            other = few.select("band", "key", F.col("id").alias("v"), F.col("component").alias("_hub"))
+            pairs = few.join(other, ["band", "key"]).filter(F.col("component") < F.col("_hub")).select(F.col("id").alias("u"), "v")
+            many = rows.filter(F.col("_size") > PAIRWISE).select("id", "component").distinct()
+            if not many.isEmpty():
+                pairs = pairs.unionByName(rare_partners(many, texts, shingle, percent))
         pairs = pairs.distinct()
         if tried is not None:
             pairs = pairs.join(tried, ["u", "v"], "left_anti").join(tried.select(F.col("u").alias("v"), F.col("v").alias("u")), ["u", "v"], "left_anti")
-        pairs, _ = materialize(likely(pairs) if round_ < HUB_ROUNDS else pairs, "pairs")
+        pairs, _ = materialize(likely(pairs), "pairs")
         found, _ = materialize(verify(pairs, texts, shingle, percent), "links")
         tried = pairs if tried is None else tried.unionByName(pairs)
         links = found if links is None else links.unionByName(found)

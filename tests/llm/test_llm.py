@@ -185,6 +185,23 @@ def test_components_of_chains_and_copies(spark):
     assert got == want
 
 
+def test_templates_share_keys_but_no_links(spark, monkeypatch):
+    """Pages of one template, alike by 0.5 to 0.75, with some near copies among them, whose keys go by rare shingles."""
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choices("abcdefghij", k=7))
+    template = [word() for _ in range(120)]
+    texts = [template + [word() for _ in range(50)] for _ in range(120)]
+    texts += [t[:-2] + [word()] for t in texts[:30]]
+    sets = [set(zip(t, t[1:])) for t in texts]
+    links = {(i, j) for i in range(len(texts)) for j in range(i) if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])}
+    up = list(range(len(texts)))
+    for i, j in sorted(links):
+        up[i] = min(up[i], up[j])
+    monkeypatch.setattr(minhash, "PAIRWISE", 3)
+    docs = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(texts)], "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in minhash.components(docs, shingle=2).collect()} == dict(enumerate(up)) and len(links) >= 30
+
+
 def test_minhash_edges(odd, nothing):
     got = minhash.components(odd).collect()
     assert len(got) == odd.count()
