@@ -25,8 +25,9 @@ from corpusfreq.session import materialize
 
 BLOCKS = 4
 CHUNK = 32_768
+BROADCAST_ROWS = 50_000
 SAMPLE, SAMPLE_CELLS, SAMPLED_LENGTHS = 20_000, 4_000_000, 8
-_TILE = 2048
+_TILE = 512
 _EPS, _SLACK = 1e-9, 1e-5  # of the budgets; of float32 products against them
 
 
@@ -109,15 +110,18 @@ def pair_chunks(x: np.ndarray, y: np.ndarray | None, block: int, cosine: float,
     rx = x @ space.turn
     ry = rx if y is None else y @ space.turn
     a, b = space.parts[block]
-    sx, sy = np.ascontiguousarray(rx[:, a:b], np.float32), np.ascontiguousarray(ry[:, a:b], np.float32)
-    nx, ny = (sx * sx).sum(1) / 2, (sy * sy).sum(1) / 2
+    one = np.ones
+    # |p - q|^2 <= budget  <=>  p.q - |q|^2 / 2 + (budget - |p|^2) / 2 >= 0, a product of vectors longer by two
+    half = [(r[:, a:b] ** 2).sum(1) / 2 for r in (rx, ry)]
+    left = np.c_[rx[:, a:b], one(len(rx)), (space.budget[block] + _SLACK) / 2 - half[0]].astype(np.float32)
+    right = np.ascontiguousarray(np.c_[ry[:, a:b], -half[1], one(len(ry))].astype(np.float32).T)
     other = x if y is None else y
     for i in range(0, len(x), _TILE):
         for j in range(i if y is None else 0, len(other), _TILE):
-            # |p - q|^2 <= budget  <=>  p.q - |q|^2 / 2 >= |p|^2 / 2 - budget / 2
-            dot = sx[i : i + _TILE] @ sy[j : j + _TILE].T
-            dot -= ny[j : j + _TILE]
-            p, q = np.nonzero(dot >= (nx[i : i + _TILE] - (space.budget[block] + _SLACK) / 2)[:, None])
+            hit = left[i : i + _TILE] @ right[:, j : j + _TILE] >= 0
+            if not hit.any():
+                continue
+            p, q = np.nonzero(hit)
             p, q = p + i, q + j
             if y is None:
                 p, q = p[p < q], q[p < q]
@@ -192,11 +196,12 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     classes, _ = materialize(packed.filter("raw IS NOT NULL").groupBy("raw").agg(F.min("id").alias("rep"), F.count("*").alias("n"), F.first("slabs").alias("slabs")), "vector-classes")
     cells = classes.select(F.col("rep").alias("id"), "n", "raw", F.length("raw").alias("bytes"), F.posexplode("slabs").alias("block", "slab"))
     # slabs of more than `chunk` vectors fall into chunks; the sizes are few numbers a block and slab
-    per = cells.groupBy("bytes", "block", "slab").agg(F.count("*").alias("_n"))
-    cells = cells.join(per, ["bytes", "block", "slab"]).withColumn("cut", F.ceil(F.col("_n") / F.lit(chunk))).withColumn("part", F.pmod(F.xxhash64("id"), F.col("cut")).cast("int")).drop("_n")
+    per, _ = materialize(cells.groupBy("bytes", "block", "slab").agg(F.count("*").alias("_n")), "slabs")
+    small = F.broadcast if per.count() <= BROADCAST_ROWS else lambda df: df
+    cells = cells.join(small(per), ["bytes", "block", "slab"]).withColumn("cut", F.ceil(F.col("_n") / F.lit(chunk))).withColumn("part", F.pmod(F.xxhash64("id"), F.col("cut")).cast("int")).drop("_n")
     ahead = per.select("bytes", "block", (F.col("slab") - 1).alias("slab"), F.ceil(F.col("_n") / F.lit(chunk)).alias("next"))
     behind = per.select("bytes", "block", (F.col("slab") + 1).alias("slab"), F.ceil(F.col("_n") / F.lit(chunk)).alias("last"))
-    cells = cells.join(ahead, ["bytes", "block", "slab"], "left").join(behind, ["bytes", "block", "slab"], "left")
+    cells = cells.join(small(ahead), ["bytes", "block", "slab"], "left").join(small(behind), ["bytes", "block", "slab"], "left")
     # a task compares chunk `part` of slab with chunk `mate` of the same slab (step 0, part <= mate) or of the next (step 1)
     with_own = cells.withColumn("m", F.explode(F.sequence(F.lit(0), (F.col("cut") - 1).cast("int")))).select(
         "id", "n", "raw", "bytes", "block", "slab", F.lit(0).alias("step"),
