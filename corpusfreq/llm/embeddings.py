@@ -121,7 +121,7 @@ def pair_chunks(x: np.ndarray, y: np.ndarray | None, block: int, cosine: float,
             hit = left[i : i + _TILE] @ right[:, j : j + _TILE] >= 0
             if not hit.any():
                 continue
-            p, q = np.nonzero(hit)
+            p, q = np.divmod(np.flatnonzero(hit), hit.shape[1])
             p, q = p + i, q + j
             if y is None:
                 p, q = p[p < q], q[p < q]
