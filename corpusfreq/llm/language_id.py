@@ -3,8 +3,8 @@
 Each language has byte context trees of order 0 to ORDER with escape method C, built from a bounded sample and
 then frozen. A text's exact code length under every language is the sum over its bytes of: the bits of
 the byte in the deepest context that the tree holds, after the bits of an escape for each context that does not
-hold the byte; below order 0 each byte costs 8 bits. The trees are flattened once into a table
-(context, byte) -> bits of every language, so that scoring is two look-ups a byte in numpy.
+hold the byte; below order 0 each byte costs 8 bits. The contexts and bytes that the trees hold are kept in hash tables with the bits of
+every language, so that scoring is a look-up a byte in numpy, and one more for each escape from all of them.
 """
 
 from __future__ import annotations
@@ -27,24 +27,75 @@ _LETTER = regex.compile(r"\p{L}")
 _SLICE = 1 << 18
 
 
-class Model:
-    """Flattened trees: symbol of each byte, row of each context of ORDER symbols, bits[row * A + symbol, language]."""
+class _Table:
+    """Row of each of some distinct keys, found by open addressing; -1 for others."""
+
+    def __init__(self, keys: np.ndarray) -> None:
+        self.bits = max(4, int(len(keys) * 2).bit_length())
+        self.keys = np.full(1 << self.bits, -1, np.int64)
+        self.rows = np.full(1 << self.bits, -1, np.int32)
+        slot, todo = self._slot(keys), np.arange(len(keys))
+        while len(todo):
+            free = self.keys[slot] < 0
+            first = np.unique(slot[free], return_index=True)[1]  # one key a free slot
+            put = np.flatnonzero(free)[first]
+            self.keys[slot[put]], self.rows[slot[put]] = keys[todo[put]], todo[put]
+            rest = np.ones(len(todo), bool)
+            rest[put] = False
+            slot, todo = (slot[rest] + 1) & (len(self.keys) - 1), todo[rest]
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).view(np.int64)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        slot = self._slot(keys)
+        held = self.keys[slot]
+        rows = np.where(held == keys, self.rows[slot], -1)
+        todo = np.flatnonzero((held != keys) & (held >= 0))
+        while len(todo):
+            slot_, key = (slot[todo] + 1) & (len(self.keys) - 1), keys[todo]
+            slot[todo], held = slot_, self.keys[slot_]
+            same = held == key
+            rows[todo[same]] = self.rows[slot_[same]]
+            todo = todo[~same & (held >= 0)]
+        return rows
+
 
-    def __init__(self, languages: list[str], symbol: np.ndarray, row: np.ndarray, bits: np.ndarray) -> None:
-        self.languages, self.symbol, self.row, self.bits = languages, symbol, row, bits
+class Model:
+    """Trees of all languages. symbol: of each byte; edges: (order, context, symbol) that any language holds, with the bits in each language; contexts: (order, context), with
+    the bits of an escape. What the trees hold is stored, whatever the alphabet; both are narrow tables of one column a language."""
+
+    def __init__(self, languages: list[str], symbol: np.ndarray, size: int, edges: np.ndarray, bits: np.ndarray, contexts: np.ndarray, escapes: np.ndarray) -> None:
+        self.languages, self.symbol, self.size, self.bits, self.escapes = languages, symbol, size, bits, escapes
+        self.edges, self.contexts = _Table(edges), _Table(contexts)
+
+    def costs(self, s: np.ndarray) -> np.ndarray:
+        """Bits of each symbol after the first ORDER ones."""
+        n = len(s) - ORDER
+        left, sym, out = np.arange(n), s[ORDER:], np.zeros((n, len(self.languages)), np.float32)
+        for order in range(ORDER, -1, -1):
+            ctx = _packed([s[left + k] for k in range(ORDER - order, ORDER)], self.size, len(left))
+            row = self.edges.find(ctx * self.size + sym[left] + _offset(order, self.size, 1))
+            hit = row >= 0
+            out[left[hit]] += self.bits[row[hit]]
+            left, ctx = left[~hit], ctx[~hit]
+            if not len(left):
+                return out
+            row = self.contexts.find(ctx + _offset(order, self.size, 0))
+            known = row >= 0
+            out[left[known]] += self.escapes[row[known]]
+        out[left] += 8
+        return out
 
     def code_lengths(self, texts: list[bytes]) -> np.ndarray:
         """Bits of each text in each language, as float64 of shape (texts, languages)."""
-        size, out = int(self.symbol.max()) + 1, np.zeros((len(texts), len(self.languages)))
+        out = np.zeros((len(texts), len(self.languages)))
         data = np.frombuffer(b"".join(_PAD + t for t in texts), np.uint8)
         starts = np.cumsum([0, *(len(t) + ORDER for t in texts)])
-        s = self.symbol[data]
-        for a in range(0, len(s), _SLICE):
-            b, lo = min(len(s), a + _SLICE), max(0, a - ORDER)
-            part = s[lo:b].astype(np.int32)
-            part = np.concatenate([np.zeros(ORDER - (a - lo), np.int32), part])
-            ctx = (part[:-3] * size + part[1:-2]) * size + part[2:-1]
-            cost = self.bits[self.row[ctx] * size + part[3:]]
+        for a in range(0, len(data), _SLICE):
+            b, lo = min(len(data), a + _SLICE), max(0, a - ORDER)
+            part = self.symbol[data[lo:b]]
+            cost = self.costs(np.concatenate([np.zeros(ORDER - (a - lo), np.int64), part]))
             first = int(np.searchsorted(starts, a, "right")) - 1
             last = int(np.searchsorted(starts, b, "left"))
             cut = starts[first:last]
@@ -55,52 +106,57 @@ class Model:
         return out
 
 
+def _packed(symbols: list[np.ndarray], size: int, n: int) -> np.ndarray:
+    ctx = np.zeros(n, np.int64)
+    for x in symbols:
+        ctx = ctx * size + x
+    return ctx
+
+
+def _offset(order: int, size: int, own: int) -> int:
+    """Where the keys of an order begin: those of (context, symbol) for own = 1, of contexts for 0."""
+    return sum(size ** (k + own) for k in range(order))
+
+
 def train(samples: dict[str, list[str]]) -> Model:
-    """Count contexts of each language's sample, then flatten. No samples: a model without languages."""
+    """Count contexts of each language's sample; store what they hold. No samples: a model without languages."""
     languages = sorted(samples)
-    texts = [[_PAD + t.lower().encode() for t in samples[x]] for x in languages]
+    texts = [[_PAD + t.lower().encode("utf-8", "replace") for t in samples[x]] for x in languages]
     seen = np.zeros(256, bool)
     seen[10] = True
     for own in texts:
         for t in own:
             seen[np.frombuffer(t, np.uint8)] = True
     size = int(seen.sum()) + 1
-    symbol = np.full(256, size - 1, np.uint8)
+    symbol = np.full(256, size - 1, np.int64)
     symbol[seen] = np.arange(size - 1)
     grams = []
     for own in texts:
-        parts = [symbol[np.frombuffer(t, np.uint8)].astype(np.int64) for t in own]
+        parts = [symbol[np.frombuffer(t, np.uint8)] for t in own]
         grams.append(np.concatenate([((p[:-3] * size + p[1:-2]) * size + p[2:-1]) * size + p[3:] for p in parts]) if parts else np.zeros(0, np.int64))
-    # rows: 0 for order 0, then order 1, order 2 and order 3 contexts that any language holds
-    three = np.unique(np.concatenate([g // size for g in grams])) if grams else np.zeros(0, np.int64)
-    two, one = np.unique(three % size**2), np.unique(three % size)
-    ids = {1: one, 2: two, 3: three}
-    base = {0: 0, 1: 1, 2: 1 + len(one), 3: 1 + len(one) + len(two)}
-    n_rows = base[3] + len(three)
-    bits = np.empty((n_rows * size, len(languages)), np.float32)
-    for k, g in enumerate(grams):
-        sym, below = g % size, np.full((1, size), 8.0)
-        up = np.zeros(1, np.int64)
-        for order in range(ORDER + 1):
-            ctx = (g // size) % size**order
-            own = ids[order] if order else np.zeros(1, np.int64)
-            at = np.searchsorted(own, ctx) if order else np.zeros(len(g), np.int64)
-            count = np.bincount(at * size + sym, minlength=len(own) * size).reshape(len(own), size).astype(np.float64)
-            if order:
-                up = np.searchsorted(ids[order - 1], own % size ** (order - 1)) if order > 1 else np.zeros(len(own), np.int64)
-            lower = below[up]
-            total, kinds = count.sum(1, keepdims=True), (count > 0).sum(1, keepdims=True)
+    keys, bits, contexts, escapes = [], [], [], []
+    lower, below = np.zeros(0, np.int64), np.zeros((0, len(languages)))
+    for order in range(ORDER + 1):
+        span = size ** (order + 1)
+        own = [np.unique(g % span, return_counts=True) for g in grams]
+        edges = np.unique(np.concatenate([k for k, _ in own])) if own else np.zeros(0, np.int64)
+        ctx = np.unique(edges // size)
+        at = np.searchsorted(ctx, edges // size)
+        under = below[np.searchsorted(lower, edges % (span // size))] if order else np.full((len(edges), len(languages)), 8.0)
+        cost, escape = np.empty((len(edges), len(languages))), np.zeros((len(ctx), len(languages)))
+        for k, (found, n) in enumerate(own):
+            count = np.zeros(len(edges))
+            count[np.searchsorted(edges, found)] = n
+            total, kinds = np.bincount(at, count, len(ctx)), np.bincount(at, count > 0, len(ctx))
             with np.errstate(divide="ignore", invalid="ignore"):
-                here = np.where(count > 0, -np.log2(count / (total + kinds)), -np.log2(kinds / (total + kinds)) + lower)
-            here = np.where(total > 0, here, lower)
-            bits[base[order] * size : (base[order] + len(own)) * size, k] = here.ravel()
-            below = here
-    row = np.zeros(size**3, np.int32)
-    grid = row.reshape(-1, size)
-    grid[:, one] = base[1] + np.arange(len(one))
-    row.reshape(-1, size**2)[:, two] = base[2] + np.arange(len(two))
-    row[three] = base[3] + np.arange(len(three))
-    return Model(languages, symbol, row, bits)
+                escape[:, k] = np.where(total > 0, -np.log2(kinds / (total + kinds)), 0)
+                cost[:, k] = np.where(count > 0, -np.log2(count / (total + kinds)[at]), escape[at, k] + under[:, k])
+        keys.append(edges + _offset(order, size, 1))
+        bits.append(cost.astype(np.float32))
+        contexts.append(ctx + _offset(order, size, 0))
+        escapes.append(escape.astype(np.float32))
+        lower, below = edges, cost
+    return Model(languages, symbol, size, np.concatenate(keys), np.concatenate(bits), np.concatenate(contexts), np.concatenate(escapes))
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", keep=None, per_language: int = PER_LANGUAGE, max_chars: int = MAX_TRAIN_CHARS) -> Model:
