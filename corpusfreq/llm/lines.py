@@ -16,7 +16,6 @@ from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -193,16 +192,16 @@ def duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return found.groupBy("id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("cut")))).alias("cut")).withColumnRenamed("id", id_col)
 
 
-@F.pandas_udf(StringType())
-def _without(texts: pd.Series, cuts: pd.Series) -> pd.Series:
+@F.arrow_udf(StringType())
+def _without(texts: pa.Array, cuts: pa.Array) -> pa.Array:
     """Texts without the lines of the given numbers; empty if only white space is left."""
 
-    def rest(text: str, cut) -> str:
+    def rest(text: str, cut: list[int]) -> str:
         gone = set(cut)
         out = "\n".join(x for n, x in enumerate(text.split("\n")) if n not in gone)
         return out if out.strip(" \t\n\x0b\f\r") else ""
 
-    return pd.Series([None if t is None else rest(t, c) for t, c in zip(texts, cuts)], dtype=object)
+    return pa.array([t.as_py() if not t.is_valid else rest(t.as_py(), c.as_py()) for t, c in zip(texts, cuts)], pa.string())
 
 
 def remove_duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length_col: str | None = None, min_words: int = MIN_WORDS) -> DataFrame:

@@ -39,10 +39,10 @@ _ADD = _rng.integers(0, 2**32, K, dtype=np.uint64).astype(np.uint32)[:, None]
 
 
 class _Words(dict):
-    """64-bit hash of each word; emptied when it has grown to a million words."""
+    """64-bit hash of each word; emptied when it has grown to 300,000 words."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 1_000_000:
+        if len(self) > 300_000:
             self.clear()
         value = self[word] = xxhash.xxh64_intdigest(word)
         return value
