@@ -45,7 +45,7 @@ def splits(dim: int, blocks: int = BLOCKS) -> list[tuple[int, int]]:
 
 def principal(x: np.ndarray, blocks: int) -> np.ndarray:
     """Principal axes of unit vectors as columns, the k-th widest leading or following in block k modulo blocks."""
-    axes = np.linalg.eigh(np.cov(x.T) if len(x) > 1 else np.eye(x.shape[1]))[1][:, ::-1]
+    axes = np.linalg.eigh(np.atleast_2d(np.cov(x.T)) if len(x) > 1 else np.eye(x.shape[1]))[1][:, ::-1]
     parts = splits(x.shape[1], blocks)
     order = [[] for _ in parts]
     free = [b - a for a, b in parts]

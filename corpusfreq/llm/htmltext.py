@@ -189,8 +189,8 @@ class _Draw(random.Random):
     def link(self, low: int, high: int) -> str:
         return f"<a href=/{self.randint(1, 99)}>{self.text(low, high)}</a>"
 
-    def story(self) -> list[str]:
-        """Blocks of content."""
+    def story(self, legal: float = 0.03) -> list[str]:
+        """Blocks of content; legal: how often a line reads like a notice of rights."""
         if self.random() < 0.12:  # very short
             few = self.randint(1, 12)
             return [f"<h1>{self.text(1, 6)}</h1>"] * (self.random() < 0.7) + [f"<p>{self.text(1, few)}</p>" for _ in range(self.randint(1, 3))]
@@ -198,7 +198,7 @@ class _Draw(random.Random):
         if self.random() < 0.12:  # verse
             few = self.randint(1, 4)
             out += [f"<p>{self.text(20, 200)}</p>"] * (self.random() < 0.4) + [f"<p>{self.text(few, few + 2)}</p>" for _ in range(self.randint(4, 40))]
-        if self.random() < 0.2:
+        if self.random() < legal:
             out.append(f"<p>{self.choice(['All rights reserved.', 'Copyright law is old.', '&copy; 1900', 'On privacy.', 'Imprint.'])}</p>")
         for _ in range(self.choice([1, 1, 2, 3, 4, 6, 9])):
             kind = self.random()
@@ -236,14 +236,14 @@ class _Draw(random.Random):
         return f"<{tag} {self.choice(['class', 'class', 'id'])}='{names}' data-keep=n>{flat}</{tag}>"
 
     def page(self) -> str:
-        parts = self.story()
+        kind = self.random()
+        parts = self.story(0.2 if kind < 0.38 else 0.03)
         many = self.random() < 0.85
         if self.random() < 0.06:
             return f"<body data-keep=y><{self.choice(['p', 'article', 'div'])}>{self.text(*self.choice([(1, 3), (2, 9), (20, 50)]))}</body>"
         inside = [self.told_by_markup(True) if self.random() < 0.7 else f"<p data-keep=n>{self.link(1, 3)} {self.link(1, 3)}</p>" for _ in range(self.choice([0, 0, 0, 1, 2]))] if many else []
         for x in inside:
             parts.insert(self.randint(min(1, len(parts)), len(parts)), x)
-        kind = self.random()
         if kind < 0.3:
             body = f"<article data-keep=y>{''.join(parts)}</article>"
         elif kind < 0.38:
