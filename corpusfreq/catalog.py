@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from corpusfreq.functions import addresses, python_text
 from corpusfreq.functions import text as T
 from corpusfreq.operators import cues, dedup, evaluation, frequency, lookup, sampling
+from corpusfreq.plans import stages
 from corpusfreq.session import materialize, spread, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -233,8 +234,12 @@ def force_split(spark, d):
 
 @query()
 def tokenized_corpus(spark, d):
-    parts = F.transform(F.split(T.newline_conversion(F.col("text")), r"(?<=[.!?])\s+"), lambda s: F.array_join(addresses.tokens_with_addresses(s, T.tokens), " "))
-    return _docs(spark, d).select("doc_id", F.posexplode(parts).alias("n", "line")).filter("line <> ''").withColumn("line", F.lower("line"))
+    return stages.tokenize(_docs(spark, d), "en", id_col="doc_id")
+
+
+@query()
+def treebank_tokens(spark, d):
+    return _docs(spark, d).select("doc_id", F.size(python_text.treebank_tokens(F.col("text"))).cast("long").alias("n_tokens"))
 
 
 # Cues and cleaning
@@ -747,13 +752,43 @@ def annotation_props(spark, d):
     return evaluation.proportions(table(spark, d, "conversations"), F.col("role")).select("label", "n", r6("share").alias("share"))
 
 
-@query("""WITH c AS (SELECT conv_id, string_agg(DISTINCT role, '+' ORDER BY role) AS label FROM conversations WHERE turn < 3 GROUP BY 1)
+@query("""WITH c AS (SELECT conv_id, string_agg(DISTINCT role, ',' ORDER BY role) AS label FROM conversations WHERE turn < 3 GROUP BY 1)
   SELECT label, count(*) AS n, round(count(*) / (SELECT count(*) FROM c), 6) AS share FROM c GROUP BY 1""")
 def annotation_combined(spark, d):
     wide = table(spark, d, "conversations").filter("turn < 3").groupBy("conv_id").agg(*(F.max(F.when(F.col("turn") == k, F.col("role"))).alias(f"a{k}") for k in range(3)))
     return evaluation.proportions(wide, evaluation.combined_label("a0", "a1", "a2")).select("label", "n", r6("share").alias("share"))
 
 
+@query("SELECT label, count(*) AS n, round(count(*) / (3.0 * (SELECT count(*) FROM lineitem)), 6) AS share FROM (SELECT l_returnflag AS label FROM lineitem UNION ALL SELECT l_linestatus FROM lineitem UNION ALL SELECT CASE WHEN l_linenumber > 3 THEN 'N' ELSE 'O' END FROM lineitem) GROUP BY 1")
+def annotation_concat(spark, d):
+    """Labels of three columns below each other, after a check of what they hold."""
+    rows = table(spark, d, "lineitem").select("l_returnflag", "l_linestatus", F.when(F.col("l_linenumber") > 3, "N").otherwise("O").alias("third"))
+    columns = rows.columns
+    checked = evaluation.checked_annotations(rows, columns, ["A", "N", "R", "O", "F"])
+    return evaluation.proportions(evaluation.concatenated(checked, columns), F.col("label")).select("label", "n", r6("share").alias("share"))
+
+
+@query("""WITH c AS (SELECT conv_id, CAST(turn AS BIGINT) AS turn, left(regexp_extract(text, '[\\p{L}\\p{N}_]{1,6}[^\\p{L}\\p{N}_]{1,2}[\\p{L}\\p{N}_]{1,6}|[\\p{L}\\p{N}_]+'), 16) AS prefix FROM conversations WHERE regexp_matches(text, '[\\p{L}\\p{N}_]')),
+  w AS (SELECT conv_id, string_agg(text, chr(10)) AS clean FROM conversations WHERE role = 'user' GROUP BY 1),
+  d AS (SELECT c.*, row_number() OVER (PARTITION BY conv_id ORDER BY md5(CAST(turn AS VARCHAR)), turn) AS k FROM c JOIN w USING (conv_id) WHERE contains(clean, prefix))
+  SELECT conv_id, turn, prefix, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS INTEGER) AS pick FROM d WHERE k <= 3""")
+def sampled_cues(spark, d):
+    """Three turns of each conversation, among those whose first words occur in what its users say."""
+    turns = table(spark, d, "conversations").select("conv_id", F.col("turn").cast("long").alias("start"), "text", "role")
+    said = turns.filter("role = 'user'").groupBy("conv_id").agg(F.array_join(F.collect_list("text"), "\n").alias("clean"))
+    order = F.struct(F.md5(F.col("start").cast("string").cast("binary")), F.col("start"))
+    out = sampling.random_cues(turns.drop("role"), "conv_id", order, 3, said)
+    return out.select("conv_id", F.col("start").alias("turn"), "prefix", "pick")
+
+
+@query("SELECT l.source, CASE WHEN count(*) = count(quality) THEN round(corr(n_chars, CAST(quality AS DOUBLE)), 6) END AS r, count(*) AS n FROM documents l LEFT JOIN labels USING (doc_id) GROUP BY 1")
+def reference_check(spark, d):
+    """r of two columns that must have the same keys in each group; null where they don't."""
+    docs = _docs(spark, d).select("doc_id", "source", F.col("n_chars").cast("double").alias("x"))
+    rated = table(spark, d, "labels").join(docs.select("doc_id", "source"), "doc_id").select("doc_id", "source", F.col("quality").cast("double").alias("x"))
+    return evaluation.reference_correlation(docs, rated, ["source"], "doc_id", "x").select("source", r6("r").alias("r"), "n")
+
+
 @query("SELECT event_id, CAST(CASE WHEN value * 10 >= 600 THEN 2 WHEN value * 10 >= 180 THEN 1 ELSE 0 END AS INTEGER) AS duration_class FROM events")
 def duration_class(spark, d):
     return table(spark, d, "events").select("event_id", evaluation.duration_class(F.col("value") * 10).alias("duration_class"))

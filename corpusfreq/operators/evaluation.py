@@ -187,8 +187,35 @@ def proportions(rows: DataFrame, label: Column, by: list[str] = ()) -> DataFrame
     return joined.select(*by, "label", "n", (F.col("n") / F.col("_all")).alias("share"))
 
 
-def combined_label(*labels: Column) -> Column:
-    return F.array_join(F.array_sort(F.array_distinct(F.array_compact(F.array(*labels)))), "+")
+def combined_label(*labels: Column, separator: str = ",") -> Column:
+    """The different labels of a row in order of name."""
+    return F.array_join(F.array_sort(F.array_distinct(F.array_compact(F.array(*labels)))), separator)
+
+
+def concatenated(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """(column, label): the labels of several columns below each other; empty ones are kept as ''."""
+    pairs = ", ".join(f"'{c}', `{c}`" for c in columns)
+    return rows.select(F.expr(f"stack({len(columns)}, {pairs}) AS (column, label)")).withColumn("label", F.coalesce("label", F.lit("")))
+
+
+def checked_annotations(rows: DataFrame, columns: list[str], labels: list[str], size: int | None = None) -> DataFrame:
+    """The rows, if there are `size` of them and their columns hold no label but those listed; an error with what is unexpected otherwise."""
+    if size is not None and (n := rows.count()) != size:
+        raise ValueError(f"{n} rows in place of {size}")
+    odd = concatenated(rows, columns).filter(~F.col("label").isin(*labels)).distinct().limit(20).collect()
+    if odd:
+        raise ValueError(f"unexpected labels {sorted((r['column'], r['label']) for r in odd)}")
+    return rows
+
+
+def reference_correlation(rows: DataFrame, reference: DataFrame, by: list[str], key: str, x: str) -> DataFrame:
+    """(by..., r, n, n_reference): r of x in both tables over equal keys; null where a group has other keys or another number of them in the two."""
+    here = rows.select(*by, key, F.col(x).alias("_x"), F.lit(1).alias("_here"))
+    there = reference.select(*by, key, F.col(x).alias("_y"), F.lit(1).alias("_is"))
+    both = here.join(there, [*by, key], "full_outer")
+    out = [corr("_x", "_y").alias("_r"), F.count("_here").alias("n"), F.count("_is").alias("n_reference"), F.count("*").alias("_all")]
+    found = both.groupBy(*by).agg(*out) if by else both.agg(*out)
+    return found.select(*by, F.when((F.col("n") == F.col("n_reference")) & (F.col("n") == F.col("_all")), F.col("_r")).alias("r"), "n", "n_reference")
 
 
 def majority(rows: DataFrame, key: str, label: str, one: str, two: str, both: str, unknown: str, share: float = 0.95, ignore: int = 1) -> DataFrame:

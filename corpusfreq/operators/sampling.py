@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusfreq.functions.text import cue_prefix
 from corpusfreq.session import materialize
 
 
@@ -73,7 +74,9 @@ def stratified(rows: DataFrame, strata: list[str], size: int, order: Column) ->
     return joined.withColumn("_rank", F.row_number().over(Window.partitionBy(*strata).orderBy("_order"))).filter("_rank <= _quota").drop("_order", "_quota", "_rank")
 
 
-def random_cues(cues: DataFrame, id_col: str, order: Column, n: int = 3) -> DataFrame:
-    """n cues of each video, drawn by `order`, with pick 1..n by time."""
+def random_cues(cues: DataFrame, id_col: str, order: Column, n: int = 3, within: DataFrame | None = None, text_col: str = "text") -> DataFrame:
+    """n cues of each video, drawn by `order`, with pick 1..n by time. within: (id, clean), to draw only from cues that begin with words (prefix) which the video's clean text holds."""
+    if within is not None:
+        cues = cues.withColumn("prefix", cue_prefix(F.col(text_col))).join(within, id_col).filter(F.contains("clean", F.col("prefix"))).drop("clean")
     drawn = cues.withColumn("_k", F.row_number().over(Window.partitionBy(id_col).orderBy(order))).filter(F.col("_k") <= n).drop("_k")
-    return drawn.withColumn("pick", F.row_number().over(Window.partitionBy(id_col).orderBy("start", "text")))
+    return drawn.withColumn("pick", F.row_number().over(Window.partitionBy(id_col).orderBy("start", text_col)))

@@ -1,4 +1,4 @@
-"""Which tokenizer applies: language, tokenization, form and tagging. External models plug in; none is bundled."""
+"""Which tokenizer applies: language, tokenization, form and tagging. External models plug in; regular expressions and the treebank conventions are built in."""
 
 from __future__ import annotations
 
@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpusfreq.functions import python_text
 from corpusfreq.functions import text as T
 
 Tokenizer = Callable[[Column], Column]
@@ -43,10 +44,12 @@ def dedup_choice(lang: str) -> str:
     return {"en": "treebank", "ja": "mecab", "zh": "jieba"}.get(lang, "regex")
 
 
-def tokenizer(name: str, fallback: bool = True) -> Tokenizer:
-    """Column function of a tokenizer; where the model isn't registered, the regular-expression one if fallback allows."""
+def tokenizer(name: str, fallback: bool = False) -> Tokenizer:
+    """Column function of a tokenizer; where the model isn't registered, an error, or the regular-expression one if fallback asks for it."""
     if name == "regex":
         return T.tokens
+    if name == "treebank" and name not in _PLUGINS:
+        return python_text.treebank_tokens
     f = _PLUGINS.get(name)
     if f is None:
         if not fallback:

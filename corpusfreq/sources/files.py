@@ -7,15 +7,20 @@ import gzip
 import io
 import json
 import lzma
+import re
+import uuid
 import zipfile
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusfreq.functions import text as T
-from corpusfreq.operators import sampling
+from corpusfreq.operators import frequency, sampling
+from corpusfreq.session import materialize
 
 #: Category numbers of the list file's source and their names.
 CATEGORIES = {1: "Film & Animation", 2: "Autos & Vehicles", 10: "Music", 15: "Pets & Animals", 17: "Sports", 19: "Travel & Events", 20: "Gaming", 22: "People & Blogs",
@@ -173,10 +178,47 @@ def read_frequencies(spark: SparkSession, path: str, columns: list[str] | None =
     return words, (tokens if told is not None else words.agg(F.sum("count").alias("tokens"))).crossJoin(types)
 
 
-def read_gold(spark: SparkSession, path: str, word: str, score: str, delimiter: str = ",", lower_only: bool = False, strip: bool = False, drop_senses: bool = False, at_least: float | None = None) -> DataFrame:
-    """(word, gold): ratings averaged over repeated words; missing ones dropped, thousands commas allowed."""
-    raw = spark.read.option("header", True).option("sep", delimiter).csv(path)
+#: Ratings and reaction times by name: language, and how read_gold takes the file apart.
+GOLD = {
+    "ldt-en": ("en", dict(word="Word", score="I_Mean_RT", lower_only=True, null="#")), "ldt-en-z": ("en", dict(word="Word", score="I_Zscore", lower_only=True, null="#")),
+    "ldt-es": ("es", dict(word="word", score="rt")), "ldt-zh": ("zh", dict(word="word", score="RT", where="lexicality = 1")), "ldt-zh-z": ("zh", dict(word="word", score="zRT", where="lexicality = 1")),
+    "familiarity-zh": ("zh", dict(word="WORD", score="FAM_M", delimiter="\t")), "familiarity-id": ("id", dict(word="Words (Indonesian)", score="ALL_Frequency_Mean")),
+    "familiarity-en": ("en", dict(word="WORD", score="FAM")), "familiarity-en-glasgow": ("en", dict(word="Words", score="FAM", drop_senses=True, skip=1)),
+    "familiarity-en-paivio": ("en", dict(word="WORD", score="FAM", delimiter=" ", to_lower=True)),
+    "familiarity-es": ("es", dict(word="Word", score="FAM_M", strip=True)), "familiarity-es-moreno": ("es", dict(word="Spanish", score="Fam", strip=True)),
+    "familiarity-ja-amano": ("ja", dict(word="表記", score="文字単語親密度", at_least=0.0)),
+    **{f"familiarity-ja-{k}": ("ja", dict(word="見出し本体", score=c)) for k, c in {
+        "know": "知っている", "read": "読む", "speak": "話す", "listen": "聞く", "production": "生産", "reception": "受容", "writing": "書記", "speech": "音声",
+        "production-reception": "生産-受容", "writing-speech": "書記-音声"}.items()},
+}
+
+
+def read_gold_named(spark: SparkSession, name: str, path: str) -> DataFrame:
+    """(word, gold) of a data set of GOLD, from the user's copy of its file."""
+    if name not in GOLD:
+        raise ValueError(f"unknown ratings {name}; known are {sorted(GOLD)}")
+    return read_gold(spark, path, **GOLD[name][1])
+
+
+def read_complexity(spark: SparkSession, path: str, delimiter: str = "\t", id_col: str = "id", context: str = "context", target: str = "target", score: str = "complexity") -> DataFrame:
+    """(id, context, target, gold) of a shared-task set of words rated in context; targets may hold several tokens."""
+    raw = spark.read.option("header", True).option("sep", delimiter).option("quote", "").csv(path)
+    return raw.select(F.col(id_col).alias("id"), F.col(context).alias("context"), F.col(target).alias("target"), F.col(score).try_cast("double").alias("gold")).filter("target IS NOT NULL AND gold IS NOT NULL")
+
+
+def read_gold(spark: SparkSession, path: str, word: str, score: str, delimiter: str = ",", lower_only: bool = False, strip: bool = False, drop_senses: bool = False, at_least: float | None = None,
+              where: str | None = None, null: str | None = None, to_lower: bool = False, skip: int = 0) -> DataFrame:
+    """(word, gold): ratings averaged over repeated words; missing ones dropped, thousands commas allowed. where: SQL condition on the file's columns; null: what stands
+    for a missing rating; skip: lines below the header that are no rows. A blank as delimiter stands for runs of white space. Files ending in .xz are read in one piece."""
+    if delimiter == " " or path.endswith(".xz") or skip:
+        raw = _split_table(frequency_lines(spark, path), delimiter, skip)
+    else:
+        raw = spark.read.option("header", True).option("sep", delimiter).csv(path)
+    raw = raw.filter(where) if where else raw
+    if null is not None:
+        raw = raw.filter(F.coalesce(F.col(f"`{score}`"), F.lit(null)) != null)
     w = F.trim(F.col(f"`{word}`")) if strip else F.col(f"`{word}`")
+    w = F.lower(w) if to_lower else w
     rows = raw.select(w.alias("word"), F.regexp_replace(F.col(f"`{score}`"), ",", "").try_cast("double").alias("gold")).filter("word IS NOT NULL AND gold IS NOT NULL")
     if lower_only:
         rows = rows.filter(F.lower("word") == F.col("word"))
@@ -187,6 +229,16 @@ def read_gold(spark: SparkSession, path: str, word: str, score: str, delimiter:
     return rows.groupBy("word").agg(F.avg("gold").alias("gold"))
 
 
+def _split_table(lines: DataFrame, delimiter: str, skip: int) -> DataFrame:
+    """Columns named by the first of (n, line), without the `skip` lines after it. Fields aren't quoted, but for a comma as delimiter."""
+    first = lines.orderBy("n").limit(1 + skip).collect()
+    head, body = [r["line"] for r in first], lines.filter(~F.col("n").isin([r["n"] for r in first]))
+    pattern = r"\s+" if delimiter == " " else r',(?=(?:[^"]*"[^"]*")*[^"]*$)' if delimiter == "," else "\\Q" + delimiter + "\\E"
+    names = re.split(r"\s+", head[0].strip()) if delimiter == " " else [x.strip('"') for x in head[0].rstrip("\r\n").split(delimiter)]
+    parts = F.split(F.trim("line") if delimiter == " " else F.rtrim(F.col("line"), F.lit("\r\n")), pattern)
+    return body.filter(F.length(F.trim("line")) > 0).select(*(F.nullif(F.regexp_replace(F.get(parts, F.lit(k)), '^"|"$', ""), F.lit("")).alias(c) for k, c in enumerate(names) if c and c not in names[:k]))
+
+
 def read_log(spark: SparkSession, path: str, patterns: dict[str, str], optional: tuple[str, ...] = ()) -> dict[str, int | None]:
     """First number that each pattern (one group) finds in a log's lines; an error for those missing but not optional."""
     lines = spark.read.text(path).select(F.monotonically_increasing_id().alias("n"), "value")
@@ -201,9 +253,74 @@ def write_frequencies(counts: DataFrame, total: DataFrame, path: str, compressio
     """Tab-separated words by falling count (ties by word), then the total row."""
     rows = counts.withColumn("_last", F.lit(0)).unionByName(total.withColumn("_last", F.lit(1)), allowMissingColumns=True)
     order = rows.orderBy("_last", F.desc("count"), "word").drop("_last")
+    if compression == "xz":
+        return _write_xz(order, path)
     order.write.option("sep", "\t").option("header", True).option("compression", compression).option("quote", "").csv(path)
 
 
+def _write_xz(rows: DataFrame, path: str) -> None:
+    """Ordered rows as xz files, one a partition, with the header in the first. A file is written under a name of its attempt and then renamed, so lost attempts leave no part."""
+    lines = rows.select(F.spark_partition_id().alias("part"), F.concat_ws("\t", *(F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")) for c in rows.columns)).alias("line"))
+    header = "\t".join(rows.columns) + "\n"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, root = pafs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (pafs.LocalFileSystem(), path)
+        fs.create_dir(root, recursive=True)
+        out, box, part = None, lzma.LZMACompressor(), None
+        for b in batches:
+            for p, line in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                if out is None:
+                    part, temp = p, f"{root}/_part-{p:05d}-{uuid.uuid4().hex}"
+                    out = fs.open_output_stream(temp, compression=None)
+                    out.write(box.compress(header.encode()) if p == 0 else b"")
+                out.write(box.compress((line + "\n").encode()))
+        if out is not None:
+            out.write(box.flush())
+            out.close()
+            fs.move(temp, f"{root}/part-{part:05d}.tsv.xz")
+        yield pa.RecordBatch.from_arrays([pa.array([int(out is not None)], pa.int32())], ["files"])
+
+    lines.mapInArrow(run, "files int").agg(F.sum("files")).collect()
+
+
+def write_norms(counts: DataFrame, total: DataFrame, pattern: str, compression: str = "none") -> None:
+    """A frequency list for each normal form of counts (with norm); % in the pattern stands for its name."""
+    if "%" not in pattern:
+        raise ValueError("the path has no %")
+    counts, _ = materialize(counts, "norms")
+    for norm in frequency.NORMS:
+        write_frequencies(counts.filter(F.col("norm") == norm).drop("norm"), total, pattern.replace("%", norm), compression)
+
+
+def write_files(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", suffix: str = ".txt", archive: bool = False) -> None:
+    """A file a document below path, named by its id; with archive, a zip a partition that holds them. Texts go in whole files renamed at their end."""
+    narrow = docs.select(F.spark_partition_id().alias("part"), F.col(id_col).cast("string").alias("id"), F.coalesce(text_col, F.lit("")).alias("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, root = pafs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (pafs.LocalFileSystem(), path)
+        fs.create_dir(root, recursive=True)
+        n, mine, box, part = 0, uuid.uuid4().hex, None, None
+        for b in batches:
+            for p, key, text in zip(*(c.to_pylist() for c in b.columns)):
+                n += 1
+                if archive:
+                    if box is None:
+                        part, raw = p, fs.open_output_stream(f"{root}/_{mine}", compression=None)
+                        box = zipfile.ZipFile(raw, "w", zipfile.ZIP_DEFLATED)
+                    box.writestr(f"{key}{suffix}", text)
+                else:
+                    with fs.open_output_stream(f"{root}/_{mine}", compression=None) as out:
+                        out.write(text.encode())
+                    fs.move(f"{root}/_{mine}", f"{root}/{key}{suffix}")
+        if box is not None:
+            box.close()
+            raw.close()
+            fs.move(f"{root}/_{mine}", f"{root}/part-{part:05d}.zip")
+        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], ["n"])
+
+    narrow.mapInArrow(run, "n long").agg(F.sum("n")).collect()
+
+
 def write_histogram(histogram: DataFrame, path: str) -> None:
     histogram.write.option("sep", "\t").option("header", True).csv(path)
 
@@ -222,6 +339,30 @@ def save_model(model: DataFrame, path: str) -> None:
     model.write.parquet(path)
 
 
+#: Public corpora that frequency norms are held against, with their languages; the last four are the user's own lists.
+CORPORA = [(n, x) for n, langs in {
+    "BNC-Spoken": "en", "CREA-Spoken": "es", "CSJ": "ja", "HKUST/MTS": "zh", "ACTIV-ES": "es", "EsPal": "es", "LaboroTV1+2": "ja", "OpenSubtitles": "en es id ja zh", "SubIMDB": "en",
+    "SUBTLEX": "en es zh", "SUBTLEX-UK": "en", "GINI": "en ja", "Wikipedia": "en es id ja zh", "wordfreq": "en es id ja zh", "own": "en es id ja zh", "own-regex": "en es id", "own-base": "ja",
+    "own-lemma": "en es id ja"}.items() for x in langs.split()]
+
+
+def registry(paths: dict[tuple[str, str], tuple[str, dict]]) -> list[dict]:
+    """Entries of CORPORA, in their order, for which the user has a file: paths maps (name, language) to (path, options of read_frequencies)."""
+    if unknown := set(paths) - set(CORPORA):
+        raise ValueError(f"unknown corpora {sorted(unknown)}")
+    return [dict(name=n, lang=x, path=paths[n, x][0], spec=paths[n, x][1]) for n, x in CORPORA if (n, x) in paths]
+
+
+def load_corpora(spark: SparkSession, entries: list[dict]) -> DataFrame:
+    """(name, lang, position, word, count) of all registered lists."""
+    out = None
+    for k, e in enumerate(entries):
+        words, _ = read_frequencies(spark, e["path"], **e["spec"])
+        rows = words.select(F.lit(e["name"]).alias("name"), F.lit(e["lang"]).alias("lang"), F.lit(k).alias("position"), "word", "count")
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
 def corpora(spark: SparkSession, registry: list[dict]) -> DataFrame:
     """Dimension table of named corpora: (name, lang, path, spec), spec being the loader's options as JSON."""
     rows = [(r["name"], r["lang"], r["path"], json.dumps(r.get("spec", {}), sort_keys=True), k) for k, r in enumerate(registry)]

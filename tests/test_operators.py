@@ -285,3 +285,106 @@ def test_scroll_matches_sequential_rule(spark):
     want = {(v, k): (kind, out) for v, own in itertools.groupby(rows, key=lambda r: r[0]) for k, kind, out in rule(list(own))}
     df = spark.createDataFrame(rows, "video_id int, idx int, start double, end double, text string")
     assert {(r.video_id, r.idx): (r.kind, r.emitted) for r in cues.clean_cues(df).collect()} == want
+
+
+def test_treebank():
+    assert python_text.treebank('They\'ll say "it cannot (yet) cost $3.50, don\'t they?" Mr. Smith\'s dog ran.') == [
+        "They", "'ll", "say", "``", "it", "can", "not", "(", "yet", ")", "cost", "$", "3.50", ",", "do", "n't", "they", "?", "''", "Mr.", "Smith", "'s", "dog", "ran", "."]
+    assert python_text.treebank("wait... I'm gonna go--now; 10:30 a:b") == ["wait", "...", "I", "'m", "gon", "na", "go", "--", "now", ";", "10:30", "a", ":", "b"]
+    assert python_text.treebank("") == []
+
+
+def test_unknown_models_are_errors():
+    with pytest.raises(LookupError):
+        tokenizers.tokenizer("mecab")
+    assert tokenizers.tokenizer("mecab", fallback=True) is T.tokens
+
+
+def test_options():
+    o = stages.options(stages.parser().parse_args(["--data", "d", "--output", "o", "--tokenize", "--ngram-max", "2", "--no-categories"]))
+    assert o.steps == ["tokenize"] and o.ngrams == (1, 2) and not o.categories and o.filter_tokens
+    with pytest.raises(ValueError):
+        stages.Options(steps=["frequencies", "tokenize"])
+    with pytest.raises(ValueError):
+        stages.options(stages.parser().parse_args(["--data", "d", "--output", "o", "--lang", "es", "--tokenization", "treebank"]))
+
+
+def test_tokenize_stage(spark, tmp_path):
+    docs = spark.createDataFrame([("a", "Hello there.\nMail x@y.com now. Bye!\n\nNew part"), ("b", ""), ("c", None)], "video_id string, text string")
+    assert [(r.video_id, r.line) for r in stages.tokenize(docs, "en").orderBy("video_id", "n").collect()] == [("a", "hello there"), ("a", "mail <email> now"), ("a", "bye"), ("a", "new part")]
+    docs.write.parquet(str(tmp_path / "unique"))
+    stages.run(spark, "unused", None, "en", str(tmp_path), stages.Options(steps=["tokenize"]))
+    assert [r.value for r in spark.read.text(str(tmp_path / "tokenized")).collect()] == ["hello there", "mail <email> now", "bye", "new part"]
+
+
+def test_frequency_stage_without_list_in_all_norms(spark, tmp_path):
+    spark.createDataFrame([("a", "The the Cat ﬁne"), ("b", "the dog 12")], "video_id string, text string").write.parquet(str(tmp_path / "unique"))
+    stages.run(spark, "unused", None, "en", str(tmp_path), stages.Options(steps=["frequencies"], norms=True))
+    got = {n: {r.word: (r["count"], r.videos) for r in spark.read.option("sep", "\t").option("header", True).csv(str(tmp_path / f"frequencies-{n}")).collect()} for n in frequency.NORMS}
+    assert got["lower"]["the"] == ("3", "2") and got["none"]["The"] == ("1", "1") and got["nfkc"]["fine"] == ("1", "1") and got["none"]["[TOTAL]"] == ("7", "2")
+
+
+def test_categories_and_slices(spark, tmp_path):
+    vtt = "WEBVTT\n\n" + "".join(f"00:{k:02d}.000 --> 00:{k:02d}.900\nline {w} of it\n\n" for k, w in enumerate(["one", "two", "three", "four"]))
+    for n in "abc":
+        (tmp_path / f"{n}.vtt").write_text(vtt + f"00:59.000 --> 00:59.900\n{n * 9} {n * 8} {n * 7}\n")
+    (tmp_path / "list.csv").write_text("videoid,sub,auto,channelid,categories,duration\n" + "".join(f"{n},True,False,k,{c},9\n" for n, c in (("a", "Music"), ("b", "Gaming"), ("c", "Music"))))
+    o = stages.Options(steps=["clean"], limit_categories=["Music"], start=1)
+    stages.run(spark, str(tmp_path), str(tmp_path / "list.csv"), "en", str(tmp_path / "out"), o)
+    assert [r.video_id for r in spark.read.parquet(str(tmp_path / "out/clean")).collect()] == ["c"]
+
+
+def test_xz_and_file_sinks(spark, tmp_path):
+    import lzma
+    import zipfile
+
+    counts = spark.createDataFrame([(f"w{k:03d}", k) for k in range(300)], "word string, count long")
+    files.write_frequencies(counts, spark.createDataFrame([("[TOTAL]", 44850)], "word string, count long"), str(tmp_path / "f"), "xz")
+    lines = [x for p in sorted((tmp_path / "f").glob("part-*.tsv.xz")) for x in lzma.decompress(p.read_bytes()).decode().splitlines()]
+    assert lines[0] == "word\tcount" and lines[1] == "w299\t299" and lines[-1] == "[TOTAL]\t44850" and len(lines) == 302
+    docs = spark.createDataFrame([("a", "x"), ("b", None)], "doc_id string, text string")
+    files.write_files(docs, str(tmp_path / "docs"))
+    assert (tmp_path / "docs/a.txt").read_text() == "x" and (tmp_path / "docs/b.txt").read_text() == "" and len(list((tmp_path / "docs").iterdir())) == 2
+    files.write_files(docs.coalesce(1), str(tmp_path / "zip"), archive=True)
+    assert zipfile.ZipFile(next((tmp_path / "zip").iterdir())).read("a.txt") == b"x"
+    assert {r.doc_id: r.text for r in files.read_zip(spark, str(tmp_path / "zip")).collect()} == {"a": "x", "b": ""}
+
+
+def test_gold_variants(spark, tmp_path):
+    import lzma
+
+    def gold(name, text, file="x.csv"):
+        (tmp_path / file).write_bytes(lzma.compress(text.encode()) if file.endswith("xz") else text.encode())
+        return {r.word: r.gold for r in files.read_gold_named(spark, name, str(tmp_path / file)).collect()}
+
+    assert gold("ldt-en", "Word,I_Mean_RT\na,\"1,000.5\"\nB,3\nc,#\n") == {"a": 1000.5}
+    assert gold("ldt-zh", "word,RT,lexicality\na,1,1\nb,2,0\nc,,1\n") == {"a": 1.0}
+    assert gold("familiarity-zh", "WORD\tFAM_M\na\t1\n# x\nb\t\n", "x.tsv.xz") == {"a": 1.0}
+    assert gold("familiarity-en-paivio", "WORD  FAM\nABLE   3.5\nX  NA\n", "x.txt") == {"able": 3.5}
+    assert gold("familiarity-en-glasgow", "Words,FAM\nWords,M\nshell,5\nshell (sea),4\n") == {"shell": 5.0}
+    assert gold("familiarity-ja-amano", "表記,文字単語親密度\na,-1\nb,2\nb,4\n") == {"b": 3.0}
+    (tmp_path / "c.tsv").write_text("id\tcontext\ttarget\tcomplexity\n1\ta \"b\tb c\t0.5\n2\tx\ty\t\n")
+    assert [tuple(r) for r in files.read_complexity(spark, str(tmp_path / "c.tsv")).collect()] == [("1", 'a "b', "b c", 0.5)]
+
+
+def test_registry(spark, tmp_path):
+    (tmp_path / "l.tsv").write_text("word\tcount\na\t3\nb\t1\n")
+    entries = files.registry({("SUBTLEX", "en"): (str(tmp_path / "l.tsv"), {}), ("CSJ", "ja"): (str(tmp_path / "l.tsv"), {})})
+    assert [e["name"] for e in entries] == ["CSJ", "SUBTLEX"] and len({n for n, _ in files.CORPORA}) == 18
+    assert files.load_corpora(spark, entries).count() == 4 and files.corpora(spark, entries).count() == 2
+    with pytest.raises(ValueError):
+        files.registry({("Nothing", "en"): ("x", {})})
+
+
+def test_annotations_and_references(spark):
+    rows = spark.createDataFrame([("a", "b"), ("b", ""), (None, "a")], "x string, y string")
+    assert evaluation.checked_annotations(rows, ["x", "y"], ["a", "b", ""], 3) is rows
+    for bad in (dict(labels=["a", ""], size=3), dict(labels=["a", "b", ""], size=4)):
+        with pytest.raises(ValueError):
+            evaluation.checked_annotations(rows, ["x", "y"], **bad)
+    assert evaluation.concatenated(rows, ["x", "y"]).count() == 6
+    one = spark.createDataFrame([("g", 1, 1.0), ("g", 2, 2.0), ("h", 1, 1.0), ("h", 2, 5.0)], "g string, k int, x double")
+    two = one.filter("NOT (g = 'h' AND k = 2)").withColumn("x", -F.col("x"))
+    got = {r.g: (r.r, r.n, r.n_reference) for r in evaluation.reference_correlation(one, two, ["g"], "k", "x").collect()}
+    assert abs(got["g"][0] + 1) < 1e-9 and got["h"] == (None, 2, 1)
+    assert evaluation.reference_correlation(one.filter("g = 'g'"), two.filter("g = 'g'"), [], "k", "x").count() == 1
