@@ -40,15 +40,19 @@ def normal_forms(vocabulary: DataFrame, forms: list[str] = NORMS) -> DataFrame:
 
 def norm_counts(grain: DataFrame, categories: list[str] = (), forms: list[str] = NORMS) -> DataFrame:
     """word_counts of every normal form, with norm. Forms are computed once a distinct word; a form of one word only takes that word's counts, and
-    just the words that meet in a form are counted again from the grain, since their documents and channels overlap."""
+    just the words that meet in a form are counted again from the grain, since their documents and channels overlap; once where the same words meet in several norms."""
     grain, _ = materialize(grain, "grain")
     base, _ = materialize(word_counts(grain, categories), "words")
     made, _ = materialize(normal_forms(base.select("word"), forms), "forms")
-    alone = made.groupBy("norm", "form").agg(F.max("word").alias("word"), F.count("*").alias("k")).filter("k = 1").select("norm", "form", "word")
-    met = made.join(made.groupBy("norm", "form").agg(F.count("*").alias("k")).filter("k > 1").select("norm", "form"), ["norm", "form"])
-    single = base.join(alone, "word").drop("word").withColumnRenamed("form", "word")
-    again = grain.join(met, "word").groupBy("norm", "doc", "channel", "category", F.col("form").alias("word")).agg(F.sum("n").alias("n"))
-    return single.unionByName(word_counts(again, categories, ["norm"]))
+    mark = [F.count("*").alias("k"), F.max("word").alias("one"), F.bit_xor(F.xxhash64("word")).alias("x")]
+    groups = made.groupBy("norm", "form").agg(*mark).groupBy("form", "k", "one", "x").agg(F.collect_list("norm").alias("norms"))  # a norm each at most
+    groups, _ = materialize(groups, "forms")
+    single = base.join(groups.filter("k = 1").select(F.col("one").alias("word"), "form", "norms"), "word").drop("word").withColumnRenamed("form", "word")
+    many = groups.filter("k > 1")
+    met = made.join(many, "form").filter(F.array_contains("norms", F.col("norm"))).select("word", "form", "x").distinct()
+    again = grain.join(met, "word").groupBy("x", "doc", "channel", "category", F.col("form").alias("word")).agg(F.sum("n").alias("n"))
+    shared = word_counts(again, categories, ["x"]).join(many.select(F.col("form").alias("word"), "x", "norms"), ["word", "x"]).drop("x")
+    return single.unionByName(shared).withColumn("norm", F.explode("norms")).drop("norms")
 
 
 def at_least(counts: DataFrame, videos: int = 0, channels: int = 0, compat: bool = False) -> DataFrame:
