@@ -64,12 +64,13 @@ def cue_stats(kinds: DataFrame, id_col: str = "video_id") -> DataFrame:
     return kinds.groupBy(id_col).agg(F.count("*").alias("n_cues"), *(one(k) for k in ("empty", "repeat", "scroll", "delay", "other")))
 
 
-def lines_of(kinds: DataFrame, id_col: str, order: list[str], delays: bool = True, normalize: bool = True) -> DataFrame:
-    """(id, order..., pos, line) of the emitted lines, empty ones marking delays unless they are switched off; white space normalised line by line."""
+def lines_of(kinds: DataFrame, id_col: str, order: list[str], delays: bool = True, normalize: bool = True, new_lines: bool = False) -> DataFrame:
+    """(id, order..., pos, line) of the emitted lines, empty ones marking delays unless they are switched off; white space normalised line by line; new_lines: each ends in a line feed."""
     out = kinds.select(id_col, *order, F.posexplode("emitted").alias("pos", "line"))
     if not delays:
         out = out.filter("line <> ''")
-    return out.withColumn("line", T.normalize_space(F.col("line"))) if normalize else out
+    out = out.withColumn("line", T.normalize_space(F.col("line"))) if normalize else out
+    return out.withColumn("line", F.concat("line", F.lit("\n"))) if new_lines else out
 
 
 def clean_lines(lines: DataFrame, id_col: str, charset: str, ratio_col: str | None = None) -> DataFrame:

@@ -226,8 +226,15 @@ def majority(rows: DataFrame, key: str, label: str, one: str, two: str, both: st
     return c.select(key, F.when(F.col("n") == 0, unknown).when(F.col("c") == F.col("n"), both).when(wins("a", "b"), one).when(wins("b", "a"), two).otherwise("mixed").alias("variant"))
 
 
-def size_correlation(sizes: DataFrame, correlations: DataFrame, by: list[str]) -> DataFrame:
-    return sizes.join(correlations, by).select(*by, F.log10("tokens").alias("log_tokens"), "r")
+def size_correlation(sizes: DataFrame, correlations: DataFrame, by: list[str], outliers: list[tuple] = ()) -> DataFrame:
+    """(by..., log_tokens, r) of corpora that both know. outliers: keys to leave out; it is an error if one of them isn't there."""
+    both = sizes.join(correlations, by)
+    if outliers:
+        listed = sizes.sparkSession.createDataFrame([tuple(o) for o in outliers], ", ".join(f"`{c}` {sizes.schema[c].dataType.simpleString()}" for c in by))
+        if gone := listed.join(both.select(*by).distinct(), by, "left_anti").collect():
+            raise KeyError([tuple(r) for r in gone])
+        both = both.join(listed, by, "left_anti")
+    return both.select(*by, F.log10("tokens").alias("log_tokens"), "r")
 
 
 def duration_class(seconds: Column) -> Column:

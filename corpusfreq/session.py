@@ -61,14 +61,18 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return path
 
 
-def _clean() -> None:
-    spark = SparkSession.getActiveSession()
+def clear(spark: SparkSession) -> None:
+    """Delete all scratch tables so far; results that weren't written elsewhere can't be read any more. For drivers that live long."""
     for path in list(_MADE):
-        if spark is None:
-            return
         drop_path(spark, path)
 
 
+def _clean() -> None:
+    spark = SparkSession.getActiveSession()
+    if spark is not None:
+        clear(spark)
+
+
 def drop_path(spark: SparkSession, path: str) -> None:
     """Delete a scratch path; later reads of tables in it fail."""
     jvm = spark.sparkContext._jvm

@@ -77,6 +77,28 @@ def read_zip(spark: SparkSession, path: str, suffix: str = ".txt", encoding: str
     return archives.mapInPandas(run, "doc_id string, text string")
 
 
+def read_store(spark: SparkSession, path: str, suffix: str = ".txt", encoding: str = "utf-8", names: list[str] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, text) of a document store: a Parquet table, zip archives or a folder of files. names: the files that are meant (with their suffix); an error if one is missing."""
+    if path.endswith(".zip"):
+        docs = read_zip(spark, path, suffix, encoding).withColumnsRenamed({"doc_id": id_col, "text": text_col})
+    elif path.endswith(".parquet"):
+        docs = spark.read.parquet(path).select(id_col, text_col)
+    else:
+        docs = read_files(spark, path, suffix, encoding, id_col, text_col)
+    if names is None:
+        return docs
+    stems = [n.removesuffix(suffix) for n in names]
+    if gone := set(stems) - {r[0] for r in docs.select(id_col).filter(F.col(id_col).isin(stems)).collect()}:
+        raise FileNotFoundError(sorted(gone))
+    return docs.filter(F.col(id_col).isin(stems))
+
+
+def in_registry_order(rows: DataFrame, names: list[str], column: str = "name") -> DataFrame:
+    """Rows ordered by the place of their corpus in the registry (unknown ones last, by name), for tables of a row a corpus."""
+    place = F.array_position(F.array(*map(F.lit, names)), F.col(column))
+    return rows.orderBy(F.when(place > 0, place).otherwise(len(names) + 1), column)
+
+
 def write_store(docs: DataFrame, path: str, mode: str = "error") -> None:
     docs.write.mode(mode).parquet(path)
 

@@ -388,3 +388,40 @@ def test_annotations_and_references(spark):
     got = {r.g: (r.r, r.n, r.n_reference) for r in evaluation.reference_correlation(one, two, ["g"], "k", "x").collect()}
     assert abs(got["g"][0] + 1) < 1e-9 and got["h"] == (None, 2, 1)
     assert evaluation.reference_correlation(one.filter("g = 'g'"), two.filter("g = 'g'"), [], "k", "x").count() == 1
+
+
+def test_line_options(spark):
+    rows = spark.createDataFrame([(1, 0, ["", "a  b"])], "video_id int, idx int, emitted array<string>")
+    assert [r.line for r in cues.lines_of(rows, "video_id", ["idx"], new_lines=True).orderBy("pos").collect()] == ["\n", "a b\n"]
+    assert [r.line for r in cues.lines_of(rows, "video_id", ["idx"], delays=False, normalize=False).collect()] == ["a  b"]
+
+
+def test_stores(spark, tmp_path):
+    for n in "ab":
+        (tmp_path / f"{n}.txt").write_text(n * 3)
+    got = files.read_store(spark, str(tmp_path), names=["b.txt"])
+    assert [tuple(r) for r in got.collect()] == [("b", "bbb")]
+    with pytest.raises(FileNotFoundError):
+        files.read_store(spark, str(tmp_path), names=["z.txt"])
+    files.read_store(spark, str(tmp_path)).write.parquet(str(tmp_path / "d.parquet"))
+    assert files.read_store(spark, str(tmp_path / "d.parquet")).count() == 2
+
+
+def test_outliers_and_order(spark):
+    sizes = spark.createDataFrame([("en", 100), ("de", 1000)], "lang string, tokens long")
+    r = spark.createDataFrame([("en", 0.5), ("de", 0.1)], "lang string, r double")
+    assert [x.lang for x in evaluation.size_correlation(sizes, r, ["lang"], [("de",)]).collect()] == ["en"]
+    with pytest.raises(KeyError):
+        evaluation.size_correlation(sizes, r, ["lang"], [("fr",)])
+    rows = spark.createDataFrame([("x",), ("CSJ",), ("GINI",)], "name string")
+    assert [x.name for x in files.in_registry_order(rows, ["GINI", "CSJ"]).collect()] == ["GINI", "CSJ", "x"]
+
+
+def test_scratch_tables_can_be_dropped(spark):
+    from corpusfreq import session
+
+    df, path = session.materialize(spark.range(3), "t")
+    assert df.count() == 3 and path in session._MADE
+    session.clear(spark)
+    assert not session._MADE
+    assert session.spread(spark.range(0, 10, 1, 1)).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
