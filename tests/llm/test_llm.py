@@ -251,8 +251,11 @@ def test_templates_share_keys_but_no_links(spark, monkeypatch):
     for i, j in sorted(links):
         up[i] = min(up[i], up[j])
     monkeypatch.setattr(minhash, "PAIRWISE", 3)
+    whole, asked = minhash.rare_partners, []
+    monkeypatch.setattr(minhash, "rare_partners", lambda *a: asked.append(whole(*a)) or asked[-1])
     docs = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(texts)], "doc_id long, text string")
     assert {r.doc_id: r.component_id for r in minhash.components(docs, shingle=2).collect()} == dict(enumerate(up)) and len(links) >= 30
+    assert asked and asked[0].count() < 0.1 * len(texts) ** 2  # the template's shingles bring no pairs
 
 
 def test_minhash_edges(odd, nothing):
