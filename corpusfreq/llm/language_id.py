@@ -219,8 +219,10 @@ def keep_identified(docs: DataFrame, model: Model, text_col: str = "text", least
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            langs, scores = predict(shared.value, b.column(at).to_pylist())
-            yield b.filter(pa.array([x != "und" and s >= least for x, s in zip(langs, scores)], pa.bool_()))
+            for a in range(0, b.num_rows, 2000):
+                part = b.slice(a, 2000)
+                langs, scores = predict(shared.value, part.column(at).to_pylist())
+                yield part.filter(pa.array([x != "und" and s >= least for x, s in zip(langs, scores)], pa.bool_()))
 
     return docs.mapInArrow(score, docs.schema)
 

@@ -125,14 +125,16 @@ def verify(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFr
 
         hub, held = None, set()
         for b in batches:
-            keep = []
-            for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist()):
-                if y != hub:  # rows mostly come sorted by hub
-                    hub, held = y, own(y)
-                mine = own(x)
-                both = len(mine & held)
-                keep.append(100 * both >= percent * (len(mine) + len(held) - both))
-            yield b.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+            for a in range(0, b.num_rows, 500):
+                part = b.slice(a, 500)
+                keep = []
+                for x, y in zip(part.column(2).to_pylist(), part.column(3).to_pylist()):
+                    if y != hub:  # rows mostly come sorted by hub
+                        hub, held = y, own(y)
+                    mine = own(x)
+                    both = len(mine & held)
+                    keep.append(100 * both >= percent * (len(mine) + len(held) - both))
+                yield part.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
     both = pairs.select("u", "v").join(left, "u").join(right, "v").select("u", "v", "_a", "_b")
     kind = docs.schema["id"].dataType.simpleString()

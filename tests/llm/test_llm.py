@@ -258,6 +258,17 @@ def test_templates_share_keys_but_no_links(spark, monkeypatch):
     assert asked and asked[0].count() < 0.1 * len(texts) ** 2  # the template's shingles bring no pairs
 
 
+def test_verify_across_slices(spark):
+    """More pairs than a slice holds, whose hub changes within slices and goes on across them."""
+    texts = [" ".join(f"w{(i * 7) % 50 + k}" for k in range(40)) for i in range(60)]
+    pairs = [(i, j) for j in range(60) for i in range(j)]
+    sets = [set(zip(t.split(), t.split()[1:])) for t in texts]
+    want = {(i, j) for i, j in pairs if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])}
+    docs = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    got = minhash.verify(spark.createDataFrame(pairs, "u long, v long").coalesce(1), docs, 2, 80).collect()
+    assert {(r.u, r.v) for r in got} == want and len(got) == len(want) and 0 < len(want) < len(pairs)
+
+
 def test_minhash_edges(odd, nothing):
     got = minhash.components(odd).collect()
     assert len(got) == odd.count()
@@ -707,6 +718,14 @@ def test_pipeline(spark):
     assert sorted({r.mix_position for r in got}) == list(range(len({r.mix_position for r in got})))
 
 
+def test_pipeline_rewrites_lines_once(spark):
+    """The filter on the new text doesn't have it made again, in a second Python worker of each task."""
+    import corpus_pipeline as P
+
+    for docs in (P.dedup_lines(spark, spark.read.parquet(f"{SF}/documents.parquet"), SF), lines.remove_duplicate_lines(spark.read.parquet(f"{SF}/documents.parquet")).filter("length(text) > 3")):
+        assert docs._jdf.queryExecution().optimizedPlan().toString().count("ArrowEvalPython") == 1
+
+
 def test_pipeline_edges(spark, odd, nothing):
     """Null, empty, blank, very long and repeated rows, null ids and clashing columns go through all stages; so does an empty table."""
     import corpus_pipeline as P
