@@ -49,6 +49,8 @@ HANDLE = r"@[a-zA-Z0-9_.]*[a-zA-Z0-9_]"
 ANY = f"{CENSORED}|{DESCRIBED}|{WEB}|{MAIL}|{HANDLE}"
 #: Lines without any of these marks hold nothing to find and go past the long expression.
 GATE = r"[.@\[【]"
+#: Mail addresses of .com domains wherever they stand, also within other addresses and before more letters. A search begins where a run of its characters does, or where the last match ended.
+COM_MAIL = r"(?:(?<![a-zA-Z0-9_.+\-])|\G)[a-zA-Z0-9_.+\-]++@(?:(?!-)[\p{L}\p{N}\-]++(?<!-)\.){1,1000}com"
 
 
 def found(text: Column) -> Column:
@@ -56,6 +58,11 @@ def found(text: Column) -> Column:
     return F.when(text.rlike(GATE), F.regexp_extract_all(text, F.lit(ANY), F.lit(0))).otherwise(F.array().cast("array<string>"))
 
 
+def com_mails(text: Column) -> Column:
+    """All mail addresses of .com domains, in order."""
+    return F.when(F.contains(text, F.lit("@")), F.regexp_extract_all(text, F.lit(COM_MAIL), F.lit(0))).otherwise(F.array().cast("array<string>"))
+
+
 def kind(match: Column) -> Column:
     """Name of a match's kind: censored, cc_desc, web, email or handle."""
     return (F.when(match == "[ __ ]", "censored").when(match.rlike(r"^[\[【]"), "cc_desc").when(match.startswith("@"), "handle")

@@ -3,9 +3,12 @@ import math
 import random
 from collections import Counter
 
+import duckdb
+import harness
 import pytest
 from pyspark.sql import functions as F
 
+from corpusfreq import catalog
 from corpusfreq.functions import addresses, python_text
 from corpusfreq.functions import text as T
 from corpusfreq.operators import cues, dedup, evaluation, frequency, sampling
@@ -453,3 +456,15 @@ def test_candidates_are_few(spark, monkeypatch):
 def test_repeated_ids_are_one_document(spark):
     docs = spark.createDataFrame([(1, "a b c"), (1, "a d"), (2, "a a b c d"), (3, "e f"), (4, None), (5, "")], "doc long, text string")
     assert [tuple(r) for r in dedup.search(docs, "doc", T.tokens(F.col("text"))).expanded().select("i", "j").collect()] == [(2, 1)]
+
+
+MAILS = ["write a@b.com, A@B.COM or c@d.org.", "to x.in@a.com see http://a.com/x@y.com?", "a@b.comedy a@b.com.org x@a.com.b@c.com", "foo.com@bar.com @h x@@y@é-ü.com -@-a.com a@b-.com q+1@1.2.3.com", "[say a@b.com] _@中国.com a@b.com@c.com a@b.comc@d.com",
+         "x" * 5000 + "@" + "a." * 90 + "com", "", None]
+
+
+@pytest.mark.parametrize("name", ["pii_emails", "address_log"])
+def test_odd_mails_as_in_sql(spark, tmp_path, name):
+    spark.createDataFrame(list(enumerate(MAILS)), "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    assert harness.difference(catalog.queries()[name](spark, str(tmp_path)), con, catalog.oracle_sql()[name]) is None
