@@ -47,8 +47,8 @@ WEB = rf"(?:https?://{DOMAIN}(?::[0-9]+)?|{DOMAIN})(?:{PATH})?"
 MAIL = rf"[a-zA-Z0-9_.+\-]+@{DOMAIN}"
 HANDLE = r"@[a-zA-Z0-9_.]*[a-zA-Z0-9_]"
 ANY = f"{CENSORED}|{DESCRIBED}|{WEB}|{MAIL}|{HANDLE}"
-#: Lines without any of these marks hold nothing to find and go past the long expression.
-GATE = r"[.@\[【]"
+#: Texts without a bracket, @ or full stop before a domain hold nothing to find and go past the long expression.
+GATE = rf"[@\[【]|\.(?=[a-zA-Z日コ公网台香澳新中]){TLD}"
 #: Mail addresses of .com domains wherever they stand, also within other addresses and before more letters. A search begins where a run of its characters does, or where the last match ended.
 COM_MAIL = r"(?:(?<![a-zA-Z0-9_.+\-])|\G)[a-zA-Z0-9_.+\-]++@(?:(?!-)[\p{L}\p{N}\-]++(?<!-)\.){1,1000}com"
 

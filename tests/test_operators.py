@@ -468,3 +468,10 @@ def test_odd_mails_as_in_sql(spark, tmp_path, name):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
     assert harness.difference(catalog.queries()[name](spark, str(tmp_path)), con, catalog.oracle_sql()[name]) is None
+
+
+def test_gate_lets_all_addresses_pass(spark):
+    texts = ["see a.com.", "a.de", "go to x.ORG!", "www.中国.中国", "a.公司 b", "[ __ ]", "【よ】", "@me", "a@b.org", "ends.It goes. On", "a. com", "1.5"]
+    rows = spark.createDataFrame([(t,) for t in texts], "x string").select(F.regexp_extract_all("x", F.lit(addresses.ANY), F.lit(0)).alias("all"), addresses.found(F.col("x")).alias("found"), F.col("x").rlike(addresses.GATE).alias("gate")).collect()
+    assert [r.found for r in rows] == [r.all for r in rows]
+    assert [r.gate for r in rows][-3:] == [False] * 3
