@@ -16,7 +16,9 @@ NUM = "<num>"
 #: Digits, and digits raised, lowered, circled, bracketed or with a full stop.
 DIGIT = r"\p{Nd}\x{2070}\x{B9}\x{B2}\x{B3}\x{2074}-\x{2079}\x{2080}-\x{2089}\x{2460}-\x{2473}\x{24EA}\x{24F5}-\x{24FD}\x{24FF}\x{2776}-\x{277F}\x{2474}-\x{249B}\x{1F100}"
 LETTERS = rf"[{WORD}&&[^{DIGIT}]]"
-TOKEN = rf"[a-zA-Z_{WAVE}{WORD}&&[^{DIGIT}]]++|['\-]|[{DIGIT}]++"
+#: ASCII that begins no token goes first and Latin letters apart: Java tests each range of the long classes in turn.
+TOKEN = rf"(?![\x00-&(-,./:-@\[-\x5E`{{-\x7F])(?:(?:[a-zA-Z_]++|[{WAVE}{WORD}&&[^{DIGIT}]]++)++|['\-]|[{DIGIT}]++)"
+HAS_DIGIT = rf"[0-9]|(?![\x00-\x7F])[{DIGIT}]"
 
 _HAN = r"\x{2E80}-\x{2FD5}\x{F900}-\x{FA6A}\x{4E00}-\x{9FCB}\x{3400}-\x{4DB5}"
 _WIDE = r"\x{FF01}-\x{FF5E}\x{3000}-\x{303F}"
@@ -91,13 +93,22 @@ def chars_in(text: Column, charset: str) -> Column:
 
 def tokens(text: Column) -> Column:
     """Runs of letters, single ' or -, and each run of digits as <num>; the rest is left out."""
-    return F.transform(F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0)), lambda t: F.when((t >= "A") & (t < "{"), t).when(t.rlike(rf"^[{DIGIT}]"), F.lit(NUM)).otherwise(t))  # most start with a Latin letter
+    return F.transform(matches(text), as_token)
+
+
+def matches(text: Column) -> Column:
+    """The tokens as they stand, digits too; with as_token on the exploded rows, which runs compiled there, the same as tokens."""
+    return F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0))
+
+
+def as_token(t: Column) -> Column:
+    return F.when((t >= "A") & (t < "{"), t).when(t.rlike(rf"^[{DIGIT}]"), F.lit(NUM)).otherwise(t)  # most start with a Latin letter
 
 
 def replace_numbers(toks: Column) -> Column:
     """Digit runs within tokens become <num>; a <num> right after another is dropped, also across tokens. Empty tokens stay and part numbers."""
     mark = "\u0001"
-    pieces = F.flatten(F.transform(toks, lambda t: F.when(t == "", F.array(F.lit(""))).otherwise(
+    pieces = F.flatten(F.transform(toks, lambda t: F.when(~t.rlike(HAS_DIGIT), F.array(t)).otherwise(
         F.filter(F.split(F.regexp_replace(t, rf"[{DIGIT}]+", f"{mark}{NUM}{mark}"), mark), lambda p: p != ""))))
     # zipped with itself one place on; a literal <num> piece can't arise otherwise, since < is no digit
     before = F.concat(F.array(F.lit("")), F.slice(pieces, 1, F.greatest(F.size(pieces) - 1, F.lit(0))))
@@ -108,7 +119,7 @@ def replace_numbers(toks: Column) -> Column:
 def replace_tagged_numbers(toks: Column) -> Column:
     """The same for an array of struct(token, pos): pieces keep the token's part of speech, <num> gets NUM."""
     mark = "\u0001"
-    pieces = F.flatten(F.transform(toks, lambda t: F.transform(F.when(t["token"] == "", F.array(F.lit(""))).otherwise(
+    pieces = F.flatten(F.transform(toks, lambda t: F.transform(F.when(~t["token"].rlike(HAS_DIGIT), F.array(t["token"])).otherwise(  # most hold none
         F.filter(F.split(F.regexp_replace(t["token"], rf"[{DIGIT}]+", f"{mark}{NUM}{mark}"), mark), lambda p: p != "")),
         lambda p: F.struct(p.alias("token"), F.when(p == NUM, F.lit("NUM")).otherwise(t["pos"]).alias("pos")))))
     before = F.concat(F.array(F.lit("")), F.transform(F.slice(pieces, 1, F.greatest(F.size(pieces) - 1, F.lit(0))), lambda p: p["token"]))

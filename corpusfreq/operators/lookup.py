@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpusfreq.session import materialize
+
 
 def size(freq: DataFrame) -> DataFrame:
     """One row: tokens and types of a list of (word, count)."""
@@ -19,6 +21,25 @@ def smoothed(words: DataFrame, freq: DataFrame, word_col: str = "word", totals:
     return found.crossJoin(one).withColumn("freq", (n + 1) / (F.col("_t") + F.col("_k"))).withColumn("missing", n == 0).drop("_w", "_n", "_t", "_k")
 
 
+#: Words whose frequencies go to all tasks.
+FREQUENT = 1 << 16
+
+
+def mean_log(tokens: DataFrame, freq: DataFrame, by: list[str]) -> DataFrame:
+    """(by..., x, nt): mean log10 of the smoothed frequencies of each group's words, and their number. tokens: (by..., word), a row each.
+
+    The most frequent words are summed where they stand; only the others, a small part of the text, are joined.
+    """
+    one = size(freq).first()
+    log = lambda n: F.log10((n + 1) / F.lit(one["tokens"] + one["types"]))
+    top = F.broadcast(freq.orderBy(F.desc("count"), "word").limit(FREQUENT).select("word", log(F.col("count")).alias("_f")))  # bounded
+    sums = tokens.join(top, "word", "left").select(*by, F.when(F.col("_f").isNull(), F.col("word")).alias("_rest"), "_f").groupBy(*by, "_rest").agg(F.sum("_f").alias("_f"), F.count("*").alias("_k"))
+    sums, _ = materialize(sums, "tokens")
+    rest = sums.filter("_rest IS NOT NULL").join(freq.select(F.col("word").alias("_rest"), "count"), "_rest", "left")
+    both = sums.filter("_rest IS NULL").select(*by, "_f", "_k").unionByName(rest.select(*by, (log(F.coalesce("count", F.lit(0))) * F.col("_k")).alias("_f"), "_k"))
+    return both.groupBy(*by).agg((F.sum("_f") / F.sum("_k")).alias("x"), F.sum("_k").alias("nt"))
+
+
 def unsmoothed(words: DataFrame, values: DataFrame, word_col: str = "word", worst: str = "min", divide: float = 1.0) -> DataFrame:
     """words with freq from (word, value); missing words get the list's least (or, with worst='max', largest) value."""
     extreme = F.broadcast(values.agg((F.max if worst == "max" else F.min)("value").alias("_x")))  # one row

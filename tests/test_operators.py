@@ -489,3 +489,16 @@ def test_only_slices_of_a_batch_become_objects(monkeypatch):
 def test_nfkc_of_distinct_words(spark):
     rows = spark.createDataFrame([("ﬁx",), ("a",), (None,), ("ﬁx",), ("Ａ",), ("é",), ("",)], "x string").coalesce(1)
     assert [r[0] for r in rows.select(python_text.nfkc(F.col("x"))).collect()] == ["fix", "a", None, "fix", "A", "é", ""]
+
+
+def test_mean_log_joins_rare_words_only(spark, monkeypatch):
+    monkeypatch.setattr(lookup, "FREQUENT", 2)
+    written, real = [], lookup.materialize
+    monkeypatch.setattr(lookup, "materialize", lambda df, label: (written.append((out := real(df, label))[0].count()), out)[1])
+    texts = {1: "a b a c d d".split(), 2: "a b b e".split(), 3: ["z"], 4: ["a", "b"]}
+    tokens = spark.createDataFrame([(k, w) for k, ws in texts.items() for w in ws], "doc long, word string")
+    n = {"a": 9, "b": 8, "c": 2, "d": 1, "e": 3}
+    freq = spark.createDataFrame(list(n.items()), "word string, count long")
+    got = {r.doc: (round(r.x, 9), r.nt) for r in lookup.mean_log(tokens, freq, ["doc"]).collect()}
+    assert got == {k: (round(sum(math.log10((n.get(w, 0) + 1) / (sum(n.values()) + len(n))) for w in ws) / len(ws), 9), len(ws)) for k, ws in texts.items()}
+    assert written == [7]  # a row a document for a and b, one for each other word of a document
