@@ -33,6 +33,12 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     return df.repartition(cores, *keys) if df.rdd.getNumPartitions() < cores else df
 
 
+def pieces(df: DataFrame, mb: int = 8) -> int:
+    """Partitions for the tokens of df: one for so many MB of its files, as many as cores at least."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return max(df.sparkSession.sparkContext.defaultParallelism, min(4096, size // (mb << 20)))
+
+
 def scratch_root(spark: SparkSession) -> str:
     """The folder all executors share: spark.checkpoint.dir where the cluster sets it, else a folder of
     this machine (local mode only, where driver and executors are one process)."""

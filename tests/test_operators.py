@@ -502,3 +502,15 @@ def test_mean_log_joins_rare_words_only(spark, monkeypatch):
     got = {r.doc: (round(r.x, 9), r.nt) for r in lookup.mean_log(tokens, freq, ["doc"]).collect()}
     assert got == {k: (round(sum(math.log10((n.get(w, 0) + 1) / (sum(n.values()) + len(n))) for w in ws) / len(ws), 9), len(ws)) for k, ws in texts.items()}
     assert written == [7]  # a row a document for a and b, one for each other word of a document
+
+
+def test_ngram_norms_against_brute_force(spark):
+    rows = [(1, "a b a b c"), (1, "c a"), (2, "a b"), (3, None), (4, "x"), (5, "")]
+    got = {r.doc: (r.n_terms, round(r.norm, 6)) for r in dedup.norms(spark.createDataFrame(rows, "d long, text string"), "d", T.tokens(F.col("text")), 1, 2).collect()}
+    counts: dict[int, Counter] = {}
+    for k, t in rows:
+        w = (t or "").split()
+        counts.setdefault(k, Counter()).update([*w, *map(" ".join, zip(w, w[1:]))])
+    df = Counter(t for c in counts.values() for t in c)
+    want = {k: (len(c), round(math.sqrt(sum((n * (math.log((1 + len(rows)) / (1 + df[t])) + 1)) ** 2 for t, n in c.items())), 6)) for k, c in counts.items() if c}
+    assert got == want
