@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusfreq.functions import python_text
-from corpusfreq.session import materialize
+from corpusfreq.session import materialize, pieces
 
 TOTAL = "[TOTAL]"
 MARKUP = ["align", "br", "colspan", "https", "lt", "onlyinclude", "ref", "ruby"]
@@ -14,12 +16,16 @@ MARKUP_TOP = 6000
 NORMS = ["none", "lower", "nfkc", "nfkc-lower"]
 
 
-def words(docs: DataFrame, id_col: str, tokens: Column, channel_col: str | None = None, category_col: str | None = None) -> DataFrame:
-    """(doc, channel, category, word, n): tokens of each document; the grain of all counts. An empty or null channel is one of its own for each document."""
+def words(docs: DataFrame, id_col: str, tokens: Column, channel_col: str | None = None, category_col: str | None = None, form: Callable[[Column], Column] | None = None) -> DataFrame:
+    """(doc, channel, category, word, n): tokens of each document; the grain of all counts. An empty or null channel is one of its own for each document.
+
+    The texts are partitioned by document, which is less than their tokens; grouping by document and word then stays in place. form: what is made of each token.
+    """
+    made = form or (lambda t: t)
     name = F.coalesce(F.concat(F.lit("c:"), F.nullif(F.col(channel_col), F.lit(""))), F.concat(F.lit("d:"), F.col(id_col).cast("string"))) if channel_col else F.lit(None).cast("string")
     category = F.col(category_col) if category_col else F.lit(None).cast("string")
-    return (docs.select(F.col(id_col).alias("doc"), name.alias("channel"), category.alias("category"), F.explode(tokens).alias("word"))
-            .groupBy("doc", "channel", "category", "word").agg(F.count("*").alias("n")))
+    placed = docs.repartition(pieces(docs), id_col).select(F.col(id_col).alias("doc"), name.alias("channel"), category.alias("category"), F.explode(tokens).alias("word"))
+    return placed.withColumn("word", made(F.col("word"))).groupBy("doc", "channel", "category", "word").agg(F.count("*").alias("n"))
 
 
 def word_counts(grain: DataFrame, categories: list[str] = (), by: list[str] = ()) -> DataFrame:
@@ -62,9 +68,9 @@ def at_least(counts: DataFrame, videos: int = 0, channels: int = 0, compat: bool
 
 def totals(grain: DataFrame, listed: DataFrame, id_col: str, channel_col: str, categories: list[str] = ()) -> DataFrame:
     """One row: all tokens before any filter, documents, and the channels of the list, which may hold more documents than survived."""
-    tokens = grain.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("count"), *(F.coalesce(F.sum(F.when(F.col("category") == c, F.col("n"))), F.lit(0)).alias(f"count:{c}") for c in categories))
-    docs = grain.select("doc").distinct().agg(F.count("*").alias("videos"))
-    return tokens.crossJoin(docs).crossJoin(channel_count(listed, channel_col)).withColumn("word", F.lit(TOTAL))
+    own = grain.groupBy("doc").agg(F.sum("n").alias("n"), *(F.sum(F.when(F.col("category") == c, F.col("n"))).alias(f"_c{k}") for k, c in enumerate(categories)))
+    tokens = own.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("count"), *(F.coalesce(F.sum(f"_c{k}"), F.lit(0)).alias(f"count:{c}") for k, c in enumerate(categories)), F.count("*").alias("videos"))
+    return tokens.crossJoin(channel_count(listed, channel_col)).withColumn("word", F.lit(TOTAL))
 
 
 def channel_count(listed: DataFrame, channel_col: str) -> DataFrame:

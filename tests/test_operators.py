@@ -514,3 +514,20 @@ def test_ngram_norms_against_brute_force(spark):
     df = Counter(t for c in counts.values() for t in c)
     want = {k: (len(c), round(math.sqrt(sum((n * (math.log((1 + len(rows)) / (1 + df[t])) + 1)) ** 2 for t, n in c.items())), 6)) for k, c in counts.items() if c}
     assert got == want
+
+
+def test_grain_and_totals_move_texts_not_tokens(spark):
+    docs = spark.createDataFrame([(1, "s", "a B b"), (1, "s", "a"), (2, "", "a"), (3, None, "c"), (4, "t", None)], "doc long, source string, text string")
+    grain = frequency.words(docs, "doc", T.matches(F.col("text")), "source", form=lambda t: F.lower(T.as_token(t)))
+    plan = grain._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "REPARTITION" in plan
+    assert sorted((r.doc, r.word, r.n) for r in grain.collect()) == [(1, "a", 2), (1, "b", 2), (2, "a", 1), (3, "c", 1)]
+    assert [(r.word, r["count"], r.videos, r.channels) for r in frequency.word_counts(grain).orderBy("word").collect()] == [("a", 3, 2, 2), ("b", 2, 1, 1), ("c", 1, 1, 1)]
+    assert tuple(frequency.totals(grain, docs, "doc", "source").select("count", "videos", "channels").first()) == (6, 3, 4)
+
+
+def test_tokens_as_before(spark):
+    long = rf"[a-zA-Z_{T.WAVE}{T.WORD}&&[^{T.DIGIT}]]++|['\\-]|[{T.DIGIT}]++".replace("\\\\", "\\")
+    texts = ["".join(map(chr, range(1, 0x250))), "été_1², a-b 'c' 12③x 日本語〜é2Ⅷ ٣ [x] {y} `z` ~", "❶⑴⒈🄀 á", "\x00a\x7fb"]
+    rows = spark.createDataFrame([(t,) for t in texts], "x string").select(F.regexp_extract_all("x", F.lit(long), F.lit(0)).alias("a"), T.matches(F.col("x")).alias("b"), F.regexp_count("x", F.lit(T.TOKEN)).alias("n")).collect()
+    assert [r.a for r in rows] == [r.b for r in rows] and [len(r.a) for r in rows] == [r.n for r in rows]
