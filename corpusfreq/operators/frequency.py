@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusfreq.functions import python_text
-from corpusfreq.session import materialize, pieces
+from corpusfreq.session import pieces
 
 TOTAL = "[TOTAL]"
 MARKUP = ["align", "br", "colspan", "https", "lt", "onlyinclude", "ref", "ruby"]
@@ -36,29 +37,27 @@ def word_counts(grain: DataFrame, categories: list[str] = (), by: list[str] = ()
     return per.groupBy(*keys).agg(F.sum("n").alias("count"), F.sum("v").alias("videos"), F.count("channel").alias("channels"), *(F.sum(f"_c{k}").alias(f"count:{c}") for k, c in enumerate(categories)))
 
 
-def normal_forms(vocabulary: DataFrame, forms: list[str] = NORMS) -> DataFrame:
-    """(word, norm, form) of distinct words in the forms none, lower, nfkc and nfkc-lower."""
-    lower, nfkc = F.lower("word"), F.col("k")
-    made = {"none": F.col("word"), "lower": lower, "nfkc": nfkc, "nfkc-lower": F.lower(nfkc)}
-    known = vocabulary.select("word", python_text.nfkc(F.col("word")).alias("k"))
-    return known.select("word", F.explode(F.array(*(F.struct(F.lit(n).alias("norm"), made[n].alias("form")) for n in forms))).alias("x")).select("word", "x.*")
-
-
 def norm_counts(grain: DataFrame, categories: list[str] = (), forms: list[str] = NORMS) -> DataFrame:
-    """word_counts of every normal form, with norm. Forms are computed once a distinct word; a form of one word only takes that word's counts, and
-    just the words that meet in a form are counted again from the grain, since their documents and channels overlap; once where the same words meet in several norms."""
-    grain, _ = materialize(grain, "grain")
-    base, _ = materialize(word_counts(grain, categories), "words")
-    made, _ = materialize(normal_forms(base.select("word"), forms), "forms")
-    mark = [F.count("*").alias("k"), F.max("word").alias("one"), F.bit_xor(F.xxhash64("word")).alias("x")]
-    groups = made.groupBy("norm", "form").agg(*mark).groupBy("form", "k", "one", "x").agg(F.collect_list("norm").alias("norms"))  # a norm each at most
-    groups, _ = materialize(groups, "forms")
-    single = base.join(groups.filter("k = 1").select(F.col("one").alias("word"), "form", "norms"), "word").drop("word").withColumnRenamed("form", "word")
-    many = groups.filter("k > 1")
-    met = made.join(many, "form").filter(F.array_contains("norms", F.col("norm"))).select("word", "form", "x").distinct()
-    again = grain.join(met, "word").groupBy("x", "doc", "channel", "category", F.col("form").alias("word")).agg(F.sum("n").alias("n"))
-    shared = word_counts(again, categories, ["x"]).join(many.select(F.col("form").alias("word"), "x", "norms"), ["word", "x"]).drop("x")
-    return single.unionByName(shared).withColumn("norm", F.explode("norms")).drop("norms")
+    """word_counts of every normal form, with norm. A word goes on once a different form, with a bit for each norm that it is the form of, and all norms are counted side by side:
+    words that meet in a form have their documents and channels merged where the texts were partitioned by document, and each form is shuffled once with its channel."""
+    low, nfkc = F.lower("word"), F.col("_k")
+    made = {"none": F.col("word"), "lower": low, "nfkc": nfkc, "nfkc-lower": F.lower(nfkc)}
+    known = [made[f] for f in forms]
+    bits = lambda k: sum((F.when(known[j] == known[k], 1 << j).otherwise(0) for j in range(k + 1, len(forms))), F.lit(1 << k))
+    new = lambda k: reduce(lambda a, b: a & b, (known[j] != known[k] for j in range(k)), F.lit(True))
+    each = F.array(*(F.when(new(k), F.struct(known[k].alias("form"), bits(k).alias("bits"))) for k in range(len(forms))))
+    same = reduce(lambda a, b: a & b, (c == known[0] for c in known[1:]), F.lit(True))
+    rows = grain.withColumn("_k", python_text.nfkc(F.col("word"))).select("doc", "channel", "category", "n", F.explode(F.when(same, F.array(F.struct(known[0].alias("form"), F.lit((1 << len(forms)) - 1).alias("bits")))).otherwise(F.array_compact(each))).alias("x"))
+    rows = rows.select("doc", "channel", "category", F.col("x.form").alias("word"), *(F.when(F.col("x.bits").bitwiseAND(1 << k) != 0, F.col("n")).alias(f"n{k}") for k in range(len(forms))))
+    merged = rows.groupBy("doc", "channel", "category", "word").agg(*(F.sum(f"n{k}").alias(f"n{k}") for k in range(len(forms))))
+    of = lambda k: [F.sum(f"n{k}").alias(f"n{k}"), F.count(f"n{k}").alias(f"v{k}"), *(F.sum(F.when(F.col("category") == c, F.col(f"n{k}"))).alias(f"c{k}_{i}") for i, c in enumerate(categories))]
+    per = merged.groupBy("word", "channel").agg(*(c for k in range(len(forms)) for c in of(k)))
+    total = lambda k: [F.sum(f"n{k}").alias(f"n{k}"), F.sum(f"v{k}").alias(f"v{k}"), F.count(F.when(F.col(f"v{k}") > 0, F.col("channel"))).alias(f"h{k}"), *(F.sum(f"c{k}_{i}").alias(f"c{k}_{i}") for i in range(len(categories)))]
+    wide = per.groupBy("word").agg(*(c for k in range(len(forms)) for c in total(k)))
+    row = lambda k: F.struct(F.lit(forms[k]).alias("norm"), F.col(f"n{k}").alias("count"), F.col(f"v{k}").alias("videos"), F.col(f"h{k}").alias("channels"),
+                             *(F.coalesce(f"c{k}_{i}", F.lit(0)).alias(f"count:{c}") for i, c in enumerate(categories)))
+    out = wide.select("word", F.explode(F.array(*(row(k) for k in range(len(forms))))).alias("x")).filter("x.count IS NOT NULL")
+    return out.select("word", "x.count", "x.videos", "x.channels", *(F.col("x").getField(f"count:{c}").alias(f"count:{c}") for c in categories), "x.norm")
 
 
 def at_least(counts: DataFrame, videos: int = 0, channels: int = 0, compat: bool = False) -> DataFrame:

@@ -1,6 +1,7 @@
 import itertools
 import math
 import random
+import unicodedata
 from collections import Counter
 
 import duckdb
@@ -9,7 +10,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from corpusfreq import catalog
+from corpusfreq import catalog, session
 from corpusfreq.functions import addresses, python_text
 from corpusfreq.functions import text as T
 from corpusfreq.operators import cues, dedup, evaluation, frequency, lookup, sampling
@@ -531,3 +532,23 @@ def test_tokens_as_before(spark):
     texts = ["".join(map(chr, range(1, 0x250))), "été_1², a-b 'c' 12③x 日本語〜é2Ⅷ ٣ [x] {y} `z` ~", "❶⑴⒈🄀 á", "\x00a\x7fb"]
     rows = spark.createDataFrame([(t,) for t in texts], "x string").select(F.regexp_extract_all("x", F.lit(long), F.lit(0)).alias("a"), T.matches(F.col("x")).alias("b"), F.regexp_count("x", F.lit(T.TOKEN)).alias("n")).collect()
     assert [r.a for r in rows] == [r.b for r in rows] and [len(r.a) for r in rows] == [r.n for r in rows]
+
+
+def test_normal_forms_are_counted_in_one_pass(spark):
+    docs = spark.createDataFrame([(1, "s", "x", "The the ﬁx fix"), (1, "s", "x", "the"), (2, "s", "y", "THE Fix"), (3, None, "x", "ﬁX the"), (4, "t", "y", "fix Ａ a")], "doc long, source string, cat string, text string")
+    before = set(session._MADE)
+    grain = frequency.words(docs, "doc", F.split("text", " "), "source", "cat")
+    out = frequency.norm_counts(grain, ["x", "y"])
+    assert set(session._MADE) == before  # nothing is written between
+    forms = {"none": str, "lower": str.lower, "nfkc": lambda w: unicodedata.normalize("NFKC", w), "nfkc-lower": lambda w: unicodedata.normalize("NFKC", w).lower()}
+    want = {}
+    for r in docs.collect():
+        for w in r.text.split(" "):
+            for norm, f in forms.items():
+                x = want.setdefault((norm, f(w)), [0, set(), set(), Counter()])
+                x[0] += 1
+                x[1].add(r.doc), x[2].add(r.source or r.doc), x[3].update([r["cat"]])
+    got = {(r.norm, r.word): (r["count"], r.videos, r.channels, r["count:x"], r["count:y"]) for r in out.collect()}
+    assert got == {k: (n, len(d), len(c), by["x"], by["y"]) for k, (n, d, c, by) in want.items()}
+    some = frequency.norm_counts(grain, forms=["lower", "nfkc"])
+    assert {(r.norm, r.word): r["count"] for r in some.collect()} == {k: v[0] for k, v in want.items() if k[0] in ("lower", "nfkc")}
