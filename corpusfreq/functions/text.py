@@ -124,7 +124,8 @@ def replace_tagged_numbers(toks: Column) -> Column:
         lambda p: F.struct(p.alias("token"), F.when(p == NUM, F.lit("NUM")).otherwise(t["pos"]).alias("pos")))))
     before = F.concat(F.array(F.lit("")), F.transform(F.slice(pieces, 1, F.greatest(F.size(pieces) - 1, F.lit(0))), lambda p: p["token"]))
     once = F.zip_with(pieces, before, lambda p, q: F.when(~((p["token"] == NUM) & (q == NUM)), p))
-    return F.filter(F.when(F.size(pieces) > 0, once).otherwise(pieces), lambda p: p.isNotNull())
+    some = F.array_join(toks.getField("token"), " ").rlike(f"{HAS_DIGIT}|{NUM}")  # else all stay as they are
+    return F.when(some, F.filter(F.when(F.size(pieces) > 0, once).otherwise(pieces), lambda p: p.isNotNull())).otherwise(toks)
 
 
 def is_word(token: Column) -> Column:

@@ -552,3 +552,13 @@ def test_normal_forms_are_counted_in_one_pass(spark):
     assert got == {k: (n, len(d), len(c), by["x"], by["y"]) for k, (n, d, c, by) in want.items()}
     some = frequency.norm_counts(grain, forms=["lower", "nfkc"])
     assert {(r.norm, r.word): r["count"] for r in some.collect()} == {k: v[0] for k, v in want.items() if k[0] in ("lower", "nfkc")}
+
+
+def test_tagged_numbers_only_where_there_are_digits(spark):
+    rows = [["a", "b"], ["a1b", "<num>"], ["x", "<num>", "<num>"], ["", "y²", "3"], [], None]
+    docs = spark.createDataFrame([(r,) for r in rows], "t array<string>").select(F.transform("t", lambda t: F.struct(t.alias("token"), F.lit("X").alias("pos"))).alias("t"))
+    got = [None if r[0] is None else [(x.token, x.pos) for x in r[0]] for r in docs.select(T.replace_tagged_numbers(F.col("t"))).collect()]
+    n = ("<num>", "NUM")
+    assert got == [[("a", "X"), ("b", "X")], [("a", "X"), n, ("b", "X"), n], [("x", "X"), n], [("", "X"), ("y", "X"), n], [], None]
+    plan = docs.select(T.replace_tagged_numbers(F.col("t")))._jdf.queryExecution().optimizedPlan().toString()
+    assert "CASE WHEN RLIKE(array_join(" in plan
