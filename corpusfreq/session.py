@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -89,6 +91,15 @@ def drop_path(spark: SparkSession, path: str) -> None:
     _MADE.discard(path)
 
 
+def collect_shuffles(spark: SparkSession) -> None:
+    """Let go of the shuffle files of steps that are written; they stay on disk until both languages of the driver collect their garbage."""
+    for _ in range(2):  # what the first round frees lets go of more
+        gc.collect()
+        if spark.sparkContext._jvm is not None:
+            spark.sparkContext._jvm.System.gc()
+        time.sleep(0.5)
+
+
 def materialize(df: DataFrame, label: str) -> tuple[DataFrame, str]:
     """Cut lineage with a Parquet table in the shared folder, which survives lost executors."""
     spark = df.sparkSession
